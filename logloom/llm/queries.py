@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, rules, simhash
+from . import langid, mixing, rules, simhash, substrings
 from .common import held_out_col, table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identified(docs)
@@ -28,7 +32,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_langid": op2_langid, "op6_rules": op6_rules, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
+    return {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op6_rules": op6_rules, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS)))
