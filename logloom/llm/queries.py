@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, rules, simhash, substrings
+from . import langid, mixing, rules, simhash, substrings, warc
 from .common import held_out_col, table
 
 
@@ -19,6 +19,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out_col(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op6_rules": op6_rules, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
+    return {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op3_warc": op3_warc, "op6_rules": op6_rules, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS)))
@@ -58,5 +62,16 @@ from f
 """
 
 
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html))::bigint as n, sha256(html) as digest from p),
+f as (select *, min(page_id) over (partition by digest) as first from d)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id <> first then first end as refers_to
+from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rules": OP6_SQL}
+    return {"op3_warc": OP3_SQL, "op6_rules": OP6_SQL}
