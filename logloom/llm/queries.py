@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, rules, simhash, substrings, warc
+from . import decontaminate, langid, mixing, rules, simhash, substrings, warc
 from .common import held_out_col, table
 
 
@@ -31,12 +31,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h").distinct()
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op3_warc": op3_warc, "op6_rules": op6_rules, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
+    return {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op3_warc": op3_warc, "op6_rules": op6_rules, "op7_mixing": op7_mixing, "op9_decontaminate": op9_decontaminate, "op10_simhash": op10_simhash}
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS)))

@@ -13,8 +13,8 @@ Deduplication: of records with equal payloads of at least SMALLEST bytes, the on
 the others are revisits that hold no payload but refer to it; smaller payloads are all responses. Digests are grouped
 with a combine before the shuffle, and only those that occur twice are joined back.
 
-Nulls: a null payload is an empty one; a null url is left out of the record; rows with a null id are responses, and the
-least of all ids where payloads are equal. Rows that repeat an id and a payload are written once each: the first is as
+Nulls: a null payload is an empty one; a null url is left out of the record; rows with a null id are responses that
+nothing refers to. Rows that repeat an id and a payload are written once each: the first is as
 above, the repetitions are revisits to the same id. An empty table gives an empty result.
 """
 
