@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, rules, simhash, substrings, warc
+from . import decontaminate, langid, licenses, mixing, quality, rules, simhash, substrings, warc
 from .common import held_out_col, table
 
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h").distinct()
 
@@ -40,7 +48,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op3_warc": op3_warc, "op6_rules": op6_rules, "op7_mixing": op7_mixing, "op9_decontaminate": op9_decontaminate, "op10_simhash": op10_simhash}
+    return {
+        "op1_substrings": op1_substrings,
+        "op2_langid": op2_langid,
+        "op3_warc": op3_warc,
+        "op5_quality": op5_quality,
+        "op6_rules": op6_rules,
+        "op7_mixing": op7_mixing,
+        "op8_licenses": op8_licenses,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_simhash": op10_simhash,
+    }
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS)))
