@@ -35,11 +35,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logloom/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again, so later steps neither repeat it nor need its executors."""
     spark = df.sparkSession
     at = new_folder(spark, name)
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._logloom_at = at
     return out
@@ -58,6 +58,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def words_col(text: Column) -> Column:
     """The words of a text as an array; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")

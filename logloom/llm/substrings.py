@@ -7,14 +7,18 @@ GRAM-byte gram (the one with the least hash), at the same distance from their st
    the bytes from the first start to the end of the last start's string. There is one context per 90 bytes or so.
 2. Contexts are counted by content, grams by contexts. A context that occurs twice is repeated as a whole. One whose gram
    has no other context is clean. Only those that are single, but whose gram has other contexts, need a closer look.
-3. For these, the distinct contexts of each gram make one text, whose suffix array (suffix.py, by linear grouping over
-   Lyndon prefixes) puts equal strings side by side; neighbours are compared byte by byte.
-4. Repeated spans go back to their documents, which are cut and digested.
-
-A gram with over MOST distinct contexts would make one task's text too long (a passage in very many documents, each with
-other surroundings). Its distinct contexts are split into their strings, which are counted by a hash of their content, so
-no task needs them together and no occurrence is dropped at any size. Copies are merged before the shuffle, so a passage that a third of the rows hold costs one row per task; the equi-join that brings the
-verdict back to the occurrences can be skewed, and is one that adaptive execution splits.
+3. These are cut into *pieces*: the strings whose distance to the winning gram lies in one block of BLOCKS[0] distances.
+   All strings of a block share a core, so equal strings are in pieces with equal cores. Pieces are counted as contexts
+   were, with the core in the place of the gram.
+4. For what is still single beside others, the distinct pieces of each core make one text, whose suffix array (suffix.py,
+   by linear grouping over Lyndon prefixes) puts equal strings side by side; neighbours are compared byte by byte.
+5. Repeated spans go back to their documents, which are cut and digested.
+
+A core with over MOST distinct pieces would make one task's text too long (a passage in very many documents, each with
+other surroundings). Such pieces are cut again, into the narrower blocks of BLOCKS[1], whose cores are longer, and at last
+into single strings, which counting alone decides. So no task needs a crowd together and no occurrence is dropped. Copies
+are merged before every shuffle, so a passage that a third of the rows hold costs one row per task; the equi-join that
+brings the verdict back to the occurrences can be skewed, and is one that adaptive execution splits.
 
 Nulls: a null text is an empty one; a null doc_id is a row like any other. Repeated rows are copies of one another, so
 texts of `least` bytes or more lose all of their bytes. An empty table gives an empty result. Hashes of 64 bits stand for
@@ -25,17 +29,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 
 from .common import mixed, stored
 from .suffix import _ranges, suffix_arrays
 
 LEAST, GRAM, MOST = 200, 24, 64
+#: Distances to the gram per block: at first, for crowded cores, and single strings.
+BLOCKS = (88, 16, 1)
 #: Bytes of a document that are looked at at once, and symbols that go through one call of suffix_arrays.
 _PART, _CALL = 1 << 19, 1 << 19
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -51,8 +60,35 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def contexts(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each context: the hash of its gram, that of its content, its first start and its number of starts."""
+def _pack(first, off, many):
+    """First start, distance from it to the gram, and number of starts, in one number."""
+    return (first << 24) | (off << 12) | many
+
+
+def _unpack(p):
+    return p >> 24, (p >> 12) & 0xFFF, p & 0xFFF
+
+
+def pieces(s: bytes, p: int, block: int, least: int = LEAST) -> Iterator[tuple[int, int, int, bytes]]:
+    """Core, content (both hashed), packed starts and bytes of each piece of a context or piece s at p."""
+    first, off, many = _unpack(p)
+    i = 0
+    while i < many:
+        j = (off - i) // block  # distances j * block and up
+        last = min(many - 1, off - j * block)
+        core = s[off - j * block : off - (j + 1) * block + 1 + least]
+        part = s[i : last + least]
+        n = last - i + 1
+        yield _signed(xxhash.xxh64_intdigest(core, j)), _signed(xxhash.xxh64_intdigest(part, (off - i) << 12 | n)), _pack(first + i, off - i, n), part
+        i = last + 1
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def contexts(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each context: the hash of its gram, that of its content, and its starts, packed (see _pack)."""
     out = []
     gram = min(gram, least)
     wide = least - gram + 1  # grams of a string
@@ -77,28 +113,15 @@ def contexts(text: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndar
         end = first + many - 1 + least
         inner = (total[end] - total[first]) * inverse[first]
         shape = (many.astype(np.uint64) << np.uint64(20)) ^ (won[first] - first).astype(np.uint64)
-        out.append((h[won[first]], mixed(inner ^ mixed(shape + np.uint64(1))), first + at, many))
+        out.append((h[won[first]], mixed(inner ^ mixed(shape + np.uint64(1))), _pack(first + at, won[first] - first, many)))
     if not out:
         e = np.zeros(0, np.int64)
-        return e.view(np.uint64), e.view(np.uint64), e, e
+        return e.view(np.uint64), e.view(np.uint64), e
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def repeated(texts: list[bytes], starts: list[int], times: list[list[int]] | None, least: int = LEAST) -> np.ndarray:
-    """For the starts 0 .. starts[k] - 1 of each text, one after another: whether that string of `least` bytes also
-    starts elsewhere in these texts. times, if given, has how often each text occurs."""
-    symbols = []
-    for t in texts:
-        s = np.ones(len(t) + 1, np.int64)  # 1 ends a text; bytes are 2 and up
-        s[:-1] = np.frombuffer(t, np.uint8)
-        s[:-1] += 2
-        symbols.append(s)
-    order, _ = suffix_arrays([np.concatenate(symbols)])
-    return _marked(np.concatenate(symbols), order, np.array([len(s) for s in symbols]), np.array(starts), np.zeros(len(texts), np.int64), times, least)
-
-
-def _marked(symbols, order, length, starts, group, times, least):
-    """order: suffix order within each group, groups one after another."""
+def _marked(symbols, order, length, starts, group, least):
+    """Which starts of all texts have a string that another start of their group has. order: suffix order, by group."""
     begin = np.cumsum(length) - length
     at = _ranges(begin, starts)
     is_start = np.zeros(len(symbols), bool)
@@ -115,8 +138,6 @@ def _marked(symbols, order, length, starts, group, times, least):
             same = same[raw[a[same] + k + d] == raw[b[same] + k + d]]
     out[a[same]] = True
     out[b[same]] = True
-    if times is not None:
-        out[at] |= np.repeat(np.asarray(times) > 1, starts)
     return out[at]
 
 
@@ -125,20 +146,25 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text) and z, the compressed text: what a shuffle of texts moves."""
+def _packed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, h (of the text) and z, the compressed text: what a shuffle of texts moves; and the columns of carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack((x.as_py() or "").encode()) for x in b.column(2)], pa.binary())], ["doc_id", "h", "z"])
+            z = pa.array([pack((x.as_py() or "").encode()) for x in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z, *b.columns[3:]], ["doc_id", "h", "z", *(["carry"] if carry else [])])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, z binary")
+    more = [F.struct(*carry).alias("carry")] if carry else []
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("z"), *more)
+    schema = cols.schema
+    schema["z"].dataType = BinaryType()
+    return cols.mapInArrow(run, schema)
 
 
 def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """doc_id, h, g, c, p (first start << 20 | number of starts): one row per context."""
+    """doc_id, h, g, c and p (packed starts): one row per context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,9 +173,9 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
             def rows() -> pa.RecordBatch:
                 k = np.repeat([x[0] for x in held], [len(x[1]) for x in held]).astype(np.int64)
-                g, c, p, n = (np.concatenate([x[j] for x in held]) for j in (1, 2, 3, 4))
+                g, c, p = (np.concatenate([x[j] for x in held]) for j in (1, 2, 3))
                 return pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(k)), b.column(1).take(pa.array(k)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array((p << 20) | n)], ["doc_id", "h", "g", "c", "p"]
+                    [b.column(0).take(pa.array(k)), b.column(1).take(pa.array(k)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(p)], ["doc_id", "h", "g", "c", "p"]
                 )
 
             for k, x in enumerate(b.column(2)):
@@ -169,78 +195,103 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, h long, g long, c long, p long")
 
 
-def _cut_out(least: int):
-    """Takes rows (z, list of contexts); gives the bytes of each context."""
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.binary() if n == "s" else pa.int64() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+
+_PIECES = ["doc_id", "h", "k", "c", "p", "times", "s"]
+_PIECES_SCHEMA = "doc_id long, h long, k long, c long, p long, times long, s binary"
+_SPANS = "doc_id long, h long, p long"
+
+
+def _sliced(rows: Iterator[tuple], names: list[str], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows, whose last value are bytes, in batches of about limit bytes."""
+    held, size = [], 0
+    for x in rows:
+        held.append(x)
+        size += 64 + len(x[-1])
+        if size > limit:
+            yield _batch(held, names)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names)
+
+
+def _cut_out(least: int, block: int):
+    """Takes rows (doc_id, h, z, needed contexts); gives their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "h", "g", "c", "p", "many", "times", "s"]
-        for b in batches:
-            rows: list[tuple] = []
-            size = 0
-            for doc_id, h, z, needs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                t = zstandard.decompress(z.as_py()) if len(z.as_py()) else b""
-                for x in needs.as_py():
-                    first, n = x["p"] >> 20, x["p"] & 0xFFFFF
-                    rows.append((doc_id, h, x["g"], x["c"], x["p"], x["many"], x["times"], t[first : first + n - 1 + least]))
-                    size += n + least
-                if size > 8 << 20:
-                    yield _batch(rows, names)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, names)
+        def rows():
+            for b in batches:
+                for doc_id, h, z, needs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                    t = zstandard.decompress(z.as_py())
+                    for x in needs.as_py():
+                        first, _, n = _unpack(x["p"])
+                        for k, c, p, s in pieces(t[first : first + n - 1 + least], x["p"], block, least):
+                            yield doc_id, h, k, c, p, x["times"], s
+
+        yield from _sliced(rows(), _PIECES)
 
     return run
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.binary() if n == "s" else pa.int64() for n in names]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+def _cut_again(least: int, block: int):
+    """Takes pieces (doc_id, h, p, times, s); gives narrower ones."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for doc_id, h, p, times, s in zip(*(b.column(k).to_pylist() for k in range(5))):
+                    for k, c, q, part in pieces(s, p, block, least):
+                        yield doc_id, h, k, c, q, times, part if block > 1 else b""  # a single string is all core
 
-_CUT = "doc_id long, h long, g long, c long, p long, many long, times long, s binary"
-_SPANS = "doc_id long, h long, p long"
+        yield from _sliced(rows(), _PIECES)
+
+    return run
 
 
 def _by_suffix_array(least: int):
-    """Takes contexts sorted by gram; gives the repeated spans (first start << 20 | starts) of single ones."""
+    """Takes pieces sorted by core; gives the repeated spans (packed starts) of single ones."""
 
     def judged(groups: list[list[tuple]]) -> list[tuple]:
-        groups.sort(key=lambda g: sum(len(x[5]) for x in g))
+        groups.sort(key=lambda g: sum(len(x[4]) for x in g))
         out, at = [], 0
         while at < len(groups):
             call, total = [], 0
             while at < len(groups) and (not call or total < _CALL):  # texts of like length go together
                 call.append(groups[at])
-                total += sum(len(x[5]) + 1 for x in groups[at])
+                total += sum(len(x[4]) + 1 for x in groups[at])
                 at += 1
             flat = [x for g in call for x in g]
-            length = np.array([len(x[5]) + 1 for x in flat])
-            raw = np.frombuffer(b"\0".join(x[5] for x in flat) + b"\0", np.uint8).astype(np.int64) + 2
-            raw[np.cumsum(length) - 1] = 1
-            sizes = np.array([sum(len(x[5]) + 1 for x in g) for g in call])
+            length = np.array([len(x[4]) + 1 for x in flat])
+            raw = np.frombuffer(b"\0".join(x[4] for x in flat) + b"\0", np.uint8).astype(np.int64) + 2
+            raw[np.cumsum(length) - 1] = 1  # ends a piece; bytes are 2 and up
+            sizes = np.array([sum(len(x[4]) + 1 for x in g) for g in call])
             order, _ = suffix_arrays(np.split(raw, np.cumsum(sizes)[:-1]))
-            starts = np.array([x[3] & 0xFFFFF for x in flat])
+            starts = np.array([_unpack(x[2])[2] for x in flat])
             group = np.repeat(np.arange(len(call)), [len(g) for g in call])
-            flags = _marked(raw, order, length, starts, group, None, least)
+            flags = _marked(raw, order, length, starts, group, least)
             ends = np.cumsum(starts)
-            for x, a, b in zip(flat, ends - starts, ends):
-                if x[4] == 1 and flags[a:b].any():  # those that occur more often are known to be repeated
-                    out += [(x[1], x[2], (((x[3] >> 20) + i) << 20) | (j - i)) for i, j in _runs(flags[a:b])]
+            for (doc_id, h, p, times, _), a, b in zip(flat, ends - starts, ends):
+                if times == 1 and flags[a:b].any():  # those that occur more often are known to be repeated
+                    first = _unpack(p)[0]
+                    out += [(doc_id, h, _pack(first + i, 0, j - i)) for i, j in _runs(flags[a:b])]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, key, size = [], [], None, 0
         for b in batches:
-            for g, *x in zip(*(b.column(k).to_pylist() for k in range(6))):
-                if g != key:
+            for k, *x in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if k != key:
                     if len(now) > 1:
                         held.append(now)
                     if size > 8 << 20:
                         if out := judged(held):
                             yield _batch(out, ["doc_id", "h", "p"])
                         held, size = [], 0
-                    now, key = [], g
-                now.append((g, *x))
+                    now, key = [], k
+                now.append(x)
                 size += len(x[4])
         if len(now) > 1:
             held.append(now)
@@ -250,92 +301,95 @@ def _by_suffix_array(least: int):
     return run
 
 
-def _split(least: int):
-    """Takes contexts of crowded grams; gives each of their strings as a context of its own, dealt by its content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for doc_id, h, p, times, s in zip(*(b.column(k).to_pylist() for k in range(5))):
-                raw = np.frombuffer(s, np.uint8)
-                power, inverse = _powers(len(raw))
-                total = np.zeros(len(raw) + 1, np.uint64)
-                np.cumsum(_TABLE[raw] * power, out=total[1:])
-                n = p & 0xFFFFF
-                keys = mixed((total[least : least + n] - total[:n]) * inverse[:n]).view(np.int64)
-                rows += [(doc_id, h, (((p >> 20) + i) << 20) | 1, times, k) for i, k in enumerate(keys.tolist())]
-                if len(rows) > 100_000:
-                    yield _batch(rows, ["doc_id", "h", "p", "times", "k"])
-                    rows = []
-            if rows:
-                yield _batch(rows, ["doc_id", "h", "p", "times", "k"])
-
-    return run
+def _status(rows: DataFrame, key: str, times) -> DataFrame:
+    """key, c, times, first (doc_id, h, p), many (contents of the key), fewest (times of one), for keys met twice."""
+    by_content = rows.groupBy(key, "c").agg(times.alias("times"), F.min(F.struct("doc_id", "h", "p")).alias("first"))
+    by_key = by_content.groupBy(key).agg(F.count(F.lit(1)).alias("many"), F.sum("times").alias("all"), F.min("times").alias("fewest")).where("`all` > 1")
+    return by_content.join(by_key, key).select(key, "c", "times", "first", "many", "fewest")
 
 
-def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """doc_id, h, p: runs of starts (first << 20 | number) whose strings of `least` bytes also start elsewhere."""
+def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """doc_id, h, p: runs of starts (packed) whose strings of `least` bytes also start elsewhere."""
+    if not 0 < least < 4096 or blocks[-1] != 1:
+        raise ValueError("least is 1 to 4095, and the last block 1")
+    blocks = [min(b, (least + 1) // 2) for b in blocks]  # the strings of a block must share a core
     found = stored(_found(docs, least, gram), "spans-found")
-    one = F.struct("doc_id", "h", "p")
-    by_content = found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("first"))
-    by_gram = by_content.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.sum("times").alias("all"), F.min("times").alias("fewest")).where("`all` > 1")
-    status = stored(by_content.join(by_gram, "g").select("g", "c", "times", "first", "many", "fewest"), "spans-status")
-    whole = status.where("times > 1").select("c")
-    known = found.select("doc_id", "h", "c", "p").join(whole, "c").select("doc_id", "h", "p")
+    status = stored(_status(found, "g", F.count(F.lit(1))), "spans-status")
+    out = [found.select("doc_id", "h", "c", "p").join(status.where("times > 1").select("c"), "c").select("doc_id", "h", "p")]
     # One occurrence of each distinct context of a gram that has a single one.
-    closer = status.where("many > 1 and fewest = 1").select("first.*", "g", "c", "many", "times")
-    needs = closer.groupBy("doc_id", "h").agg(F.collect_list(F.struct("g", "c", "p", "many", "times")).alias("needs"))
+    needs = status.where("many > 1 and fewest = 1").select("first.*", "times").groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "times")).alias("needs"))
     d, n = _packed(docs).alias("d"), needs.alias("n")
     joined = d.join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.h") == F.col("n.h"))).select("d.doc_id", "d.h", "d.z", "n.needs")
-    cut = stored(joined.mapInArrow(_cut_out(least), _CUT), "spans-cut")
-    few = cut.where(F.col("many") <= most).select("g", "doc_id", "h", "p", "times", "s")
-    close = few.repartition("g").sortWithinPartitions("g").mapInArrow(_by_suffix_array(least), _SPANS)
-    parts = cut.where(F.col("many") > most).select("doc_id", "h", "p", "times", "s").mapInArrow(_split(least), "doc_id long, h long, p long, times long, k long")
-    crowd = parts.groupBy("k").agg(F.sum("times").alias("n")).where("n > 1").select("k")
-    split = parts.where("times = 1").join(crowd, "k").select("doc_id", "h", "p")
-    return known.unionByName(close).unionByName(split)
+    cut = stored(joined.mapInArrow(_cut_out(least, blocks[0]), _PIECES_SCHEMA), "spans-cut", "zstd")
+    for block in (*blocks[1:], None):
+        status = stored(_status(cut, "k", F.sum("times")), "spans-status")
+        out.append(cut.where("times = 1").select("doc_id", "h", "p", "k", "c").join(status.where("times > 1").select("k", "c"), ["k", "c"]).select("doc_id", "h", "p"))
+        if block is None:
+            break
+        left = status.where("many > 1 and fewest = 1").select("k", "first.*", "many")
+        a, b = cut.alias("a"), left.alias("b")
+        one = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.p") == F.col("b.p"))
+        few = a.join(b.where(F.col("many") <= most), one).select("a.k", "a.doc_id", "a.h", "a.p", "a.times", "a.s")
+        out.append(few.repartition("k").sortWithinPartitions("k").mapInArrow(_by_suffix_array(least), _SPANS))
+        crowded = a.join(b.where(F.col("many") > most), one).select("a.doc_id", "a.h", "a.p", "a.times", "a.s")
+        cut = stored(crowded.mapInArrow(_cut_again(least, block), _PIECES_SCHEMA), "spans-cut", "zstd")
+    return reduce(DataFrame.unionByName, out)
 
 
 def _covered(spans_: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the strings that start in the spans."""
     first = np.sort(spans_)
-    a, n = first >> 20, first & 0xFFFFF
+    a, n = first >> 24, first & 0xFFF
     end = np.maximum.accumulate(a + n - 1 + least)
     new = np.flatnonzero(np.concatenate(([True], a[1:] > end[:-1])))
     return list(zip(a[new].tolist(), end[np.append(new[1:] - 1, len(a) - 1)].tolist()))
 
 
-def removed(docs: DataFrame, least: int = LEAST, keep_text: bool = False, gram: int = GRAM, most: int = MOST) -> DataFrame:
+def removed(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of start, end) for each row of docs.
 
-    keep_text adds h (xxhash64 of the text, null as empty) and kept, the remaining bytes as text; bytes of characters
-    that were cut in two are left out of it.
+    carry names columns of docs that come along in a struct `carry`. keep_text adds kept, the remaining bytes as text;
+    bytes of characters that were cut in two are left out of it.
     """
     at = stored(spans(docs, least, gram, most), "spans")
     per = at.groupBy("doc_id", "h").agg(F.collect_list("p").alias("p"))
-    d, s = _packed(docs).alias("d"), per.alias("s")
-    joined = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.h") == F.col("s.h")), "left").select("d.doc_id", "d.h", "d.z", "s.p")
+    d, s = _packed(docs, carry).alias("d"), per.alias("s")
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.h") == F.col("s.h"))
+    joined = d.join(s, same, "left").select("d.doc_id", "d.z", "s.p", *(["d.carry"] if carry else []))
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if keep_text else []), *(["carry"] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_bytes, n_removed, n_spans, sha, runs, texts = [], [], [], [], [], []
-            for z, p in zip(b.column(2), b.column(3)):
+            rows = []
+            for z, p in zip(b.column(1), b.column(2)):
                 t = zstandard.decompress(z.as_py())
                 found = _covered(p.values.to_numpy(zero_copy_only=False), least) if p.is_valid and len(p) else []
-                kept, last = [], 0
+                parts, last = [], 0
                 for i, j in found:
-                    kept.append(t[last:i])
+                    parts.append(t[last:i])
                     last = j
-                kept = b"".join([*kept, t[last:]])
-                n_bytes.append(len(t))
-                n_removed.append(len(t) - len(kept))
-                n_spans.append(len(found))
-                sha.append(hashlib.sha256(kept).hexdigest())
-                runs.append([{"start": i, "end": j} for i, j in found])
-                texts.append(kept.decode("utf-8", "ignore") if keep_text else None)
-            arrays = [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-            yield pa.RecordBatch.from_arrays([*arrays, *([b.column(1), pa.array(texts, pa.string())] if keep_text else [])], [*names, *(["h", "kept"] if keep_text else [])])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + (", h long, kept string" if keep_text else "")
+                kept = b"".join([*parts, t[last:]])
+                rows.append((len(t), len(t) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), [{"start": i, "end": j} for i, j in found], kept.decode("utf-8", "ignore") if keep_text else None))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), spans_type, pa.string()][: 6 if keep_text else 5]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), *b.columns[3:]], names)
+
+    schema = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    schema = schema.add("spans", ArrayType(StructType().add("start", "long").add("end", "long")))
+    if keep_text:
+        schema = schema.add("kept", "string")
+    if carry:
+        schema = schema.add("carry", docs.select(F.struct(*carry).alias("carry")).schema["carry"].dataType)
     return joined.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of docs with repeated strings cut out of text and n_chars (if there is one) set anew; rows of which no
+    word is left are dropped, those that had none before stay."""
+    cut = removed(docs, least, carry=tuple(docs.columns), keep_text=True)
+    left = (F.col("n_removed") == 0) | (F.trim(F.translate("kept", "\t\n\x0b\x0c\r", " ")) != "")
+    text = F.when(F.col("carry.text").isNotNull(), F.col("kept"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("carry.n_chars")).otherwise(F.length("kept")) if "n_chars" in docs.columns else None}
+    kinds = dict(docs.dtypes)
+    return cut.where(left).select(*[(new[c] if c in new else F.col("carry").getField(c)).cast(kinds[c]).alias(c) for c in docs.columns])
