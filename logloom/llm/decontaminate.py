@@ -188,6 +188,6 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, literal
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that leak no item."""
-    bad = stored(leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "decon-bad")
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h")), "left_anti")
+    bad = stored(leaks(docs, items).select(F.col("doc_id").alias("id"), "h").distinct(), "decon-bad")
+    h = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["id"]) & (h == bad["h"]), "left_anti")

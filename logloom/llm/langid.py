@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_col, in_slices
+from .common import fresh, held_out_col, in_slices
 
 BITS, ORDERS = 15, 3
 BUCKETS = 1 << BITS
@@ -102,10 +102,10 @@ def _scored(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, lang_pred and score for each row of docs."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), as_: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of keep, lang_pred and score (under the names of as_) for each row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(as_[0], "string").add(as_[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
@@ -116,12 +116,19 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             if known:
                 best, score[known] = _scored(m, [texts[k] for k in known])
                 lang[known] = np.array(m.langs, object)[best]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], [*keep, *as_])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Learns from the rows whose crc32(doc_id) mod 4 is not 2 and predicts all rows."""
     known = docs.where(~held_out_col(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull())
     return predict(docs, train(known), keep)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language is identified: all but those that are predicted to be `und`."""
+    known = docs.where(~held_out_col(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull())
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    return predict(docs, train(known), tuple(docs.columns), (lang, score)).where(F.col(lang) != "und").select(*docs.columns)

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_col, stored
+from .common import n_words_col, stored, text_hash
 
 BLOCK = 64
 _TINY = 1e-9
@@ -88,17 +88,18 @@ def _folded(items: Column, level: int) -> Column:
         )
         return F.when(a.isNull(), F.struct(x.alias("carry"), state["done"].alias("done"))).otherwise(_let(room, moved))
 
-    item = "struct<draw:bigint,row:struct<doc_id:bigint,size:bigint,base:int>,size:double,p:double>"
-    zero = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast("array<struct<row:struct<doc_id:bigint,size:bigint,base:int>,up:int>>").alias("done"))
+    item = "struct<draw:bigint,row:struct<doc_id:bigint,h:bigint,size:bigint,base:int>,size:double,p:double>"
+    zero = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast("array<struct<row:struct<doc_id:bigint,h:bigint,size:bigint,base:int>,up:int>>").alias("done"))
     return F.aggregate(items, zero, step)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): doc_id, size, source, source_size, target, copies, taken.
+    """One row per row of docs (doc_id, text, source): doc_id, h (xxhash64 of the text, null as empty), size, source,
+    source_size, target, copies, taken.
 
     Blocks hold about `block` rows, whatever a source's share of the rows; nothing but one row per source is joined.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words_col(F.col("text")).alias("size")), "mix-sizes")
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_hash().alias("h"), n_words_col(F.col("text")).alias("size")), "mix-sizes")
     per = stored(targets(sized, weights, most), "mix-targets")
     largest = per.agg(F.max("n_rows")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -107,21 +108,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     rows = rows.withColumn("base", F.floor(F.col("rate") + _TINY).cast("int")).withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
     open_ = (F.col("size") > 0) & (F.col("p") > _TINY)
     kept = ["source", "source_size", "target"]
-    out = [rows.where(~open_).select("doc_id", "size", *kept, F.col("base").alias("copies"))]
-    draw = F.xxhash64("doc_id", "size", F.lit("mix"))
-    state = rows.where(open_).select(*kept, "n_rows", F.struct(draw.alias("draw"), F.struct("doc_id", "size", "base").alias("row"), F.col("size").cast("double").alias("size"), "p").alias("x"))
+    out = [rows.where(~open_).select("doc_id", "h", "size", *kept, F.col("base").alias("copies"))]
+    draw = F.xxhash64("doc_id", "h", F.lit("mix"))
+    state = rows.where(open_).select(*kept, "n_rows", F.struct(draw.alias("draw"), F.struct("doc_id", "h", "size", "base").alias("row"), F.col("size").cast("double").alias("size"), "p").alias("x"))
     level, spread = 0, block
     while largest:
         blocks = F.ceil(F.col("n_rows") / spread)
         dealt = state.groupBy(*kept, "n_rows", F.pmod(F.xxhash64("x.draw", F.lit(level)), blocks).alias("b"))
         items = F.array_sort(F.collect_list("x"))
         done = stored(dealt.agg(_folded(items, level).alias("f")), f"mix-level{level}")
-        out.append(done.select(*kept, F.explode("f.done").alias("d")).select("d.row.doc_id", "d.row.size", *kept, (F.col("d.row.base") + F.col("d.up")).alias("copies")))
+        out.append(done.select(*kept, F.explode("f.done").alias("d")).select("d.row.doc_id", "d.row.h", "d.row.size", *kept, (F.col("d.row.base") + F.col("d.up")).alias("copies")))
         state = done.where(F.col("f.carry").isNotNull()).select(*kept, "n_rows", F.col("f.carry").alias("x"))
         if spread >= largest:
             break
         level, spread = level + 1, spread * block
     last = F.when(_chance(F.col("x.draw"), F.lit("last")) < F.col("x.p"), 1).otherwise(0)
-    out.append(state.select("x.row.doc_id", "x.row.size", *kept, (F.col("x.row.base") + last).alias("copies")))
+    out.append(state.select("x.row.doc_id", "x.row.h", "x.row.size", *kept, (F.col("x.row.base") + last).alias("copies")))
     done = reduce(DataFrame.unionByName, out)
-    return done.select("doc_id", "size", *kept, "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return done.select("doc_id", "h", "size", *kept, "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken, each row once. Rows that
+    repeat id, source and text are one row here, with their copies added up."""
+    mixed = mix(docs, weights, most).groupBy("doc_id", "h", "source").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("source_size", "target")], *[F.sum(c).cast("long").alias(c) for c in ("size", "copies", "taken")])
+    mixed = stored(mixed.where("copies > 0"), "mix-taken")
+    if not mixed.where("n > 1").isEmpty():
+        docs = docs.dropDuplicates()
+    m = mixed.select(*[F.col(c).alias(f"_{c}") for c in mixed.columns])
+    h = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(m["_doc_id"]) & (h == m["_h"]) & docs["source"].cast("string").eqNullSafe(m["_source"])
+    added = ["size", "source_size", "target", "copies", "taken"]
+    return docs.join(m, same).select(*[docs[c] for c in docs.columns if c not in added], *[m[f"_{c}"].alias(c) for c in added])

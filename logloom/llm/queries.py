@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, quality, rules, simhash, substrings, warc
+from . import decontaminate, langid, licenses, lm, mixing, quality, rules, simhash, substrings, warc
 from .common import held_out_col, table
 
 
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op1_substrings": op1_substrings,
         "op2_langid": op2_langid,
         "op3_warc": op3_warc,
+        "op4_lm": op4_lm,
         "op5_quality": op5_quality,
         "op6_rules": op6_rules,
         "op7_mixing": op7_mixing,

@@ -24,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import fresh, stored, text_hash, texts_of
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 2, 42
@@ -54,14 +54,15 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number, for each row."""
+    """doc_id, h (xxhash64 of the text) and fp, the fingerprint as a signed 64-bit number, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, width) for t in texts_of(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t, width) for t in texts_of(b.column(2))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    return cols.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _ball(fp: Column, radius: int) -> Column:
@@ -80,33 +81,40 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
+def _named(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """doc_id, h, fp and root (one fingerprint of the component) for each row of docs."""
+    marked = stored(fingerprints(docs, width), "simhash")
+    fps = stored(marked.select("fp").distinct(), "simhash-distinct")
+    roots = stored(components(links(fps, radius)), "simhash-roots")
+    return stored(marked.join(roots, marked["fp"] == roots["node"], "left").select("doc_id", "h", "fp", F.coalesce("root", "fp").alias("root")), "simhash-named")
+
+
 def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) for each row of docs."""
-    marked = stored(fingerprints(docs, width), "simhash")
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(fps.select("fp"), radius))
-    owned = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    owned = stored(owned, "simhash-owned")
-    names = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = owned.join(names, "root").select("fp", "component_id")
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    rows = _named(docs, width, radius)
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near-duplicates: of each component, one row with its least doc_id stays.
 
-    The ids to keep are joined, not the texts regrouped: only rows whose doc_id is repeated are compared further, by a
-    number per row within that id.
+    A text that doesn't stay is dropped by its id and hash, so texts are neither regrouped nor sorted; only rows that
+    repeat both id and text of one that stays are numbered.
     """
-    named = classes(docs, width, radius)
-    keep = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    twice = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "simhash-twice")
+    rows = _named(docs, width, radius)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    judged = stored(rows.join(best, "root").select("doc_id", "h", stays.alias("stays")), "simhash-judged")
+    out = stored(judged.where("not stays").select(F.col("doc_id").alias("id"), "h").distinct(), "simhash-out")
+    twice = stored(judged.where("stays").groupBy(F.col("doc_id").alias("id"), "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "h"), "simhash-twice")
+
+    def same(other: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(other["id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == other["h"])
+
+    kept = docs.join(out, same(out), "left_anti")
     if twice.isEmpty():
         return kept
-    from pyspark.sql import Window
-
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi")
-    first = again.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_k = 1").drop("_k")
-    return kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti").unionByName(first)
+    number = fresh(docs, "number")
+    again = kept.join(twice, same(twice), "left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1))))
+    return kept.join(twice, same(twice), "left_anti").unionByName(again.where(F.col(number) == 1).drop(number))
