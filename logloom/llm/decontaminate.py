@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, mixed, stored, texts_of
+from .common import in_slices, mapped, mixed, stored, texts_of
 
 WIDTH, LITERALS, COVERAGE = 8, 4, 0.5
 #: Bits of the bitmap that document windows pass.
@@ -121,7 +121,7 @@ def _windowed(rows: DataFrame, key: str, widths: list[int] | None, bitmap, liter
         for b in batches:
             base = 0
             for some in in_slices(list(texts_of(b.column(2))), 1 << 21):
-                if len(words) > 1_000_000:
+                if len(words) > 300_000:
                     words = _Words()
                 code, value, slot, owner = tokens(some, words)
                 begin = np.searchsorted(owner, np.arange(len(some) + 1))
@@ -149,7 +149,7 @@ def _windowed(rows: DataFrame, key: str, widths: list[int] | None, bitmap, liter
                 base += len(some)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return rows.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, _ROW.format("long"))
+    return mapped(rows.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("h"), text.alias("text")), run, _ROW.format("long"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, literals: int = LITERALS) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out_col, in_slices
+from .common import fresh, held_out_col, in_slices, mapped
 
 BITS, ORDERS = 15, 3
 BUCKETS = 1 << BITS
@@ -71,7 +71,7 @@ def train(rows: DataFrame, alpha: float = 0.5) -> Model:
         for lang, held in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([held.tolist()])], ["lang", "n"])
 
-    parts = rows.select("text", "lang").mapInArrow(count, "lang string, n array<long>")
+    parts = mapped(rows.select("text", "lang"), count, "lang string, n array<long>")
     cells = parts.select("lang", F.posexplode("n").alias("bucket", "n")).where("n > 0").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     cells = cells.toPandas()
     langs = sorted(cells["lang"].unique())
@@ -118,7 +118,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 lang[known] = np.array(m.langs, object)[best]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], [*keep, *as_])
 
-    return docs.select(*keep, F.col("text").cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, F.col("text").cast("string").alias(fresh(docs, "_text"))), run, schema)
 
 
 def identified(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

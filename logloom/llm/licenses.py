@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import mapped, texts_of
 
 COVERAGE, REACH = 0.8, 2
 _WORD = re.compile(rb"[a-z0-9]+")
@@ -166,4 +166,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long")
+    return mapped(cols, run, "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long")

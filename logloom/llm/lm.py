@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_col, mixed, stored, word_hashes
+from .common import give_back, held_out_col, mapped, mixed, stored, word_hashes
 
 #: Bytes of text per part and per range of hashes.
 PART, RANGE = 24 << 20, 16 << 20
@@ -87,7 +87,9 @@ def _asked(bits: int):
                 if b > a:
                     rows.append((kind, r, table.column("part")[0].as_py(), int(b - a), _pack(np.diff(own[a:b], prepend=np.uint64(0))), _pack(fit[a:b]), _pack(tune[a:b])))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["kind", "range", "part", "n", "keys", "fit", "tune"])
+        out = pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["kind", "range", "part", "n", "keys", "fit", "tune"])
+        give_back()
+        return out
 
     return run
 
@@ -176,7 +178,7 @@ def scored(docs: DataFrame, part: int = PART, range_: int = RANGE) -> DataFrame:
             z = pa.array([pack(x.as_py().encode()) for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), z, b.column(2), b.column(3)], ["doc_id", "z", "use", "part"])
 
-    rows = rows.mapInArrow(packed, "doc_id long, z binary, use int, part long")
+    rows = mapped(rows, packed, "doc_id long, z binary, use int, part long")
     asked = rows.groupBy("part").applyInArrow(_asked(bits), _ASK)
     answers = stored(asked.groupBy("kind", "range").applyInArrow(_answered, _ANSWER), "lm-counts")
     total = answers.where(f"part = -1 and kind = {_TOKENS}").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_fit", "n_tune", "v_fit", "v_all")]).first()

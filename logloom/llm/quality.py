@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of, word_hashes
+from .common import mapped, stored, texts_of, word_hashes
 
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE = 50_000
@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             if len(k):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), y, np.int32)), pa.array(k), pa.array(held[y, k])], ["y", "k", "n"])
 
-    cells = rows.mapInArrow(count, "y int, k long, n long").groupBy("y", "k").agg(F.sum("n").alias("n")).toPandas()
+    cells = mapped(rows, count, "y int, k long, n long").groupBy("y", "k").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((2, BUCKETS + _SHAPES + 1))
     n[cells["y"].to_numpy(int), cells["k"].to_numpy(int)] = cells["n"]
     seen = n[:, -1]
@@ -113,7 +113,7 @@ def evidence(docs: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
                 llr.append(float(told + of_shapes[shape].sum()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(llr, pa.float64())], [*keep, "llr"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, F.col("text").cast("string").alias("_text")), run, schema)
 
 
 def _strength(rates: DataFrame, mean) -> float:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, text_hash, texts_of
+from .common import fresh, mapped, stored, text_hash, texts_of
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 2, 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, h long, fp long")
+    return mapped(cols, run, "doc_id long, h long, fp long")
 
 
 def _ball(fp: Column, radius: int) -> Column:

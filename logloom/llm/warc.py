@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import mapped, new_folder, stored
 
 SMALLEST = 100
 _PIECE = 1 << 20
@@ -99,7 +99,7 @@ def write(plan: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return plan.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "file string, records long")
+    return mapped(plan.select("page_id", "url", "html", "digest", "refers_to"), run, "file string, records long")
 
 
 def _inflated(source) -> Iterator[bytes]:
@@ -173,7 +173,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                         offset, n = offset + len(member), n + 1
                 yield pa.RecordBatch.from_arrays([pa.array([f"{stem}.warc.gz"]), pa.array([f"{stem}.cdx"]), pa.array([n], pa.int64())], ["file", "index", "records"])
 
-    return files.select("file").mapInArrow(run, "file string, index string, records long")
+    return mapped(files.select("file"), run, "file string, index string, records long")
 
 
 def _number(urn: str | None) -> int | None:
@@ -215,7 +215,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return files.select("file", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return mapped(files.select("file", "index"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, smallest: int = SMALLEST) -> DataFrame:
