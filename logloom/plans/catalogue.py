@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import log_queries
+
+_MODULES = (log_queries,)
+
 
 def entry(spark, sf_dir):
     return queries()["incidents_order_cap"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, (f, _) in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.Q.items() if sql}
