@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StructType
 
-from .common import mixed, stored
+from .common import mapped, mixed, stored
 from .suffix import _ranges, suffix_arrays
 
 LEAST, GRAM, MOST = 200, 24, 64
@@ -150,17 +150,17 @@ def _packed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, h (of the text) and z, the compressed text: what a shuffle of texts moves; and the columns of carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            z = pa.array([pack((x.as_py() or "").encode()) for x in b.column(2)], pa.binary())
+            z = pa.array([pack(x.as_py().encode()) if x.is_valid else None for x in b.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z, *b.columns[3:]], ["doc_id", "h", "z", *(["carry"] if carry else [])])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     more = [F.struct(*carry).alias("carry")] if carry else []
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("z"), *more)
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col("text").cast("string").alias("z"), *more)
     schema = cols.schema
     schema["z"].dataType = BinaryType()
-    return cols.mapInArrow(run, schema)
+    return mapped(cols, run, schema)
 
 
 def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return cols.mapInArrow(run, "doc_id long, h long, g long, c long, p long")
+    return mapped(cols, run, "doc_id long, h long, g long, c long, p long")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -225,7 +225,7 @@ def _cut_out(least: int, block: int):
         def rows():
             for b in batches:
                 for doc_id, h, z, needs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                    t = zstandard.decompress(z.as_py())
+                    t = zstandard.decompress(z.as_py()) if z.is_valid else b""
                     for x in needs.as_py():
                         first, _, n = _unpack(x["p"])
                         for k, c, p, s in pieces(t[first : first + n - 1 + least], x["p"], block, least):
@@ -302,10 +302,12 @@ def _by_suffix_array(least: int):
 
 
 def _status(rows: DataFrame, key: str, times) -> DataFrame:
-    """key, c, times, first (doc_id, h, p), many (contents of the key), fewest (times of one), for keys met twice."""
-    by_content = rows.groupBy(key, "c").agg(times.alias("times"), F.min(F.struct("doc_id", "h", "p")).alias("first"))
-    by_key = by_content.groupBy(key).agg(F.count(F.lit(1)).alias("many"), F.sum("times").alias("all"), F.min("times").alias("fewest")).where("`all` > 1")
-    return by_content.join(by_key, key).select(key, "c", "times", "first", "many", "fewest")
+    """key, c, times, closer, many: for keys met twice, how often each content occurs, whether a single one stands beside
+    others, and how many contents the key has. Only keys and numbers move."""
+    by_content = rows.groupBy(key, "c").agg(times.cast("int").alias("times"))
+    by_key = by_content.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("many"), F.max("times").alias("most"), F.min("times").alias("fewest"))
+    by_key = by_key.where("many > 1 or most > 1").select(key, "many", ((F.col("many") > 1) & (F.col("fewest") == 1)).alias("closer"))
+    return by_content.join(by_key, key)
 
 
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
@@ -313,26 +315,30 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOS
     if not 0 < least < 4096 or blocks[-1] != 1:
         raise ValueError("least is 1 to 4095, and the last block 1")
     blocks = [min(b, (least + 1) // 2) for b in blocks]  # the strings of a block must share a core
-    found = stored(_found(docs, least, gram), "spans-found")
-    status = stored(_status(found, "g", F.count(F.lit(1))), "spans-status")
-    out = [found.select("doc_id", "h", "c", "p").join(status.where("times > 1").select("c"), "c").select("doc_id", "h", "p")]
+    found = stored(_found(docs, least, gram), "spans-found", "zstd")
+    status = stored(_status(found, "g", F.count(F.lit(1))), "spans-status").where("times > 1 or closer")
+    met = stored(found.select("doc_id", "h", "c", "p").join(status.select("c", "times", "closer"), "c"), "spans-met", "zstd")
+    out = [met.where("times > 1").select("doc_id", "h", "p")]
     # One occurrence of each distinct context of a gram that has a single one.
-    needs = status.where("many > 1 and fewest = 1").select("first.*", "times").groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "times")).alias("needs"))
+    first = met.where("closer").groupBy("c", "times").agg(F.min(F.struct("doc_id", "h", "p")).alias("first"))
+    needs = first.select("first.*", "times").groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "times")).alias("needs"))
     d, n = _packed(docs).alias("d"), needs.alias("n")
     joined = d.join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.h") == F.col("n.h"))).select("d.doc_id", "d.h", "d.z", "n.needs")
-    cut = stored(joined.mapInArrow(_cut_out(least, blocks[0]), _PIECES_SCHEMA), "spans-cut", "zstd")
+    cut = stored(mapped(joined, _cut_out(least, blocks[0]), _PIECES_SCHEMA), "spans-cut", "zstd")
     for block in (*blocks[1:], None):
         status = stored(_status(cut, "k", F.sum("times")), "spans-status")
-        out.append(cut.where("times = 1").select("doc_id", "h", "p", "k", "c").join(status.where("times > 1").select("k", "c"), ["k", "c"]).select("doc_id", "h", "p"))
+        narrow = cut.select("doc_id", "h", "p", "times", "k", "c").join(status.where("times > 1 or closer").withColumnRenamed("times", "all"), ["k", "c"])
+        narrow = stored(narrow, "spans-met", "zstd")
+        out.append(narrow.where("times = 1 and `all` > 1").select("doc_id", "h", "p"))
         if block is None:
             break
-        left = status.where("many > 1 and fewest = 1").select("k", "first.*", "many")
+        left = narrow.where("closer").groupBy("k", "c", "many").agg(F.min(F.struct("doc_id", "h", "p")).alias("first")).select("k", "first.*", "many")
         a, b = cut.alias("a"), left.alias("b")
         one = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.p") == F.col("b.p"))
         few = a.join(b.where(F.col("many") <= most), one).select("a.k", "a.doc_id", "a.h", "a.p", "a.times", "a.s")
-        out.append(few.repartition("k").sortWithinPartitions("k").mapInArrow(_by_suffix_array(least), _SPANS))
+        out.append(mapped(few.repartition("k").sortWithinPartitions("k"), _by_suffix_array(least), _SPANS))
         crowded = a.join(b.where(F.col("many") > most), one).select("a.doc_id", "a.h", "a.p", "a.times", "a.s")
-        cut = stored(crowded.mapInArrow(_cut_again(least, block), _PIECES_SCHEMA), "spans-cut", "zstd")
+        cut = stored(mapped(crowded, _cut_again(least, block), _PIECES_SCHEMA), "spans-cut", "zstd")
     return reduce(DataFrame.unionByName, out)
 
 
@@ -348,7 +354,7 @@ def _covered(spans_: np.ndarray, least: int) -> list[tuple[int, int]]:
 def removed(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of start, end) for each row of docs.
 
-    carry names columns of docs that come along in a struct `carry`. keep_text adds kept, the remaining bytes as text;
+    carry names columns of docs that come along in a struct `carry`. keep_text adds kept, the remaining bytes as text (null for a null text);
     bytes of characters that were cut in two are left out of it.
     """
     at = stored(spans(docs, least, gram, most), "spans")
@@ -363,14 +369,14 @@ def removed(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = M
         for b in batches:
             rows = []
             for z, p in zip(b.column(1), b.column(2)):
-                t = zstandard.decompress(z.as_py())
+                t = zstandard.decompress(z.as_py()) if z.is_valid else b""
                 found = _covered(p.values.to_numpy(zero_copy_only=False), least) if p.is_valid and len(p) else []
                 parts, last = [], 0
                 for i, j in found:
                     parts.append(t[last:i])
                     last = j
                 kept = b"".join([*parts, t[last:]])
-                rows.append((len(t), len(t) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), [{"start": i, "end": j} for i, j in found], kept.decode("utf-8", "ignore") if keep_text else None))
+                rows.append((len(t), len(t) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), [{"start": i, "end": j} for i, j in found], kept.decode("utf-8", "ignore") if keep_text and z.is_valid else None))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), spans_type, pa.string()][: 6 if keep_text else 5]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds)), *b.columns[3:]], names)
@@ -381,15 +387,15 @@ def removed(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = M
         schema = schema.add("kept", "string")
     if carry:
         schema = schema.add("carry", docs.select(F.struct(*carry).alias("carry")).schema["carry"].dataType)
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, run, schema)
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of docs with repeated strings cut out of text and n_chars (if there is one) set anew; rows of which no
     word is left are dropped, those that had none before stay."""
-    cut = removed(docs, least, carry=tuple(docs.columns), keep_text=True)
+    others = tuple(c for c in docs.columns if c != "text")
+    cut = removed(docs, least, carry=others, keep_text=True)
     left = (F.col("n_removed") == 0) | (F.trim(F.translate("kept", "\t\n\x0b\x0c\r", " ")) != "")
-    text = F.when(F.col("carry.text").isNotNull(), F.col("kept"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("carry.n_chars")).otherwise(F.length("kept")) if "n_chars" in docs.columns else None}
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") == 0, F.col("carry.n_chars")).otherwise(F.length("kept")) if "n_chars" in docs.columns else None}
     kinds = dict(docs.dtypes)
     return cut.where(left).select(*[(new[c] if c in new else F.col("carry").getField(c)).cast(kinds[c]).alias(c) for c in docs.columns])
