@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import finding_queries, kb_queries, log_queries
+from . import finding_queries, kb_queries, log_queries, saml_queries
 
-_MODULES = (log_queries, finding_queries, kb_queries)
+_MODULES = (log_queries, finding_queries, kb_queries, saml_queries)
 
 
 def entry(spark, sf_dir):
