@@ -1,11 +1,13 @@
-"""Runs log families over lines in one pass: signals per line, one grouped aggregate, findings from thresholds.
+"""Runs log families over lines: signals per line, one grouped aggregate, findings from thresholds.
 
-A family is data (family_rules), so a new one adds rows and no code. All families of a call share one scan: each line
-gives the signals it carries, and what follows works on counts per file, family, signal and entity only.
+A family is data (family_rules), so a new one adds rows and no code. Each line gives the signals it carries, and what
+follows works on counts per file, family, signal and entity only. A few families share a pass over the lines; a call with
+many makes several passes, for which the caller may keep the lines.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .family_rules import FAMILIES, Family, Signal
 
+#: Families judged together in one pass over the lines.
+BRANCH = 3
 BUILTIN = tuple(f.name for f in FAMILIES if f.builtin)
 
 
@@ -25,9 +29,14 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions) if conditions else F.lit(True)
 
 
-def hint(family: Family, line: Column) -> Column:
-    low = F.lower(line)
-    tests = [F.contains(low, F.lit(w)) for w in family.hint]
+def _words(words: tuple[str, ...], exact: bool = False) -> str:
+    """One pattern for any of the words; in lower case unless exact."""
+    return "|".join(re.escape(w if exact else w.lower()) for w in words)
+
+
+def hint(family: Family, line: Column, low: Column | None = None) -> Column:
+    low = F.lower(line) if low is None else low
+    tests = [low.rlike(_words(family.hint))] if family.hint else []
     return _any(tests + ([line.rlike(family.hint_pattern)] if family.hint_pattern else []))
 
 
@@ -37,11 +46,11 @@ def _number(line: Column, pattern: str) -> Column:
     return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, groups).try_cast("double"))
 
 
-def matches(signal: Signal, line: Column) -> Column:
-    low = F.lower(line)
+def matches(signal: Signal, line: Column, low: Column | None = None) -> Column:
+    low = F.lower(line) if low is None else low
     tests = []
     if signal.words:
-        tests.append(_any([F.contains(line if signal.exact else low, F.lit(w if signal.exact else w.lower())) for w in signal.words]))
+        tests.append((line if signal.exact else low).rlike(_words(signal.words, signal.exact)))
     if signal.pattern:
         tests.append(line.rlike(signal.pattern))
     if signal.ratio:
@@ -64,21 +73,26 @@ def _entity(signal: Signal, line: Column) -> Column:
 
 def signals(lines: DataFrame, families: tuple[Family, ...]) -> DataFrame:
     """file_id, line_no, family, signal, entity, value: one row per line and signal that it carries."""
-    line = F.col("line")
-    found = []
-    for f in families:
-        here = []
-        by_name = {s.name: s for s in f.signals}
-        for s in f.signals:
-            ok = matches(s, line)
-            for other in s.after:
-                ok = ok & ~matches(by_name[other], line)
-            value = _number(line, s.value) if s.value else F.lit(None).cast("double")
-            here.append(F.when(ok, F.struct(F.lit(f.name).alias("family"), F.lit(s.name).alias("signal"), _entity(s, line).alias("entity"), value.alias("value"))))
-        found.append(F.when(hint(f, line), F.array(*here)))
-    rows = lines.where(_any([hint(f, line) for f in families]))
-    each = F.filter(F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull())), lambda x: x.isNotNull())
-    return rows.select("file_id", "line_no", F.explode(each).alias("s")).select("file_id", "line_no", "s.*")
+    line, low = F.col("line"), F.col("_low")
+    rows = lines.withColumn("_low", F.lower("line"))
+    rows = rows.where(_any([hint(f, line, low) for f in families])).select("file_id", "line_no", "line", "_low")
+    branches = []
+    # A branch for every few families keeps each one's generated code small enough to be compiled.
+    for at in range(0, len(families), BRANCH):
+        found = []
+        for f in families[at : at + BRANCH]:
+            here = []
+            by_name = {s.name: s for s in f.signals}
+            for s in f.signals:
+                ok = matches(s, line, low)
+                for other in s.after:
+                    ok = ok & ~matches(by_name[other], line, low)
+                value = _number(line, s.value) if s.value else F.lit(None).cast("double")
+                here.append(F.when(ok, F.struct(F.lit(f.name).alias("family"), F.lit(s.name).alias("signal"), _entity(s, line).alias("entity"), value.alias("value"))))
+            found.append(F.when(hint(f, line, low), F.array(*here)))
+        each = F.array_compact(F.flatten(F.array_compact(F.array(*found))))
+        branches.append(rows.select("file_id", "line_no", F.explode(each).alias("s")).select("file_id", "line_no", "s.*"))
+    return reduce(DataFrame.unionByName, branches)
 
 
 def findings(lines: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:

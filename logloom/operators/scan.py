@@ -24,7 +24,10 @@ def level_counts(lines: DataFrame, rule_level: Column | None = None) -> DataFram
     """file_id, level, n; a line without a level of its own counts under rule_level, a column of lines, if given."""
     rows = R.with_record(lines)
     level = source_level(F.col("rec"), F.col("line"))
-    level = level if rule_level is None else F.coalesce(level, R.normal_level(rule_level))
+    if rule_level is not None:
+        # Generated, not projected: what follows would else repeat the rules inside itself.
+        rows = rows.withColumn("_rule", F.explode(F.array(F.when(F.col("rec.level").isNull(), rule_level))))
+        level = F.coalesce(level, R.normal_level(F.col("_rule")))
     return rows.select("file_id", level.alias("level")).where("level is not null").groupBy("file_id", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
