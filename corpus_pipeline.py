@@ -5,7 +5,8 @@ next one's docs. All but the last return the columns of documents; the last adds
 taken to the documents that the mix takes.
 
 1. language: documents whose language can't be told (no text, or no letter in it) go.
-2. near_duplicates: of documents whose SimHash fingerprints link, the one with the least doc_id stays.
+2. near_duplicates: of documents that shingles of five words of similarity 0.8 or more link, the one with the least doc_id
+   stays.
 3. repeated_passages: every byte of a 200-byte string that also starts elsewhere is cut out; documents of which no word
    is left go.
 4. benchmark: documents that leak a benchmark item go.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, langid, mixing, simhash, substrings
+from logloom.llm import decontaminate, langid, mixing, shingles, substrings
 from logloom.llm.common import stored, table
 
 
@@ -27,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return shingles.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: SQL expresses neither the SimHash components nor the draws of the mix; tests compare with brute force.
+#: SQL expresses neither the components of near copies nor the draws of the mix; tests compare with brute force.
 ORACLE_SQL = None
 
 

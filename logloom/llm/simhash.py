@@ -97,12 +97,16 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFr
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component, one row with its least doc_id stays.
+    """The rows of docs without near-duplicates: of each component, one row with its least doc_id stays."""
+    return least_of_each(docs, _named(docs, width, radius))
+
+
+def least_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each root, the one row of docs with its least doc_id; rows has doc_id, h and root for each row of docs.
 
     A text that doesn't stay is dropped by its id and hash, so texts are neither regrouped nor sorted; only rows that
     repeat both id and text of one that stays are numbered.
     """
-    rows = _named(docs, width, radius)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
     judged = stored(rows.join(best, "root").select("doc_id", "h", stays.alias("stays")), "simhash-judged")
