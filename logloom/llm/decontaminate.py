@@ -8,8 +8,11 @@ alignment of a document with an item, each value that fills a slot of the item m
 document. Alignments that fail are no match. A document leaks an item if the windows of its consistent alignments cover
 at least COVERAGE of the item's tokens.
 
-Windows with fewer than LITERALS words that stand for themselves say too little and are not used; an item of fewer than
-WIDTH tokens is one window of its own width. Document windows pass a bitmap of fixed size before they are joined; it only
+Windows in which few words stand for themselves say little: of an item, those with LITERALS such words are used, or, while
+they can't cover COVERAGE of it, those with one fewer, down to one. The first word of an item is hashed in each reading
+that it can have inside a document: as itself, a name or a unit. Besides, the words as they are, without placeholders, are
+windows of their own, so a verbatim copy is found however many slots it has. An item of fewer than WIDTH tokens is one
+window of its own width. Document windows pass a bitmap of fixed size before they are joined; it only
 saves work, whatever the number of items, and the join decides. The join with the items' windows is an ordinary equi-join
 (broadcast only if the planner finds that side small, else shuffled, with skew split).
 
@@ -39,6 +42,7 @@ NUMBER_WORDS = set(b"two three four five six seven eight nine ten eleven twelve
 NAMES = set(b"alice bob carol dave eve john mary james anna peter paul maria tom emma lucas sara david laura marie pierre hans klaus jose juan carlos ana".split())
 UNITS = set(b"km m cm mm mile miles kg g mg lb lbs ton tons l ml s ms sec seconds minute minutes min h hour hours day days week weeks year years dollars euros cents percent degrees meters metres kilometers grams liters litres apples".split())
 _CAPITAL, _NUM, _UNIT, _END, _NAME = 1, 2, 4, 8, 16
+_RAW = np.uint64(0xC2B2AE3D27D4EB4F)
 _SLOT = {_NUM: np.uint64(0xA24BAED4963EE407), _UNIT: np.uint64(0x9FB21C651E98DF25), _NAME: np.uint64(0xD1342543DE82EF95)}
 
 
@@ -72,8 +76,8 @@ class _Words(dict):
         return n
 
 
-def tokens(texts: list[bytes], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts one after another: code of each token, its own value, whether it is a slot, and the text it is in."""
+def tokens(texts: list[bytes], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts one after another: code of each token, its own value, whether it is a slot, the text it is in, and flags."""
     each = []
     for t in texts:
         w = t.split()
@@ -82,7 +86,7 @@ def tokens(texts: list[bytes], words: _Words) -> tuple[np.ndarray, np.ndarray, n
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in each])
     if not len(owner):
         e = np.zeros(0, np.uint64)
-        return e, e, e.astype(bool), owner
+        return e, e, e.astype(bool), owner, e.astype(np.uint8)
     of = np.concatenate(each)
     value = np.array([x[0] for x in words.feats], np.uint64)[of]
     flags = np.array([x[1] for x in words.feats], np.uint8)[of]
@@ -92,7 +96,7 @@ def tokens(texts: list[bytes], words: _Words) -> tuple[np.ndarray, np.ndarray, n
     unit = (flags & _UNIT > 0) & np.concatenate(([False], number[:-1])) & ~first
     name = ((flags & _CAPITAL > 0) & ~after_end | (flags & _NAME > 0)) & ~unit
     code = np.select([number, unit, name], [_SLOT[_NUM], _SLOT[_UNIT], _SLOT[_NAME]], value)
-    return code, value, number | unit | name, owner
+    return code, value, number | unit | name, owner, flags
 
 
 def windows(code: np.ndarray, slot: np.ndarray, owner: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +113,21 @@ def windows(code: np.ndarray, slot: np.ndarray, owner: np.ndarray, width: int, l
     return at, mixed(h[at] ^ np.uint64(width))
 
 
-_ROW = "key {0}, h long, n long, at long, w long, slots array<struct<i:int,v:long>>"
+def _telling(at: np.ndarray, plain: np.ndarray, width: int, literals: int, least: float) -> np.ndarray:
+    """Which windows of an item are used: those with enough plain words, as many as lets them cover at least `least` tokens."""
+    for enough in range(min(literals, width), 1, -1):
+        ok = plain >= enough
+        if ok.any() and width + np.minimum(np.diff(at[ok]), width).sum() >= least:
+            return ok
+    return plain >= min(1, literals)
 
 
-def _windowed(rows: DataFrame, key: str, widths: list[int] | None, bitmap, literals: int) -> DataFrame:
-    """key, h, n (tokens), at, w (hash) and slots of the windows; items (no widths) get windows of their own width."""
+_ROW = "key {0}, h long, n long, at long, w long, raw boolean, slots array<struct<i:int,v:long>>"
+
+
+def _windowed(rows: DataFrame, key: str, widths: list[int] | None, bitmap, literals: int, coverage: float) -> DataFrame:
+    """key, h, n (tokens), at, w (hash), raw (of words without placeholders) and slots of the windows; items (no widths) get
+    windows of their own width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -123,28 +137,51 @@ def _windowed(rows: DataFrame, key: str, widths: list[int] | None, bitmap, liter
             for some in in_slices(list(texts_of(b.column(2))), 1 << 21):
                 if len(words) > 300_000:
                     words = _Words()
-                code, value, slot, owner = tokens(some, words)
+                code, value, slot, owner, flags = tokens(some, words)
                 begin = np.searchsorted(owner, np.arange(len(some) + 1))
                 out = []
-                for width in widths or range(1, WIDTH + 1):
-                    at, w = windows(code, slot, owner, width, min(literals, width))
-                    if bits is not None:
-                        k = w & np.uint64(BITMAP - 1)
-                        hit = bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8) & 1 > 0
-                        at, w = at[hit], w[hit]
-                    if widths is None:
-                        own = np.minimum(np.diff(begin), WIDTH)[owner[at]] == width
-                        at, w = at[own], w[own]
+
+                def add(at: np.ndarray, w: np.ndarray, width: int, raw: bool, slot: np.ndarray = slot) -> None:
                     for p, x in zip(at.tolist(), w.view(np.int64).tolist()):
                         o = owner[p]
                         filled = [{"i": i, "v": int(value[p + i].view(np.int64))} for i in range(width) if slot[p + i]]
-                        out.append((base + int(o), int(begin[o + 1] - begin[o]), p - int(begin[o]), x, filled))
+                        out.append((base + int(o), int(begin[o + 1] - begin[o]), p - int(begin[o]), x, raw, filled))
+
+                for width in widths or range(1, WIDTH + 1):
+                    at, w = windows(code, slot, owner, width, min(1, literals))
+                    raw_at, raw = windows(value, slot, owner, width, 0)
+                    raw = raw ^ _RAW
+                    if bits is not None:
+                        for a, x, is_raw in ((at, w, False), (raw_at, raw, True)):
+                            k = x & np.uint64(BITMAP - 1)
+                            hit = bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8) & 1 > 0
+                            add(a[hit], x[hit], width, is_raw)
+                        continue
+                    short = np.minimum(np.diff(begin), WIDTH) == width
+                    add(raw_at[short[owner[raw_at]]], raw[short[owner[raw_at]]], width, True)
+                    readings = [(code, slot)]
+                    head = begin[:-1][short]
+                    for flag, kind in ((_CAPITAL, _NAME), (_UNIT, _UNIT)):
+                        other = head[(flags[head] & flag > 0) & ~slot[head]]
+                        if len(other):
+                            readings.append((code.copy(), slot.copy()))
+                            readings[-1][0][other], readings[-1][1][other] = _SLOT[kind], True
+                    plain = np.concatenate(([0], np.cumsum(~slot)))
+                    for k, (a_code, a_slot) in enumerate(readings):
+                        at, w = windows(a_code, a_slot, owner, width, min(1, literals))
+                        for o in np.flatnonzero(short):
+                            own = slice(*np.searchsorted(at, begin[o : o + 2]))
+                            p = at[own]
+                            use = _telling(p, plain[p + width] - plain[p], width, literals, coverage * (begin[o + 1] - begin[o]))
+                            if k:
+                                use &= (p == begin[o]) & (a_slot[p] != slot[p])
+                            add(p[use], w[own][use], width, False, a_slot)
                 for i in range(0, len(out), 50_000):
-                    k, n, p, w, s = zip(*out[i : i + 50_000])
+                    k, n, p, w, raw, s = zip(*out[i : i + 50_000])
                     take = pa.array(k)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(take), b.column(1).take(take), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.array(w, pa.int64()), pa.array(s, pa.list_(pa.struct([("i", pa.int32()), ("v", pa.int64())])))],
-                        ["key", "h", "n", "at", "w", "slots"],
+                        [b.column(0).take(take), b.column(1).take(take), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.array(w, pa.int64()), pa.array(raw, pa.bool_()), pa.array(s, pa.list_(pa.struct([("i", pa.int32()), ("v", pa.int64())])))],
+                        ["key", "h", "n", "at", "w", "raw", "slots"],
                     )
                 base += len(some)
 
@@ -156,7 +193,7 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, literal
     """One row per document and item that it leaks: doc_id, h (xxhash64 of the text), item_id, coverage, n_windows and
     reparameterised (whether a slot is filled otherwise than in the item). docs: doc_id, text; items: item_id, text."""
     spark = docs.sparkSession
-    known = stored(_windowed(items.where(F.col("text").isNotNull()), "item_id", None, None, literals), "decon-items")
+    known = stored(_windowed(items.where(F.col("text").isNotNull()), "item_id", None, None, literals, coverage), "decon-items")
     widths = sorted(r[0] for r in known.select(F.least("n", F.lit(WIDTH)).cast("int")).distinct().collect())  # 1 to WIDTH
     cells = known.selectExpr(f"pmod(w, {BITMAP}) div 64 as cell", "shiftleft(1L, cast(pmod(w, 64) as int)) as bit")
     cells = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()  # BITMAP / 64 rows at most
@@ -164,12 +201,14 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, literal
     if cells:
         bits[[r.cell for r in cells]] = [r.bits for r in cells]
     bitmap = spark.sparkContext.broadcast(bits.view(np.uint8))
-    seen = _windowed(docs.where(F.col("text").isNotNull()), "doc_id", widths or [WIDTH], bitmap, literals)
+    seen = _windowed(docs.where(F.col("text").isNotNull()), "doc_id", widths or [WIDTH], bitmap, literals, coverage)
     d = seen.select(F.col("key").alias("doc_id"), "h", F.col("at").alias("d_at"), "w", F.col("slots").alias("d_slots"))
-    i = known.select(F.col("key").alias("item_id"), F.col("h").alias("i_h"), F.col("n").alias("i_n"), F.col("at").alias("i_at"), "w", F.col("slots").alias("i_slots"))
+    i = known.select(F.col("key").alias("item_id"), F.col("h").alias("i_h"), F.col("n").alias("i_n"), F.col("at").alias("i_at"), "w", "raw", F.col("slots").alias("i_slots"))
     met = stored(d.join(i, "w").withColumn("line", F.col("d_at") - F.col("i_at")), "decon-met")
     line = ["doc_id", "h", "item_id", "i_h", "line"]
-    pairs = met.select(*line, F.explode_outer(F.zip_with("i_slots", "d_slots", lambda a, b: F.struct(a["v"].alias("i"), b["v"].alias("d")))).alias("s"))
+    # Where the words themselves met, each value met itself, whatever counts as a slot in the document.
+    filled = F.when(F.col("raw"), F.col("i_slots")).otherwise(F.col("d_slots"))
+    pairs = met.select(*line, F.explode_outer(F.zip_with("i_slots", filled, lambda a, b: F.struct(a["v"].alias("i"), b["v"].alias("d")))).alias("s"))
     values = pairs.groupBy(*line, "s.i").agg(F.min("s.d").alias("least"), F.max("s.d").alias("most"))
     lines = values.groupBy(*line).agg(F.max(F.coalesce(F.col("least") != F.col("most"), F.lit(False))).alias("mixed"), F.max(F.coalesce(F.col("i") != F.col("least"), F.lit(False))).alias("other"))
     good = lines.where("not mixed").select(*[F.col(c).alias(f"_{c}") for c in line], "other")
