@@ -31,7 +31,7 @@ from .common import mapped, stored, texts_of, word_hashes
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE = 50_000
 BITS, THRESHOLD = 16, 0.5
-#: Standard errors by which a word's log ratio must stand out.
+#: Signed root of the deviance (standard errors, also where a class has no row) by which a word must stand out.
 SIGNIFICANT = 4.5
 BUCKETS = 1 << BITS
 _SHAPES = 8 * 16
@@ -87,9 +87,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     rate = (n[:, :-1] + 0.5) / (seen[:, None] + 1)
     ratio = np.log(rate[1] / rate[0])
     seen_in = n[:, :BUCKETS]
-    # Only buckets whose ratio stands out from chance count: with tens of thousands of them, others would add noise.
-    error = np.sqrt((1 / (seen_in + 0.5) - 1 / (seen[:, None] + 1)).clip(0).sum(axis=0))
-    words = np.where((np.abs(ratio[:BUCKETS]) > SIGNIFICANT * error) & (seen_in.sum(axis=0) >= 5), ratio[:BUCKETS], 0)
+    # Only buckets whose share of good rows stands out from chance count: with tens of thousands of them, others would add
+    # noise. The deviance judges words of one class only as well, and their ratio is shrunk by one row of the base rate.
+    base = (seen / seen.sum())[:, None]
+    total = seen_in.sum(axis=0)
+    deviance = 2 * np.where(seen_in > 0, seen_in * np.log(np.maximum(seen_in, 1) / np.maximum(total * base, 1e-9)), 0).sum(axis=0)
+    share = (seen_in + base) / (total + 1)
+    words = np.where((deviance > SIGNIFICANT**2) & (total >= 5), np.log(share[1] / share[0]) - np.log(seen[1] / seen[0]), 0)
     return words.astype(np.float32), ratio[BUCKETS:].astype(np.float32), float(np.log(seen[1] / seen[0]))
 
 
