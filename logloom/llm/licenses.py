@@ -8,7 +8,8 @@ the template's words that are aligned; at COVERAGE and above the text holds the
 
 A text that lacks too many of a template's distinct words to reach COVERAGE is not aligned with it (an exact bound: each
 word type that is missing leaves all its places uncovered). A template that occurs more than once in a text has no
-unique words there, so the text is cut where the template's rarest word recurs and the best part counts.
+unique words there, so parts of the text are aligned as well: around each place of the template words that are rarest in
+the text, as many of them as no copy of COVERAGE can lack all; the best part counts.
 
 Templates are a fixed table; others can be given. Nulls: a null text has no words; a null doc_id is an id like any other.
 Repeated rows give their result as often as they occur. An empty table gives an empty result.
@@ -123,19 +124,32 @@ def align(template: list[bytes], text: list[bytes], reach: int = REACH) -> list[
     return sorted(out)
 
 
-def best(template: list[bytes], text: list[bytes]) -> list[tuple[int, int]]:
-    """The alignment that covers most, over the parts of the text that hold the template's rarest word once each."""
+def best(template: list[bytes], text: list[bytes], coverage: float = COVERAGE) -> list[tuple[int, int]]:
+    """The alignment that covers most, over the whole text and its parts around words of which any copy that reaches
+    coverage holds one."""
     found = align(template, text)
-    count = Counter(text)
-    rare = min((w for w in template if count[w]), key=lambda w: (count[w], template.index(w)), default=None)
-    if rare is not None and count[rare] > 1 and len(found) < len(template):
-        at = [k for k, w in enumerate(text) if w == rare]
-        own = template.index(rare)
-        for k in at:
-            lo, hi = max(0, k - 2 * own - 2), min(len(text), k + 2 * (len(template) - own) + 2)
-            part = [(i, j + lo) for i, j in align(template, text[lo:hi])]
-            if len(part) > len(found):
-                found = part
+    if len(found) == len(template):
+        return found
+    places, wanted = {}, set(template)
+    for k, w in enumerate(text):
+        if w in wanted:
+            places.setdefault(w, []).append(k)
+    count = Counter(template)
+    spare = len(template) - coverage * len(template) + 1e-9  # places that a copy may lack
+    parts = set()
+    for w in sorted(count, key=lambda w: (len(places.get(w, ())), template.index(w))):
+        if spare < 0:
+            break
+        spare -= count[w]
+        for own in (i for i, x in enumerate(template) if x == w):
+            parts |= {(max(0, k - 2 * own - 2), min(len(text), k + 2 * (len(template) - own) + 2)) for k in places.get(w, ())}
+    for lo, hi in sorted(parts):
+        types = set(text[lo:hi])
+        if sum(n for w, n in count.items() if w in types) <= len(found):
+            continue
+        part = [(i, j + lo) for i, j in align(template, text[lo:hi])]
+        if len(part) > len(found):
+            found = part
     return found
 
 
@@ -157,7 +171,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 for name, template, count, n in table:
                     if sum(k for w, k in count.items() if w in types) < coverage * n:
                         continue
-                    pairs = best(template, words)
+                    pairs = best(template, words, coverage)
                     if len(pairs) >= coverage * n:
                         rows.append((doc_id, name, len(pairs) / n, len(pairs), pairs[0][1], pairs[-1][1]))
             if rows:
