@@ -18,12 +18,15 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if the session is
+    one process (tests); on a cluster that is an error, as each executor would write to its own disk."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not one_process(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="logloom-")
@@ -31,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logloom/{name}-{uuid.uuid4().hex}"
 
@@ -54,6 +61,27 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Keys with over a HEAVY-th of all rows are joined by broadcast: there are at most HEAVY of them, whatever the input.
+HEAVY = 2000
+
+
+def joined_by(rows: DataFrame, per: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with per, which has one row per key and `n`, the number of rows with it (dropped again); null is a key.
+
+    Keys that hold over total / HEAVY rows are broadcast, at most HEAVY rows by construction; the rest is an equi-join
+    without a key that is hot. Both tables should be stored: each is read twice.
+    """
+    cols = [c for c in per.columns if c != "n"]
+    limit = max(1, total // HEAVY)
+    heavy, light = (per.where(w).select(*[F.col(c).alias(f"_p_{c}") for c in cols], F.lit(True).alias("_p")) for w in (f"n > {limit}", f"n <= {limit}"))
+    more = [c for c in cols if c != key]
+    out = [F.col(c) for c in rows.columns] + [F.col(f"_p_{c}").alias(c) for c in more]
+    same = lambda other: rows[key].eqNullSafe(other[f"_p_{key}"])
+    first = rows.join(F.broadcast(heavy), same(heavy)).select(*out)
+    rest = rows.join(F.broadcast(heavy.select(f"_p_{key}")), same(heavy), "left_anti")
+    return first.unionByName(rest.join(light, rest[key].eqNullSafe(light[f"_p_{key}"])).select(*out))
+
+
 #: Most rows of one Arrow batch: texts can be long, and a Python worker holds a batch or two.
 BATCH_ROWS = 1000
 

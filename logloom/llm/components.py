@@ -1,8 +1,8 @@
 """Connected components over a distributed edge list, by alternating large-star and small-star rounds.
 
 Each round is two grouped minima and joins on written tables; no link or component ever reaches the driver, which only
-sees a count and a checksum per round. Minima are combined before the shuffle; a node with very many neighbours only
-skews an equi-join, which adaptive execution splits.
+sees a count and a checksum per round. Minima are combined before the shuffle; nodes with very many neighbours are joined
+by broadcast (there can be few of them), the rest by an equi-join without a hot key.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, joined_by, stored
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    per = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return joined_by(both.where("v > u"), per, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.select(F.col("u").alias("c"), "m"), F.col("u") == F.col("c")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    per = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = joined_by(down, per, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(per.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        before, now = now, stored(_small(_large(now)), "cc")
+        starred = stored(_large(now, mark[0]), "cc-large")
+        before, now = now, stored(_small(starred, mark[0]), "cc")
         dropped(before)
+        dropped(starred)
     root = now.groupBy("v").agg(F.lit(1)).select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(root)

@@ -27,6 +27,8 @@ BITS, ORDERS = 15, 3
 BUCKETS = 1 << BITS
 #: Largest model that is broadcast, in bytes.
 MODEL_LIMIT = 256 << 20
+#: Score that a text needs to be accepted.
+LEAST = 0.5
 _CHARS = 1 << 18
 _FOLD, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -71,12 +73,13 @@ def train(rows: DataFrame, alpha: float = 0.5) -> Model:
         for lang, held in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([held.tolist()])], ["lang", "n"])
 
+    most = MODEL_LIMIT // (4 * BUCKETS)
+    if rows.select("lang").distinct().limit(most + 1).count() > most:  # before anything of the model is gathered
+        raise ValueError(f"over {most} languages make a model of over {MODEL_LIMIT} bytes")
     parts = mapped(rows.select("text", "lang"), count, "lang string, n array<long>")
     cells = parts.select("lang", F.posexplode("n").alias("bucket", "n")).where("n > 0").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     cells = cells.toPandas()
     langs = sorted(cells["lang"].unique())
-    if 4 * BUCKETS * len(langs) > MODEL_LIMIT:
-        raise ValueError(f"{len(langs)} languages make a model of over {MODEL_LIMIT} bytes")
     counts = np.zeros((BUCKETS + 1, len(langs)))
     counts[cells["bucket"], cells["lang"].map({x: k for k, x in enumerate(langs)})] = cells["n"]
     grams_, docs = counts[:BUCKETS], counts[BUCKETS]
@@ -127,8 +130,10 @@ def identified(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     return predict(docs, train(known), keep)
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is identified: all but those that are predicted to be `und`."""
+def accepted(docs: DataFrame, least: float = LEAST, langs: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs whose language is identified with a score of `least` or more, and is one of langs, if given: texts
+    that are `und` go, and so do those that are torn between languages."""
     known = docs.where(~held_out_col(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull())
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    return predict(docs, train(known), tuple(docs.columns), (lang, score)).where(F.col(lang) != "und").select(*docs.columns)
+    found = predict(docs, train(known), tuple(docs.columns), (lang, score)).where((F.col(lang) != "und") & (F.col(score) >= least))
+    return (found.where(F.col(lang).isin(*langs)) if langs else found).select(*docs.columns)

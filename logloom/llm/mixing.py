@@ -9,7 +9,9 @@ document per source, which is rounded at random. A source's taken words so diffe
 largest document. All random draws are hashes of ids and levels, so reruns agree.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is an id like any
-other. Repeated rows are rows of their own, with copies of their own. An empty table gives an empty result.
+other. Repeated rows are rows of their own, with draws and copies of their own: they are counted first and dealt out again
+with a number each, so a group of them of any size is spread over blocks as other rows are. Ties of draws are broken by
+that number. Long texts count as a whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_col, stored, text_hash
+from .common import fresh, n_words_col, stored, text_hash
 
 BLOCK = 64
 _TINY = 1e-9
@@ -57,6 +59,19 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+_ROW = "struct<doc_id:bigint,h:bigint,more:bigint,size:bigint,base:int>"
+#: Repeated rows that one row of the table of counts is dealt out to at once.
+_MANY = 4096
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """The rows of sized, each with a number that tells it from its repetitions."""
+    per = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = per.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _MANY).cast("int"))))
+    first = F.col("part").cast("long") * _MANY
+    return parts.withColumn("no", F.explode(F.sequence(first, F.least(F.col("n"), first + _MANY) - 1))).drop("n", "part")
+
+
 def _folded(items: Column, level: int) -> Column:
     """items: array of struct(draw, row, size, p), 0 < p < 1, size > 0. Gives struct(carry, done): done has the rows
     that became integral with up 0 or 1, carry the one still fractional, if any."""
@@ -88,18 +103,24 @@ def _folded(items: Column, level: int) -> Column:
         )
         return F.when(a.isNull(), F.struct(x.alias("carry"), state["done"].alias("done"))).otherwise(_let(room, moved))
 
-    item = "struct<draw:bigint,row:struct<doc_id:bigint,h:bigint,size:bigint,base:int>,size:double,p:double>"
-    zero = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast("array<struct<row:struct<doc_id:bigint,h:bigint,size:bigint,base:int>,up:int>>").alias("done"))
+    item = f"struct<draw:bigint,row:{_ROW},size:double,p:double>"
+    zero = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast(f"array<struct<row:{_ROW},up:int>>").alias("done"))
     return F.aggregate(items, zero, step)
 
 
+def _whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns of docs; what can't be hashed as it is (maps) goes in as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, h (xxhash64 of the text, null as empty), size, source,
-    source_size, target, copies, taken.
+    source_size, target, copies, taken; and more, a hash of all columns of the row.
 
     Blocks hold about `block` rows, whatever a source's share of the rows; nothing but one row per source is joined.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_hash().alias("h"), n_words_col(F.col("text")).alias("size")), "mix-sizes")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_hash().alias("h"), n_words_col(F.col("text")).alias("size"), _whole_row(docs).alias("more"))
+    sized = stored(_numbered(sized), "mix-sizes")
     per = stored(targets(sized, weights, most), "mix-targets")
     largest = per.agg(F.max("n_rows")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -108,35 +129,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     rows = rows.withColumn("base", F.floor(F.col("rate") + _TINY).cast("int")).withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
     open_ = (F.col("size") > 0) & (F.col("p") > _TINY)
     kept = ["source", "source_size", "target"]
-    out = [rows.where(~open_).select("doc_id", "h", "size", *kept, F.col("base").alias("copies"))]
-    draw = F.xxhash64("doc_id", "h", F.lit("mix"))
-    state = rows.where(open_).select(*kept, "n_rows", F.struct(draw.alias("draw"), F.struct("doc_id", "h", "size", "base").alias("row"), F.col("size").cast("double").alias("size"), "p").alias("x"))
+    own = ["doc_id", "h", "more", "size"]
+    out = [rows.where(~open_).select(*own, *kept, F.col("base").alias("copies"))]
+    draw = F.xxhash64("doc_id", "h", "more", "no", F.lit("mix"))
+    state = rows.where(open_).select(*kept, "n_rows", F.struct(draw.alias("draw"), F.struct(*own, "base").alias("row"), F.col("size").cast("double").alias("size"), "p").alias("x"))
     level, spread = 0, block
     while largest:
         blocks = F.ceil(F.col("n_rows") / spread)
         dealt = state.groupBy(*kept, "n_rows", F.pmod(F.xxhash64("x.draw", F.lit(level)), blocks).alias("b"))
         items = F.array_sort(F.collect_list("x"))
         done = stored(dealt.agg(_folded(items, level).alias("f")), f"mix-level{level}")
-        out.append(done.select(*kept, F.explode("f.done").alias("d")).select("d.row.doc_id", "d.row.h", "d.row.size", *kept, (F.col("d.row.base") + F.col("d.up")).alias("copies")))
+        out.append(done.select(*kept, F.explode("f.done").alias("d")).select(*[f"d.row.{c}" for c in own], *kept, (F.col("d.row.base") + F.col("d.up")).alias("copies")))
         state = done.where(F.col("f.carry").isNotNull()).select(*kept, "n_rows", F.col("f.carry").alias("x"))
         if spread >= largest:
             break
         level, spread = level + 1, spread * block
     last = F.when(_chance(F.col("x.draw"), F.lit("last")) < F.col("x.p"), 1).otherwise(0)
-    out.append(state.select("x.row.doc_id", "x.row.h", "x.row.size", *kept, (F.col("x.row.base") + last).alias("copies")))
+    out.append(state.select(*[f"x.row.{c}" for c in own], *kept, (F.col("x.row.base") + last).alias("copies")))
     done = reduce(DataFrame.unionByName, out)
-    return done.select("doc_id", "h", "size", *kept, "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return done.select(*own, *kept, "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """The rows of docs that the mix takes, with size, source_size, target, copies and taken, each row once. Rows that
-    repeat id, source and text are one row here, with their copies added up."""
-    mixed = mix(docs, weights, most).groupBy("doc_id", "h", "source").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("source_size", "target")], *[F.sum(c).cast("long").alias(c) for c in ("size", "copies", "taken")])
+    """The rows of docs that the mix takes, each once, with size, source_size, target, copies and taken. Rows equal in all
+    columns are one row here, with their sizes, copies and taken words added up; rows that differ in any column are rows
+    of their own. Columns of docs are left as they are: an added one whose name docs has gets a leading underscore."""
+    mixed = mix(docs, weights, most).groupBy("more").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("source_size", "target")], *[F.sum(c).cast("long").alias(c) for c in ("size", "copies", "taken")])
     mixed = stored(mixed.where("copies > 0"), "mix-taken")
     if not mixed.where("n > 1").isEmpty():
         docs = docs.dropDuplicates()
-    m = mixed.select(*[F.col(c).alias(f"_{c}") for c in mixed.columns])
-    h = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = docs["doc_id"].cast("long").eqNullSafe(m["_doc_id"]) & (h == m["_h"]) & docs["source"].cast("string").eqNullSafe(m["_source"])
+    m = mixed.select(*[F.col(c).alias(f"_m_{c}") for c in mixed.columns])
     added = ["size", "source_size", "target", "copies", "taken"]
-    return docs.join(m, same).select(*[docs[c] for c in docs.columns if c not in added], *[m[f"_{c}"].alias(c) for c in added])
+    return docs.join(m, _whole_row(docs) == m["_m_more"]).select(*[docs[c] for c in docs.columns], *[m[f"_m_{c}"].alias(fresh(docs, c)) for c in added])

@@ -20,7 +20,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+    return warc.round_trip(table(spark, sf_dir, "pages"), payload=False)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,5 +175,5 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     """The rows of docs without near copies: of each component, one row with its least doc_id stays."""
     rows = stored(marked(docs, width), "shingles")
     roots = stored(components(links(docs, rows, width, similarity)), "shingles-roots")
-    named = rows.join(roots, "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
-    return least_of_each(docs, stored(named, "shingles-named"))
+    nodes = rows.select("node").distinct()
+    return least_of_each(docs, rows.select("doc_id", "h", "node"), nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "node")

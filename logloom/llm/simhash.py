@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, mapped, stored, text_hash, texts_of
+from .common import fresh, joined_by, mapped, stored, text_hash, texts_of
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 2, 42
@@ -75,43 +75,60 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fps has distinct fp; gives u and v, verified links that connect all fingerprints within radius bits."""
     if radius % 2:
         raise ValueError("the radius must be even to be met in the middle")
+    # Distinct fingerprints are few bytes, often one file; their variants are many, so they are dealt out first.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = fps.select("fp", F.explode(_ball(F.col("fp"), radius // 2)).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = met.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v")
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
-def _named(docs: DataFrame, width: int, radius: int) -> DataFrame:
-    """doc_id, h, fp and root (one fingerprint of the component) for each row of docs."""
+def _classed(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h and fp for each row of docs; and fp, n (rows with it), and root, once per fingerprint."""
     marked = stored(fingerprints(docs, width), "simhash")
-    fps = stored(marked.select("fp").distinct(), "simhash-distinct")
-    roots = stored(components(links(fps, radius)), "simhash-roots")
-    return stored(marked.join(roots, marked["fp"] == roots["node"], "left").select("doc_id", "h", "fp", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    fps = stored(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = stored(components(links(fps.select("fp"), radius)), "simhash-roots")
+    return marked, stored(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "simhash-classes")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) for each row of docs."""
-    rows = _named(docs, width, radius)
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) for each row of docs.
+
+    Only numbers per fingerprint are grouped by component; rows meet them by fingerprint, with hot ones broadcast.
+    """
+    marked, fps = _classed(docs, width, radius)
+    names = stored(fps.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-least")
+    per = joined_by(fps.select("fp", "root", F.col("n").alias("rows")), names, "root", fps.count())
+    per = stored(per.select("fp", "component_id", F.col("rows").alias("n")), "simhash-names")
+    out = joined_by(marked, per, "fp", marked.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near-duplicates: of each component, one row with its least doc_id stays."""
-    return least_of_each(docs, _named(docs, width, radius))
+    marked, fps = _classed(docs, width, radius)
+    return least_of_each(docs, marked, fps.select("fp", "root"), "fp")
 
 
-def least_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of each root, the one row of docs with its least doc_id; rows has doc_id, h and root for each row of docs.
+def least_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """Of each root, the one row of docs with its least doc_id. rows has doc_id, h and key for each row of docs; roots has
+    key and root, once per key.
 
-    A text that doesn't stay is dropped by its id and hash, so texts are neither regrouped nor sorted; only rows that
-    repeat both id and text of one that stays are numbered.
+    The least row is sought per key and then per root, so no root gathers its rows. A row that doesn't stay is dropped by
+    its id and hash, so texts are neither regrouped nor sorted; only rows that repeat both id and text of one that stays
+    are numbered.
     """
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best"))
-    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
-    judged = stored(rows.join(best, "root").select("doc_id", "h", stays.alias("stays")), "simhash-judged")
-    out = stored(judged.where("not stays").select(F.col("doc_id").alias("id"), "h").distinct(), "simhash-out")
-    twice = stored(judged.where("stays").groupBy(F.col("doc_id").alias("id"), "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "h"), "simhash-twice")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("best")
+    per = stored(rows.groupBy(key).agg(first, F.count(F.lit(1)).alias("n")).join(roots, key).select(key, "root", "best", "n"), "least-keys")
+    best = stored(per.groupBy("root").agg(F.min("best").alias("stay"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("n")).where("rows > 1"), "least-roots")
+    # Roots with one row are never looked at: it stays.
+    crowd = joined_by(per.select(key, "root", F.col("n").alias("rows")), best.select("root", "stay", "n"), "root", per.count())
+    crowd = stored(crowd.select(key, F.col("stay.doc_id").alias("stay_id"), F.col("stay.h").alias("stay_h"), F.col("rows").alias("n")), "least-crowds")
+    stays = best.select("stay.doc_id", "stay.h")
+    gone = joined_by(rows, crowd, key, rows.count()).where(~(F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("h") == F.col("stay_h"))))
+    out = stored(gone.select(F.col("doc_id").alias("id"), "h").distinct(), "least-out")
+    twice = rows.join(stays.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    twice = stored(twice.groupBy(F.col("doc_id").alias("id"), "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "h"), "least-twice")
 
     def same(other: DataFrame):
         return docs["doc_id"].cast("long").eqNullSafe(other["id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == other["h"])

@@ -34,11 +34,17 @@ from .common import mapped, new_folder, stored
 
 SMALLEST = 100
 _PIECE = 1 << 20
+#: Most bytes of members that are asked for at once.
+_RUN = 8 << 20
+#: Hadoop's names of stores, and pyarrow's.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfs", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
 _DATE = "2024-01-01T00:00:00Z"  # a fixed date keeps files equal from run to run
 
 
 def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder)
+    """The file system of a Hadoop path, and the path in it."""
+    scheme, colon, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}" if colon else folder)
 
 
 def planned(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
@@ -87,8 +93,8 @@ def write(plan: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _opened(folder)
-        fs.create_dir(root, recursive=True)
-        name, n, out, pack = f"mono-{uuid.uuid4().hex}.warc.gz", 0, None, zlib.compressobj(1, wbits=31)
+        fs.create_dir(f"{root}/mono", recursive=True)
+        name, n, out, pack = f"mono/{uuid.uuid4().hex}.warc.gz", 0, None, zlib.compressobj(1, wbits=31)
         for b in batches:
             for page_id, url, html, digest, refers_to in zip(*(b.column(k).to_pylist() for k in range(5))):
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
@@ -162,7 +168,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
         fs, root = _opened(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
-                stem = f"{name.removeprefix('mono-').removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}"
+                stem = f"{name.removeprefix('mono/').removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}"
                 offset = n = 0
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as source, fs.open_output_stream(f"{root}/{stem}.warc.gz", compression=None) as out, fs.open_output_stream(f"{root}/{stem}.cdx", compression=None) as index:
                     for fields, raw in _records(_inflated(source)):
@@ -181,44 +187,64 @@ def _number(urn: str | None) -> int | None:
     return int(text) if text else None
 
 
-def read(files: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload of every record, each member opened at
-    the offset that the sidecar names. A response's payload is digested again and held against its header."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+def _members(source, entries: list[tuple[str, int, int, int]]) -> Iterator[tuple[str, int, bytes]]:
+    """Record id, inflated length and member of each entry; neighbours are read together, up to _RUN bytes."""
+    at = 0
+    while at < len(entries):
+        end = at + 1
+        while end < len(entries) and entries[end][1] == entries[end - 1][1] + entries[end - 1][2] and entries[end][1] + entries[end][2] - entries[at][1] <= _RUN:
+            end += 1
+        first = entries[at][1]
+        raw = source.read_at(entries[end - 1][1] + entries[end - 1][2] - first, first)
+        for record_id, offset, length, whole in entries[at:end]:
+            yield record_id, whole, raw[offset - first : offset - first + length]
+        at = end
+
+
+def read(files: DataFrame, folder: str, payload: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and (if wanted) payload of every record, each member
+    opened at the offset that the sidecar names. A response's payload is digested again and held against its header."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 if payload else 5]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
+    def judged(record_id: str, whole: int, member: bytes, at: str) -> tuple:
+        raw = zlib.decompress(member, wbits=31)
+        cut = raw.index(b"\r\n\r\n")
+        fields = header(raw[:cut])
+        if len(raw) != whole or fields["warc-record-id"] != record_id:
+            raise ValueError(f"the index does not fit {at} at {record_id}")
+        held = raw[raw.index(b"\r\n\r\n", cut + 4) + 4 : -4]
+        digest, n = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["warc-payload-length"])
+        if fields["warc-type"] == "response" and (hashlib.sha256(held).hexdigest() != digest or len(held) != n):
+            raise ValueError(f"payload of {record_id} in {at} is damaged")
+        return _number(record_id), n, digest, fields["warc-type"], _number(fields.get("warc-refers-to")), held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _opened(folder)
         for b in batches:
             for name, index in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows, size = [], 0
-                with fs.open_input_stream(f"{root}/{index}", compression=None) as entries, fs.open_input_file(f"{root}/{name}") as source:
-                    for line in entries.readall().decode().splitlines():
-                        record_id, offset, length, whole = line.split("\t")
-                        raw = zlib.decompress(source.read_at(int(length), int(offset)), wbits=31)
-                        fields = header(raw[: raw.index(b"\r\n\r\n")])
-                        if len(raw) != int(whole) or fields["warc-record-id"] != record_id:
-                            raise ValueError(f"{index} does not fit {name} at {offset}")
-                        block = raw[raw.index(b"\r\n\r\n") + 4 : -4]
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        digest, n = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["warc-payload-length"])
-                        if fields["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != n):
-                            raise ValueError(f"payload of {record_id} in {name} is damaged")
-                        rows.append((_number(record_id), n, digest, fields["warc-type"], _number(fields.get("warc-refers-to")), payload))
-                        size += len(payload)
+                with fs.open_input_stream(f"{root}/{index}", compression=None) as lines:
+                    entries = [(i, int(o), int(n), int(w)) for i, o, n, w in (x.split("\t") for x in lines.readall().decode().splitlines())]
+                with fs.open_input_file(f"{root}/{name}") as source:
+                    for record_id, whole, member in _members(source, entries):
+                        row = judged(record_id, whole, member, name)
+                        rows.append(row[: len(names)])
+                        size += 64 + (len(row[5]) if payload else 0)
                         if size > 8 << 20:
                             yield batch(rows)
                             rows, size = [], 0
                 if rows:
                     yield batch(rows)
 
-    return mapped(files.select("file", "index"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return mapped(files.select("file", "index"), run, schema + (", payload binary" if payload else ""))
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, smallest: int = SMALLEST) -> DataFrame:
+def round_trip(pages: DataFrame, folder: str | None = None, smallest: int = SMALLEST, payload: bool = True) -> DataFrame:
     """Writes pages as WARC, normalises the archives and reads them back."""
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
@@ -227,6 +253,6 @@ def round_trip(pages: DataFrame, folder: str | None = None, smallest: int = SMAL
     n = max(1, mono.count())
     done = stored(normalise(mono.repartition(n), folder), "warc-files")
     fs, root = _opened(folder)
-    for x in mono.toLocalIterator():
-        fs.delete_file(f"{root}/{x.file}")
-    return read(done.repartition(n), folder)
+    if fs.get_file_info(f"{root}/mono").type == pafs.FileType.Directory:
+        fs.delete_dir(f"{root}/mono")
+    return read(done.repartition(n), folder, payload)

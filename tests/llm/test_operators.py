@@ -363,3 +363,20 @@ def test_chains_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_rows_that_differ_in_one_column_are_mixed_apart(spark):
+    rows = [(1, "a b c d e f", "s", lang, size) for lang, size in (("en", "v"), ("de", "w"))] + [(2, "x y", "t", "en", "u")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size string")
+    kept = mixing.mixture(docs).collect()
+    assert {r["size"] for r in kept} <= {"v", "w", "u"}  # the user's own column
+    assert len({(r.doc_id, r.lang) for r in kept}) == len(kept)
+    assert all(r.taken == r.copies * (6 if r.doc_id == 1 else 2) and r.taken <= 3 * r._size for r in kept)
+    assert sum(r.taken for r in kept) == sum(r.taken for r in mixing.mix(docs).collect())
+
+
+def test_many_repeated_rows_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_MANY", 100)
+    docs = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 4000, "s").alias("source"), F.lit("en").alias("lang"))
+    rows = check_mix(docs)
+    assert len(rows) == 5000 and len({r.copies for r in rows if r.source == "s"}) == 2
