@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,21 +66,24 @@ def dropped(df: DataFrame) -> None:
 HEAVY = 2000
 
 
-def joined_by(rows: DataFrame, per: DataFrame, key: str, total: int) -> DataFrame:
+def joined_by(rows: DataFrame, per: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """rows joined with per, which has one row per key and `n`, the number of rows with it (dropped again); null is a key.
 
     Keys that hold over total / HEAVY rows are broadcast, at most HEAVY rows by construction; the rest is an equi-join
     without a key that is hot. Both tables should be stored: each is read twice.
     """
+    keys = [key] if isinstance(key, str) else key
     cols = [c for c in per.columns if c != "n"]
     limit = max(1, total // HEAVY)
-    heavy, light = (per.where(w).select(*[F.col(c).alias(f"_p_{c}") for c in cols], F.lit(True).alias("_p")) for w in (f"n > {limit}", f"n <= {limit}"))
-    more = [c for c in cols if c != key]
-    out = [F.col(c) for c in rows.columns] + [F.col(f"_p_{c}").alias(c) for c in more]
-    same = lambda other: rows[key].eqNullSafe(other[f"_p_{key}"])
-    first = rows.join(F.broadcast(heavy), same(heavy)).select(*out)
-    rest = rows.join(F.broadcast(heavy.select(f"_p_{key}")), same(heavy), "left_anti")
-    return first.unionByName(rest.join(light, rest[key].eqNullSafe(light[f"_p_{key}"])).select(*out))
+    heavy, light = (per.where(w).select(*[F.col(c).alias(f"_p_{c}") for c in cols]) for w in (f"n > {limit}", f"n <= {limit}"))
+    out = [F.col(c) for c in rows.columns] + [F.col(f"_p_{c}").alias(c) for c in cols if c not in keys]
+
+    def same(left: DataFrame, other: DataFrame) -> Column:
+        return reduce(Column.__and__, [left[k].eqNullSafe(other[f"_p_{k}"]) for k in keys])
+
+    first = rows.join(F.broadcast(heavy), same(rows, heavy)).select(*out)
+    rest = rows.join(F.broadcast(heavy), same(rows, heavy), "left_anti")
+    return first.unionByName(rest.join(light, same(rest, light)).select(*out))
 
 
 #: Most rows of one Arrow batch: texts can be long, and a Python worker holds a batch or two.

@@ -1,28 +1,34 @@
 """Exact substring dedup: removes every byte covered by a string of `least` bytes that also starts anywhere else.
 
 Texts are whole UTF-8 texts; strings never cross documents. Two equal strings of `least` bytes hold the same winning
-GRAM-byte gram (the one with the least hash), at the same distance from their start. So:
+GRAM-byte gram (the one with the least hash), at the same distance from their start. So suffixes can be dealt into groups
+that are ordered apart from one another:
 
 1. Every start p of a document is put to the gram that wins its string. Runs of starts with one winner make a *context*:
    the bytes from the first start to the end of the last start's string. There is one context per 90 bytes or so.
-2. Contexts are counted by content, grams by contexts. A context that occurs twice is repeated as a whole. One whose gram
-   has no other context is clean. Only those that are single, but whose gram has other contexts, need a closer look.
-3. These are cut into *pieces*: the strings whose distance to the winning gram lies in one block of BLOCKS[0] distances.
-   All strings of a block share a core, so equal strings are in pieces with equal cores. Pieces are counted as contexts
-   were, with the core in the place of the gram.
-4. For what is still single beside others, the distinct pieces of each core make one text, whose suffix array (suffix.py,
-   by linear grouping over Lyndon prefixes) puts equal strings side by side; neighbours are compared byte by byte.
+2. Counts only clear: a context whose gram no other context has holds no repeated string. All else is decided by suffix
+   arrays (suffix.py, by linear grouping over Lyndon prefixes), which put equal strings side by side, where neighbours
+   are compared byte by byte.
+3. Contexts of equal content need one comparison: two of their occurrences, the least and the greatest, are *twins* and
+   make one text. What their suffix array finds equal holds for all occurrences (equal gram and equal content hash, of 64
+   bits each); twins that turn out to differ stop the job.
+4. Contexts that are single, but whose gram has others, are cut into *pieces*: the strings whose distance to the winning
+   gram lies in one block of BLOCKS[0] distances. All strings of a block share a core, so equal strings are in pieces with
+   equal cores. Pieces are cleared by their cores, and equal ones are twins again. The distinct pieces of each core make
+   one text, whose suffix array tells which of their strings are repeated.
 5. Repeated spans go back to their documents, which are cut and digested.
 
 A core with over MOST distinct pieces would make one task's text too long (a passage in very many documents, each with
-other surroundings). Such pieces are cut again, into the narrower blocks of BLOCKS[1], whose cores are longer, and at last
-into single strings, which counting alone decides. So no task needs a crowd together and no occurrence is dropped. Copies
-are merged before every shuffle, so a passage that a third of the rows hold costs one row per task; the equi-join that
-brings the verdict back to the occurrences can be skewed, and is one that adaptive execution splits.
+other surroundings). Such groups are split: their pieces are cut into the narrower blocks of BLOCKS[1], whose cores are
+longer, and at last into single strings, where core and string are one and only twins are left. So no task needs a crowd
+together, no occurrence is dropped, and every group, however split, ends in a suffix array. Copies are merged before every
+shuffle; keys that are still hot are joined by broadcast (common.joined_by).
 
 Nulls: a null text is an empty one; a null doc_id is a row like any other. Repeated rows are copies of one another, so
-texts of `least` bytes or more lose all of their bytes. An empty table gives an empty result. Hashes of 64 bits stand for
-contexts and grams when occurrences are counted.
+texts of `least` bytes or more lose all of their bytes. Very long texts are looked at in parts of _PART bytes that overlap
+by a string, so nothing depends on where a part ends. Ties of gram hashes go to the leftmost gram. Columns of the table
+with the names of added ones do no harm: only doc_id and text are read, others come along in `carry`. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +41,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StructType
 
-from .common import mapped, mixed, stored
+from .common import dropped, joined_by, mapped, mixed, stored
 from .suffix import _ranges, suffix_arrays
 
 LEAST, GRAM, MOST = 200, 24, 64
@@ -146,6 +152,11 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
+def _key() -> Column:
+    """With the hash of the text, names what a row holds: rows without an id have the spans of a row 0 with the same text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+
+
 def _packed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, h (of the text) and z, the compressed text: what a shuffle of texts moves; and the columns of carry."""
 
@@ -164,7 +175,7 @@ def _packed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """doc_id, h, g, c and p (packed starts): one row per context."""
+    """i, h, k (gram), c and p (packed starts): one row per context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +186,7 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 k = np.repeat([x[0] for x in held], [len(x[1]) for x in held]).astype(np.int64)
                 g, c, p = (np.concatenate([x[j] for x in held]) for j in (1, 2, 3))
                 return pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(k)), b.column(1).take(pa.array(k)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(p)], ["doc_id", "h", "g", "c", "p"]
+                    [b.column(0).take(pa.array(k)), b.column(1).take(pa.array(k)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(p)], ["i", "h", "k", "c", "p"]
                 )
 
             for k, x in enumerate(b.column(2)):
@@ -191,8 +202,8 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 yield rows()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return mapped(cols, run, "doc_id long, h long, g long, c long, p long")
+    cols = docs.select(_key().alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return mapped(cols, run, "i long, h long, k long, c long, p long")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -200,9 +211,9 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
 
-_PIECES = ["doc_id", "h", "k", "c", "p", "times", "s"]
-_PIECES_SCHEMA = "doc_id long, h long, k long, c long, p long, times long, s binary"
-_SPANS = "doc_id long, h long, p long"
+_PIECES = ["i", "h", "k", "c", "p", "times", "s"]
+_PIECES_SCHEMA = "i long, h long, k long, c long, p long, times long, s binary"
+_SPANS = "i long, h long, p long"
 
 
 def _sliced(rows: Iterator[tuple], names: list[str], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -219,17 +230,21 @@ def _sliced(rows: Iterator[tuple], names: list[str], limit: int = 4 << 20) -> It
 
 
 def _cut_out(least: int, block: int):
-    """Takes rows (doc_id, h, z, needed contexts); gives their pieces."""
+    """Takes rows (i, h, z, needed contexts); gives twins whole (times 0) and the pieces of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                for doc_id, h, z, needs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                for i, h, z, needs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                     t = zstandard.decompress(z.as_py()) if z.is_valid else b""
                     for x in needs.as_py():
                         first, _, n = _unpack(x["p"])
-                        for k, c, p, s in pieces(t[first : first + n - 1 + least], x["p"], block, least):
-                            yield doc_id, h, k, c, p, x["times"], s
+                        s = t[first : first + n - 1 + least]
+                        if x["times"] == 0:
+                            yield i, h, x["k"], x["c"], x["p"], 0, s
+                            continue
+                        for k, c, p, part in pieces(s, x["p"], block, least):
+                            yield i, h, k, c, p, x["times"], part
 
         yield from _sliced(rows(), _PIECES)
 
@@ -237,46 +252,91 @@ def _cut_out(least: int, block: int):
 
 
 def _cut_again(least: int, block: int):
-    """Takes pieces (doc_id, h, p, times, s); gives narrower ones."""
+    """Takes pieces (i, h, p, times, s); gives narrower ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                for doc_id, h, p, times, s in zip(*(b.column(k).to_pylist() for k in range(5))):
+                for i, h, p, times, s in zip(*(b.column(k).to_pylist() for k in range(5))):
                     for k, c, q, part in pieces(s, p, block, least):
-                        yield doc_id, h, k, c, q, times, part if block > 1 else b""  # a single string is all core
+                        yield i, h, k, c, q, times, part
 
         yield from _sliced(rows(), _PIECES)
 
     return run
 
 
+def _batches_of(groups: list[list], text=lambda x: x[-1]) -> Iterator[list[list]]:
+    """Groups of byte strings in lists of about _CALL symbols, those of like length together."""
+    groups.sort(key=lambda g: sum(len(text(x)) for x in g))
+    call, total = [], 0
+    for g in groups:
+        call.append(g)
+        total += sum(len(text(x)) + 1 for x in g)
+        if total >= _CALL:
+            yield call
+            call, total = [], 0
+    if call:
+        yield call
+
+
+def _flags(call: list[list], starts: np.ndarray, least: int) -> np.ndarray:
+    """For the starts of all strings of all groups (the last value of each member): whether its string recurs in its group."""
+    texts = [x[-1] for g in call for x in g]
+    length = np.array([len(x) + 1 for x in texts])
+    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2
+    raw[np.cumsum(length) - 1] = 1  # ends a string; bytes are 2 and up
+    sizes = np.array([sum(len(x[-1]) + 1 for x in g) for g in call])
+    order, _ = suffix_arrays(np.split(raw, np.cumsum(sizes)[:-1]))
+    return _marked(raw, order, length, starts, np.repeat(np.arange(len(call)), [len(g) for g in call]), least)
+
+
+def _twins(least: int):
+    """Takes (k, c, p, s) sorted by k and c; gives k and c of the contents whose strings all recur in their twin."""
+
+    def judged(held: list[list]) -> pa.RecordBatch:
+        rows = []
+        for call in _batches_of(held):
+            starts = np.array([_unpack(x[2])[2] for g in call for x in g])
+            if not _flags(call, starts, least).all():
+                raise ValueError("two contents have equal hashes")
+            rows += [(g[0][0], g[0][1]) for g in call]
+        return _batch(rows, ["k", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, size = [], [], 0
+        for b in batches:
+            for x in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if now and x[:2] != now[0][:2]:
+                    held.append(now)
+                    now = []
+                    if size > 8 << 20:
+                        yield judged(held)
+                        held, size = [], 0
+                now.append(x)
+                size += len(x[3])
+        if now:
+            held.append(now)
+        if held:
+            yield judged(held)
+
+    return run
+
+
 def _by_suffix_array(least: int):
-    """Takes pieces sorted by core; gives the repeated spans (packed starts) of single ones."""
+    """Takes pieces (k, i, h, p, times, s) sorted by core; gives the repeated spans (packed starts) of open ones."""
 
     def judged(groups: list[list[tuple]]) -> list[tuple]:
-        groups.sort(key=lambda g: sum(len(x[4]) for x in g))
-        out, at = [], 0
-        while at < len(groups):
-            call, total = [], 0
-            while at < len(groups) and (not call or total < _CALL):  # texts of like length go together
-                call.append(groups[at])
-                total += sum(len(x[4]) + 1 for x in groups[at])
-                at += 1
+        out = []
+        for call in _batches_of(groups):
             flat = [x for g in call for x in g]
-            length = np.array([len(x[4]) + 1 for x in flat])
-            raw = np.frombuffer(b"\0".join(x[4] for x in flat) + b"\0", np.uint8).astype(np.int64) + 2
-            raw[np.cumsum(length) - 1] = 1  # ends a piece; bytes are 2 and up
-            sizes = np.array([sum(len(x[4]) + 1 for x in g) for g in call])
-            order, _ = suffix_arrays(np.split(raw, np.cumsum(sizes)[:-1]))
             starts = np.array([_unpack(x[2])[2] for x in flat])
-            group = np.repeat(np.arange(len(call)), [len(g) for g in call])
-            flags = _marked(raw, order, length, starts, group, least)
+            flags = _flags(call, starts, least)
             ends = np.cumsum(starts)
-            for (doc_id, h, p, times, _), a, b in zip(flat, ends - starts, ends):
+            for (i, h, p, times, _), a, b in zip(flat, ends - starts, ends):
                 if times == 1 and flags[a:b].any():  # those that occur more often are known to be repeated
                     first = _unpack(p)[0]
-                    out += [(doc_id, h, _pack(first + i, 0, j - i)) for i, j in _runs(flags[a:b])]
+                    out += [(i, h, _pack(first + x, 0, y - x)) for x, y in _runs(flags[a:b])]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +348,7 @@ def _by_suffix_array(least: int):
                         held.append(now)
                     if size > 8 << 20:
                         if out := judged(held):
-                            yield _batch(out, ["doc_id", "h", "p"])
+                            yield _batch(out, ["i", "h", "p"])
                         held, size = [], 0
                     now, key = [], k
                 now.append(x)
@@ -296,49 +356,71 @@ def _by_suffix_array(least: int):
         if len(now) > 1:
             held.append(now)
         if held and (out := judged(held)):
-            yield _batch(out, ["doc_id", "h", "p"])
+            yield _batch(out, ["i", "h", "p"])
 
     return run
 
 
-def _status(rows: DataFrame, key: str, times) -> DataFrame:
-    """key, c, times, closer, many: for keys met twice, how often each content occurs, whether a single one stands beside
-    others, and how many contents the key has. Only keys and numbers move."""
-    by_content = rows.groupBy(key, "c").agg(times.cast("int").alias("times"))
-    by_key = by_content.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("many"), F.max("times").alias("most"), F.min("times").alias("fewest"))
-    by_key = by_key.where("many > 1 or most > 1").select(key, "many", ((F.col("many") > 1) & (F.col("fewest") == 1)).alias("closer"))
-    return by_content.join(by_key, key)
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows (k, c, times, ...) that counts don't clear, with twin (whether its content has others, one of which is
+    open), closer (whether single contents stand beside others under the key) and many (contents of the key).
+
+    Only keys and numbers are counted; a row with times over 1 stands for rows that are known to be repeated."""
+    by_content = stored(rows.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("all"), F.min("times").alias("open")), "spans-contents")
+    by_key = by_content.groupBy("k").agg(F.count(F.lit(1)).alias("many"), F.max("all").alias("most"), F.min("all").alias("fewest"))
+    by_key = stored(by_key.where("many > 1 or most > 1").select("k", "many", ((F.col("many") > 1) & (F.col("fewest") == 1)).alias("closer"), F.col("many").alias("n")), "spans-keys")
+    contents = joined_by(by_content.select("k", "c", F.col("n").alias("rows"), "open"), by_key, "k", by_content.count())
+    twin = (F.col("rows") > 1) & (F.col("open") == 1)
+    contents = stored(contents.where(twin | F.col("closer")).select("k", "c", F.col("rows").alias("n"), twin.alias("twin"), "closer", "many"), "spans-status")
+    return joined_by(rows, contents, ["k", "c"], rows.count())
+
+
+def _witnesses(met: DataFrame) -> DataFrame:
+    """k, c, many, twin, closer, first and last: the least and the greatest (i, h, p) of each content."""
+    one = F.struct("i", "h", "p", "times")
+    return met.groupBy("k", "c", "many", "twin", "closer").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.sum("times").alias("all"))
+
+
+def _repeated(met: DataFrame, twins: DataFrame, least: int) -> DataFrame:
+    """i, h and p of the open rows whose content the twins' suffix arrays found to be repeated. twins: k, c, p, s."""
+    found = mapped(twins.repartition("k", "c").sortWithinPartitions("k", "c"), _twins(least), "k long, c long")
+    per = met.where("twin").groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    found = stored(found.join(per, ["k", "c"]), "spans-twins")
+    return joined_by(met.where("twin and times = 1").select("i", "h", "p", "k", "c"), found, ["k", "c"], met.count()).select("i", "h", "p")
 
 
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
-    """doc_id, h, p: runs of starts (packed) whose strings of `least` bytes also start elsewhere."""
+    """i, h, p: runs of starts (packed) whose strings of `least` bytes also start elsewhere."""
     if not 0 < least < 4096 or blocks[-1] != 1:
         raise ValueError("least is 1 to 4095, and the last block 1")
     blocks = [min(b, (least + 1) // 2) for b in blocks]  # the strings of a block must share a core
     found = stored(_found(docs, least, gram), "spans-found", "zstd")
-    status = stored(_status(found, "g", F.count(F.lit(1))), "spans-status").where("times > 1 or closer")
-    met = stored(found.select("doc_id", "h", "c", "p").join(status.select("c", "times", "closer"), "c"), "spans-met", "zstd")
-    out = [met.where("times > 1").select("doc_id", "h", "p")]
-    # One occurrence of each distinct context of a gram that has a single one.
-    first = met.where("closer").groupBy("c", "times").agg(F.min(F.struct("doc_id", "h", "p")).alias("first"))
-    needs = first.select("first.*", "times").groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "times")).alias("needs"))
-    d, n = _packed(docs).alias("d"), needs.alias("n")
-    joined = d.join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.h") == F.col("n.h"))).select("d.doc_id", "d.h", "d.z", "n.needs")
-    cut = stored(mapped(joined, _cut_out(least, blocks[0]), _PIECES_SCHEMA), "spans-cut", "zstd")
+    met = stored(_met(found.withColumn("times", F.lit(1))), "spans-met", "zstd")
+    dropped(found)
+    seen = _witnesses(met)
+    # Twins are asked for whole (times 0), one occurrence of every content of a key that needs a closer look in pieces.
+    asked = F.concat(
+        F.when(F.col("twin"), F.array(F.struct("first", F.lit(0).cast("long").alias("times")), F.struct(F.col("last").alias("first"), F.lit(0).cast("long").alias("times")))).otherwise(F.array()),
+        F.when(F.col("closer"), F.array(F.struct("first", F.col("all").alias("times")))).otherwise(F.array()),
+    )
+    needs = seen.select("k", "c", F.explode(asked).alias("x")).groupBy("x.first.i", "x.first.h").agg(F.collect_list(F.struct("k", "c", "x.first.p", "x.times")).alias("needs"))
+    texts = _packed(docs).select(_key().alias("i"), "h", "z").groupBy("i", "h").agg(F.first("z").alias("z"))
+    cut = stored(mapped(texts.join(needs, ["i", "h"]).select("i", "h", "z", "needs"), _cut_out(least, blocks[0]), _PIECES_SCHEMA), "spans-cut", "zstd")
+    out = [_repeated(met, cut.where("times = 0").select("k", "c", "p", "s"), least)]
+    cut = cut.where("times > 0")
     for block in (*blocks[1:], None):
-        status = stored(_status(cut, "k", F.sum("times")), "spans-status")
-        narrow = cut.select("doc_id", "h", "p", "times", "k", "c").join(status.where("times > 1 or closer").withColumnRenamed("times", "all"), ["k", "c"])
-        narrow = stored(narrow, "spans-met", "zstd")
-        out.append(narrow.where("times = 1 and `all` > 1").select("doc_id", "h", "p"))
+        met = stored(_met(cut.drop("s")), "spans-met", "zstd")
+        seen = stored(_witnesses(met), "spans-witnesses")
+        role = F.concat(F.when(F.col("twin"), F.array(F.struct("first", F.lit(0).alias("role")), F.struct(F.col("last").alias("first"), F.lit(0).alias("role")))).otherwise(F.array()), F.when(F.col("closer"), F.array(F.struct("first", F.lit(1).alias("role")))).otherwise(F.array()))
+        wanted = seen.select("k", "c", "many", F.explode(role).alias("x")).select("k", "c", "many", "x.first.i", "x.first.h", "x.first.p", "x.role")
+        held = stored(cut.join(wanted, ["k", "c", "i", "h", "p"]).select("i", "h", "k", "c", "p", "times", "s", "many", "role"), "spans-held", "zstd")
+        out.append(_repeated(met, held.where("role = 0").select("k", "c", "p", "s"), least))
+        few = held.where(F.col("many") <= most) if block else held  # single strings have nothing beside them
+        few = few.where("role = 1").select("k", "i", "h", "p", "times", "s")
+        out.append(mapped(few.repartition("k").sortWithinPartitions("k"), _by_suffix_array(least), _SPANS))
         if block is None:
             break
-        left = narrow.where("closer").groupBy("k", "c", "many").agg(F.min(F.struct("doc_id", "h", "p")).alias("first")).select("k", "first.*", "many")
-        a, b = cut.alias("a"), left.alias("b")
-        one = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.p") == F.col("b.p"))
-        few = a.join(b.where(F.col("many") <= most), one).select("a.k", "a.doc_id", "a.h", "a.p", "a.times", "a.s")
-        out.append(mapped(few.repartition("k").sortWithinPartitions("k"), _by_suffix_array(least), _SPANS))
-        crowded = a.join(b.where(F.col("many") > most), one).select("a.doc_id", "a.h", "a.p", "a.times", "a.s")
-        cut = stored(mapped(crowded, _cut_again(least, block), _PIECES_SCHEMA), "spans-cut", "zstd")
+        cut = stored(mapped(held.where((F.col("many") > most) & (F.col("role") == 1)).select("i", "h", "p", "times", "s"), _cut_again(least, block), _PIECES_SCHEMA), "spans-cut", "zstd")
     return reduce(DataFrame.unionByName, out)
 
 
@@ -358,9 +440,9 @@ def removed(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = M
     bytes of characters that were cut in two are left out of it.
     """
     at = stored(spans(docs, least, gram, most), "spans")
-    per = at.groupBy("doc_id", "h").agg(F.collect_list("p").alias("p"))
-    d, s = _packed(docs, carry).alias("d"), per.alias("s")
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.h") == F.col("s.h"))
+    per = at.groupBy("i", "h").agg(F.collect_list("p").alias("p"))
+    d, s = _packed(docs, carry).withColumn("i", _key()).alias("d"), per.alias("s")
+    same = (F.col("d.i") == F.col("s.i")) & (F.col("d.h") == F.col("s.h"))
     joined = d.join(s, same, "left").select("d.doc_id", "d.z", "s.p", *(["d.carry"] if carry else []))
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if keep_text else []), *(["carry"] if carry else [])]
