@@ -94,3 +94,41 @@ def test_saml_rules(spark):
     codes = {r.code for r in S.findings(docs).collect()}
     assert {"RESPONSE_STATUS_MISSING"} <= codes and "RESPONSE_ID_MISSING" not in codes
     assert {r.status for r in S.checks(docs).collect()} == {"UNKNOWN"}
+
+
+def test_masking_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (None, "mail a@b.com"), (None, "or c@d.org"), (2, "a@b.com c@d.org"), (None, None), (2, "x e@f.net"), (2, "x e@f.net")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in mask.masked(docs).collect())
+    assert got == sorted([("1", "mail EMAIL_001"), ("None", "mail EMAIL_001"), ("None", "or EMAIL_002"), ("2", "EMAIL_001 EMAIL_002"), ("None", "None"), ("2", "x EMAIL_003"), ("2", "x EMAIL_003")])
+    names = {r.original: (r.first_doc, r.replacement) for r in mask.dictionary(docs).collect()}
+    assert names == {"a@b.com": (1, "EMAIL_001"), "c@d.org": (2, "EMAIL_002"), "e@f.net": (2, "EMAIL_003")}
+    only = spark.createDataFrame([(None, "a@b.com"), (None, "c@d.org")], "doc_id long, text string")
+    assert sorted(r.text for r in mask.masked(only).collect()) == ["EMAIL_001", "EMAIL_002"]
+
+
+def test_rules_of_builds_packages_and_urls():
+    cases = {
+        "INFO --- [billing-app] [main] x": "INFO --- [APP_001] [main] x",
+        "INFO --- [main] [x": "INFO --- [main] [x",
+        "(started by jdoe in C:\\work\\proj\\)": "(started by USER_001 in PATH_001)",
+        "at com.acme.Foo in com\\acme\\Foo": "at PACKAGE_001.Foo in PACKAGE_001\\Foo",
+        "at com.google.Foo": "at com.google.Foo",
+        "in D:\\proj\\x and C:\\Windows\\y": "in PATH_001\\x and C:\\Windows\\y",
+        "Starting BillingApp using Java 17": "Starting APP_001 using Java 17",
+        "Building billing core 1.2.3": "Building APP_001 1.2.3",
+        "on project billing-web: failed": "on project APP_001: failed",
+        "see https://repo.maven.org/x and http://www.w3.org/2000/09/xmldsig#": "see https://repo.maven.org/x and http://www.w3.org/2000/09/xmldsig#",
+        "https://portal.acme.com:8443/a?token=abc&x=1#f.": "https://DOMAIN_001:8443/a?token=SECRET_001&x=1#f.",
+        "https://u:p@portal.acme.com:8443/": "URL_001",  # the rule for e-mail comes first and leaves no URL that parses
+        "RelayState='abc%20d' fe80::1 2001:db8::5": "RelayState='RELAYSTATE_001' fe80::1 IP_001",
+        "java.util.List and x.y.com and Foo.com": "java.util.List and x.y.com and Foo.com",
+    }
+    for text, want in cases.items():
+        assert mask.pattern_sequence(text)[0] == want, text
+    assert mask.masked_url("https://u:p@[2001:db8::5]:1/", mask.Names()) == "https://USER_001:SECRET_001@[IP_001]:1/"
+
+
+def test_residual_allows_what_everyone_may_know(spark):
+    text = "org.apache.Foo repo.maven.org www.w3.org {user.home} EMAIL_001 ::1 2001:db8::5 portal.acme.com x.invalid MyClass.com"
+    lines = spark.createDataFrame([("f", 1, text)], "file_id string, line_no int, line string")
+    assert [(r.kind, r.value) for r in mask.residual(lines).collect()] == [("IP", "2001:db8::5"), ("DOMAIN", "portal.acme.com")]
