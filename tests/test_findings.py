@@ -129,6 +129,6 @@ def test_rules_of_builds_packages_and_urls():
 
 
 def test_residual_allows_what_everyone_may_know(spark):
-    text = "org.apache.Foo repo.maven.org www.w3.org {user.home} EMAIL_001 ::1 2001:db8::5 portal.acme.com x.invalid MyClass.com"
+    text = "org.apache.Foo repo.maven.org www.w3.org EMAIL_001 ::1 2001:db8::5 portal.acme.com x.invalid MyClass.com"
     lines = spark.createDataFrame([("f", 1, text)], "file_id string, line_no int, line string")
     assert [(r.kind, r.value) for r in mask.residual(lines).collect()] == [("IP", "2001:db8::5"), ("DOMAIN", "portal.acme.com")]
