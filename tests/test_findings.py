@@ -1,6 +1,9 @@
 """Clusters, causal chains, masking, the knowledge base and SAML on small cases."""
 
 import base64
+import html
+import json
+import urllib.parse
 import zlib
 from datetime import datetime, timedelta
 
@@ -11,6 +14,7 @@ from logloom.operators import kb as K
 from logloom.operators import mask, rca
 from logloom.operators import saml as S
 from logloom.sources import saml as X
+from logloom.sources import traces
 
 COLUMNS = "ord long, source_file string, category string, kind string, level string, signature string, count long, first_line int, timestamp string, sample string, root_cause string"
 
@@ -78,15 +82,55 @@ def test_decoding_chains():
     b64 = lambda x: base64.b64encode(x).decode()
     raw = zlib.compressobj(9, wbits=-15)
     deflated = raw.compress(XML.encode()) + raw.flush()
-    assert X.decoded(XML) == [(XML, "raw XML")]
-    assert X.decoded(b64(XML.encode())) == [(XML, "raw + Base64")]
-    assert X.decoded(b64(deflated)) == [(XML, "raw + Base64 + raw DEFLATE")]
-    assert X.decoded(b64(zlib.compress(XML.encode()))) == [(XML, "raw + Base64 + zlib")]
-    assert X.decoded("%50" + b64(XML.encode())[1:])[0][1] == "URL-decoded + Base64"
+    chains = {
+        XML: "raw XML",
+        html.escape(XML): "raw XML",
+        b64(XML.encode()): "raw + Base64",
+        "\ufeff" + b64(b"\xef\xbb\xbf" + XML.encode()): "raw + Base64",
+        b64(XML.encode("utf-16")).rstrip("="): "raw + Base64",
+        b64(deflated): "raw + Base64 + raw DEFLATE",
+        X.deflate(XML): "raw + Base64 + raw DEFLATE",
+        b64(zlib.compress(XML.encode())): "raw + Base64 + zlib",
+        b64(zlib.compress(XML.encode(), wbits=31)): "raw + Base64 + gzip",
+        b64(b64(XML.encode()).encode()): "raw + Base64 x2",
+        urllib.parse.quote(b64(XML.encode()), safe=""): "URL-decoded + Base64",
+        "%50" + b64(XML.encode())[1:]: "URL-decoded + Base64",
+    }
+    for value, chain in chains.items():
+        if chain.startswith("URL") and "%" not in value:
+            continue
+        assert X.unwrapped(value) == ([(XML, chain)], None), chain
+    assert X.unwrapped("short") == ([], None) and X.unwrapped("x" * 400) == ([], None)
+    bomb = zlib.compressobj(9, wbits=-15)
+    assert X.unwrapped(b64(bomb.compress(b"<" * (11 << 20)) + bomb.flush()))[1] == f"inflates to more than {10 << 20} bytes"
     assert X.document("<!DOCTYPE x><p:Response/>") == []
     assert X.document('<!DOCTYPE a [<!ENTITY b "c">]>' + XML) == []
-    har = '{"log":{"entries":[{"request":{"url":"https://x/?SAMLRequest=%s","postData":{"params":[{"name":"SAMLResponse","value":"%s"}]}}}]}}' % (b64(deflated).replace("+", "%2B").replace("/", "%2F").replace("=", "%3D"), b64(XML.encode()))
-    assert sum(v == XML for v, _ in X.candidates(har)) == 1
+
+
+def test_traces(spark):
+    b64 = base64.b64encode(XML.encode()).decode()
+    ask = '<p:AuthnRequest xmlns:p="urn:oasis:names:tc:SAML:2.0:protocol" ID="r1" Version="2.0"/>'
+    url = "https://idp.example/sso?SAMLRequest=" + urllib.parse.quote(X.deflate(ask), safe="") + "&RelayState=s1&SigAlg=rsa-sha1&Signature=abc"
+    har = {"log": {"entries": [
+        {"startedDateTime": "2024-01-01T00:00:01.5Z", "request": {"method": "GET", "url": url}},
+        {"request": {"method": "POST", "url": "https://sp.example/acs", "postData": {"params": [{"name": "SAMLResponse", "value": b64}]}}, "response": {"headers": [{"name": "date", "value": "Mon, 01 Jan 2024 00:00:09 GMT"}]}},
+        {"request": "broken"}, 5,
+    ]}}
+    tracer = {"requests": [{"method": "POST", "url": "https://sp.example/acs", "timestamp": 1704067205000, "saml": XML}, {"method": "POST", "url": "https://sp.example/acs", "postData": {"text": "SAMLResponse=" + urllib.parse.quote(b64, safe="")}}]}
+    rows = [("h", json.dumps(har)), ("t", json.dumps(tracer)), ("s", json.dumps({"deep": [{"SAMLResponse": b64}]})), ("x", XML), ("j", "{broken"), ("n", None)]
+    inputs = spark.createDataFrame(rows, "bundle_id string, content string")
+    docs = {(r.bundle_id, r.doc_type): r.source for r in X.documents(inputs).collect()}
+    assert set(docs) == {("h", "AuthnRequest"), ("h", "Response"), ("t", "Response"), ("s", "Response"), ("x", "Response")}
+    assert docs["x", "Response"] == "input" and docs["s", "Response"] == "JSON SAMLResponse: raw + Base64" and docs["h", "AuthnRequest"].endswith("raw DEFLATE")
+    each = traces.exchanges(inputs)
+    assert sorted((r.bundle_id, r.row_no, r.kind, r.method) for r in each.collect()) == [("h", 1, "HAR", "GET"), ("h", 2, "HAR", "POST"), ("t", 1, "SAML-tracer", "POST"), ("t", 2, "SAML-tracer", "POST")]
+    assert {r.bundle_id: (r.mode, r.source, r["at"]) for r in traces.timing(each).collect()} == {"h": ("incident_trace", "acs_response_date", 1704067209.0), "t": ("incident_trace", None, None)}
+    first = traces.timing(each.where("row_no = 1 or bundle_id = 'h'")).where("bundle_id = 't'").first()
+    assert (first.source, first["at"]) == ("request_timestamp", 1704067205.0)
+    way = {r.bundle_id: r for r in traces.transport(each).collect()}
+    h = way["h"]
+    assert (h.request_binding, h.response_binding, h.request_method, h.response_target, h.sigalg, h.redirect_signed, h.weak_sigalg, h.relay_states) == (traces.REDIRECT, traces.POST, "GET", "https://sp.example/acs", "rsa-sha1", True, True, ["s1"])
+    assert (way["t"].response_binding, way["t"].response_target) == (traces.POST, "https://sp.example/acs")
 
 
 def test_saml_rules(spark):
