@@ -14,7 +14,10 @@ Everything the corpus has is counted, as 64-bit hashes of tokens and pairs. Rows
 for its distinct tokens and pairs: sorted hashes with its own counts, cut into ranges of the hash. Each range is summed up
 over all parts by one task, which answers each part with the totals in the order in which it asked. A token that
 every text has so costs one entry per part, and no table of the model is ever broadcast or collected; only the grid,
-whose size is fixed, reaches the driver. Parts and ranges hold PART and RANGE bytes of text, whatever the size of the input.
+whose size is fixed, reaches the driver. Parts and ranges hold PART and RANGE bytes of text, whatever the size of the
+input. A part asks a range in one row, so there are at most as many rows as parts times ranges, and never more than the
+parts have distinct tokens and pairs together, which is linear in the input: with very many ranges a row holds few keys
+or one, and is then stored without compression, at some 50 bytes beside the key.
 
 Nulls: a null text is an empty one (its only token is the end); a null doc_id is a training row. Repeated rows count as
 often as they occur. Without training rows, known tokens are none, V and N are 0 and both scores use those. An empty
@@ -57,12 +60,21 @@ def _read(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return texts, flat, mixed(before * np.uint64(0x9E3779B97F4A7C15) + flat)
 
 
+#: Numbers of fewer bytes are not compressed: a frame would cost more than it saves.
+_PLAIN = 256
+_FRAME = zstandard.MAGIC_NUMBER.to_bytes(4, "little")
+
+
 def _pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers by planes of their bytes, so that zero bytes cost nothing."""
+    """Unsigned numbers by planes of their bytes, so that zero bytes cost nothing; short runs as they are, after a zero byte."""
+    if x.nbytes < _PLAIN:
+        return b"\0" + x.tobytes()
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _unpack(z: bytes, kind) -> np.ndarray:
+    if z[:4] != _FRAME:
+        return np.frombuffer(z, kind, offset=1)
     raw = np.frombuffer(zstandard.decompress(z), np.uint8)
     wide = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(wide, -1).T).reshape(-1).view(kind)
@@ -168,7 +180,9 @@ def scored(docs: DataFrame, part: int = PART, range_: int = RANGE) -> DataFrame:
     mod = F.crc32(F.col("doc_id").cast("string")) % 10
     use = F.when(held_out_col(F.col("doc_id"), 10, 0), 0).when(F.coalesce(mod == 1, F.lit(False)), 2).otherwise(1)  # 2: held out for EM
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), use.cast("int").alias("use"))
-    dealt = F.xxhash64("doc_id", "text")
+    # Copies of one row are dealt by where they are read, so they don't all fall to one part; which part counts a row makes
+    # no difference to any sum, and rows are stored with their parts, so a part is the same whenever it is read.
+    dealt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     # Rows held out for EM are in parts of their own, so that the EM reads no others.
     rows = rows.withColumn("part", F.when(F.col("use") == 2, F.lit(parts) + F.pmod(dealt, F.lit(max(1, parts // 9)))).otherwise(F.pmod(dealt, F.lit(parts))))
 
@@ -178,7 +192,7 @@ def scored(docs: DataFrame, part: int = PART, range_: int = RANGE) -> DataFrame:
             z = pa.array([pack(x.as_py().encode()) for x in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), z, b.column(2), b.column(3)], ["doc_id", "z", "use", "part"])
 
-    rows = mapped(rows, packed, "doc_id long, z binary, use int, part long")
+    rows = stored(mapped(rows, packed, "doc_id long, z binary, use int, part long"), "lm-rows", "none")
     asked = rows.groupBy("part").applyInArrow(_asked(bits), _ASK)
     answers = stored(asked.groupBy("kind", "range").applyInArrow(_answered, _ANSWER), "lm-counts")
     total = answers.where(f"part = -1 and kind = {_TOKENS}").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_fit", "n_tune", "v_fit", "v_all")]).first()

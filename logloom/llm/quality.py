@@ -1,7 +1,8 @@
 """Quality classification by hierarchical empirical Bayes.
 
-A document's own evidence is a log likelihood ratio: multinomial naive Bayes over hashed words plus the shape of its
-words (symbols, bars, digits, length), of which only the most telling count, so that long texts do not drown the site. It is learned from at most
+A document's own evidence is a log likelihood ratio: naive Bayes over hashed words plus the shape of its words (symbols,
+bars, digits, length). All words count, damped by length: the evidence for and that against enter by their root sums of
+squares (times DAMPING), so many weak words neither drown a few strong ones nor the site. It is learned from at most
 SAMPLE labelled rows (those with the least hash of their id); good means quality 1 and not toxic.
 
 Site evidence is a hierarchy of posteriors from grouped sums over all documents: the global rate of good documents, each
@@ -33,6 +34,8 @@ SAMPLE = 50_000
 BITS, THRESHOLD = 16, 0.5
 #: Signed root of the deviance (standard errors, also where a class has no row) by which a word must stand out.
 SIGNIFICANT = 4.5
+#: Words of equal evidence that count in full; more of them count as the root of their number.
+DAMPING = 2.0
 BUCKETS = 1 << BITS
 _SHAPES = 8 * 16
 _SHARP = np.array(list(b"#*$%&|<>"), np.uint8)
@@ -111,10 +114,9 @@ def evidence(docs: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
                     llr.append(0.0)
                     continue
                 words, shape = features(t)
-                x = of_words[np.unique(words)]
-                strong = np.sort(x[np.abs(x) > 0.5])  # words of mostly one class
-                told = strong[:4].sum() + (strong[-4:].sum() if len(strong) > 4 else 0.0)
-                llr.append(float(told + of_shapes[shape].sum()))
+                x = of_words[np.unique(words)].astype(np.float64)
+                told = np.sqrt(np.square(np.maximum(x, 0)).sum()) - np.sqrt(np.square(np.minimum(x, 0)).sum())
+                llr.append(float(DAMPING * told + of_shapes[shape].sum()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(llr, pa.float64())], [*keep, "llr"])
 
     return mapped(docs.select(*keep, F.col("text").cast("string").alias("_text")), run, schema)

@@ -1,19 +1,21 @@
-"""Near copies by exact similarity of word shingles: MinHash bands propose pairs, shingle sets decide.
+"""Near copies by exact similarity of word shingles: SimHash balls and MinHash bands propose pairs, shingle sets decide.
 
 A text, A-Z lower-cased, is the set of its shingles of `width` words (a text of fewer words is one shingle, one without
 words has an empty set, which is like another empty one and nothing else). Two texts are near copies if the Jaccard
 similarity of their sets is at least `similarity`; near copies of near copies belong together.
 
-SimHash balls can't do this: texts of similarity 0.8 differ in about 10 of 64 bits, and a ball wide enough for that has
-more points than there are texts. So each distinct set emits one key per band, a hash of ROWS minima of its hashed
-shingles under ROWS permutations; sets of similarity s share a key with odds 1 - (1 - s^ROWS)^BANDS, at 0.8 all but
-3 in a million. Proposed pairs are decided by the sets themselves, so nothing less similar is linked.
+Each distinct set has a SimHash fingerprint and emits its ball of variants, as in simhash.py: fingerprints of 2 or fewer
+differing bits share one. Balls alone can't do it: texts of similarity 0.8 differ in about 10 of 64 bits, and a ball wide
+enough for that has more points than there are texts. So each set also emits one key per band, a hash of ROWS minima of its
+hashed shingles under ROWS permutations; sets of similarity s share a key with odds 1 - (1 - s^ROWS)^BANDS, at 0.8 all but
+3 in a million. Proposed pairs are verified by the sets themselves, so nothing less similar is linked.
 
 Keys with the same members count once. The sets that share a key are compared in blocks of at most BLOCK, every pair in
 some block, by a product of their incidence matrices; a block gives each of its components as links to one member.
 Shingles are compared as 64-bit hashes.
 
-Nulls: a null text is an empty one. Copies of a set are merged before anything is shuffled.
+Nulls: a null text is an empty one. Copies of a set are merged before anything is shuffled. Ties, repeated rows, long texts
+and columns with clashing names are as in simhash.least_of_each and need no care here.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped, mixed, stored, text_hash, texts_of, word_hashes
 from .components import components
-from .simhash import least_of_each
+from .simhash import RADIUS, ball, least_of_each
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -70,8 +72,14 @@ def _node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, signed: a bit is 1 if over half of them have it."""
+    ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
+
+
 def marked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, h (xxhash64 of the text), node (the number of its set) and the set's keys, for each row."""
+    """doc_id, h (xxhash64 of the text), node (the number of its set), fp and the set's band keys, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,11 +87,11 @@ def marked(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             at = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
             flat = np.concatenate([keys(s) for s in sets]) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))], ["doc_id", "h", "node", "keys"]
+                [b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))], ["doc_id", "h", "node", "fp", "keys"]
             )
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), F.col("text").cast("string").alias("text"))
-    return mapped(cols, run, "doc_id long, h long, node long, keys array<long>")
+    return mapped(cols, run, "doc_id long, h long, node long, fp long, keys array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -137,7 +145,8 @@ def _links(nodes: list[int], sets: list[np.ndarray], similarity: float) -> Itera
 
 def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """u and v, links that connect all sets of that similarity which share a key; rows is marked(docs)."""
-    keyed = rows.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    balls = F.transform(ball(F.col("fp"), RADIUS // 2), lambda v: F.xxhash64(v))
+    keyed = rows.dropDuplicates(["node"]).select("node", F.explode(F.concat("keys", balls)).alias("key"))
     members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
     crowded = members.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     shared = stored(keyed.join(crowded.select("key", "n"), "key"), "shingles-shared")

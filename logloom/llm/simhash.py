@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return mapped(cols, run, "doc_id long, h long, fp long")
 
 
-def _ball(fp: Column, radius: int) -> Column:
+def ball(fp: Column, radius: int) -> Column:
     """Every value within radius bits of fp."""
     masks = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(64), k)]
     return F.transform(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks]), lambda m: fp.bitwiseXOR(m))
@@ -77,7 +77,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the radius must be even to be met in the middle")
     # Distinct fingerprints are few bytes, often one file; their variants are many, so they are dealt out first.
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    variants = fps.select("fp", F.explode(_ball(F.col("fp"), radius // 2)).alias("variant"))
+    variants = fps.select("fp", F.explode(ball(F.col("fp"), radius // 2)).alias("variant"))
     met = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = met.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u <> v")
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
@@ -104,6 +104,14 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFr
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies of that similarity of shingles: of each group, one row with its least doc_id
+    stays. Balls propose pairs here and, for those too far apart for them, bands; the shingles decide (see shingles.py)."""
+    from . import shingles
+
+    return shingles.one_of_each(docs, width, similarity)
+
+
 def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near-duplicates: of each component, one row with its least doc_id stays."""
     marked, fps = _classed(docs, width, radius)

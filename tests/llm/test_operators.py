@@ -174,6 +174,64 @@ def test_language_model_beats_its_base_on_held_out_texts(spark):
     assert r.s > r.b
 
 
+def brute_scores(rows):
+    """Scores by dictionaries: counts of all training rows, and weights by EM over every token of the slice held out for it."""
+    mod = [None if i is None else zlib.crc32(str(i).encode()) % 10 for i, _ in rows]
+    texts = [[None] + re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t.decode())) + [0] for _, t in rows]
+
+    def counts(wanted):
+        uni, bi, begins = collections.Counter(), collections.Counter(), 0
+        for m, t in zip(mod, texts):
+            if wanted(m):
+                uni.update(t[1:])
+                bi.update(zip(t, t[1:]))
+                begins += 1
+        return uni, bi, begins, sum(uni.values()), len(uni)
+
+    def estimates(t, uni, bi, begins, n, v):
+        for a, b in zip(t, t[1:]):
+            context = begins if a is None else uni[a]
+            yield (min(lm.BUCKETS - 1, 1 + int(math.log2(context))) if context else 0), bi[a, b] / max(context, 1), uni[b] / max(n, 1), 1 / (v + 1)
+
+    fit = counts(lambda m: m not in (0, 1))
+    seen = [x for m, t in zip(mod, texts) if m == 1 for x in estimates(t, *fit)]
+    weights = np.tile([0.5, 0.4, 0.1], (lm.BUCKETS, 1))
+    weights[0] = [0, 0.8, 0.2]
+    for _ in range(lm.ROUNDS if seen else 0):
+        total = np.tile([0.25, 0.2, 0.05], (lm.BUCKETS, 1))
+        total[0, 0] = 0
+        for k, *p in seen:
+            share = weights[k] * p
+            total[k] += share / share.sum()
+        weights = total / total.sum(axis=1, keepdims=True)
+    every = counts(lambda m: m != 0)
+    return [sum(math.log10(weights[k] @ np.array(p)) for k, *p in estimates(t, *every)) for t in texts]
+
+
+def test_scores_are_those_of_deleted_interpolation(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for df, near in ((awkward, 1e-6), (docs, 2e-3)):  # with rows for the EM, its grid costs some
+        got = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm.scored(df).collect()}
+        rows = texts(df)
+        want = brute_scores(rows)
+        have = sorted(got.values())
+        assert len(set(np.round(want, 4))) >= len(have) * 0.9 or len(have) < 12
+        for a, b in zip(have, sorted(set(np.round(want, 9)))) if len(have) == len(set(np.round(want, 9))) else []:
+            assert abs(a - b) <= near * abs(b) + 1e-9
+        by_id = {i: w for (i, _), w in zip(rows, want)}
+        for (i, *_), score in got.items():
+            if i is not None and sum(j == i for j, _ in rows) == 1:
+                assert abs(score - by_id[i]) <= near * abs(by_id[i]) + 1e-9
+
+
+def test_short_runs_of_numbers_are_stored_plain():
+    for n in (0, 1, 3, 31, 32, 1000):
+        for kind in (np.uint32, np.uint64):
+            x = np.arange(n, dtype=kind) * 977
+            assert (lm._unpack(lm._pack(x), kind) == x).all()
+    assert len(lm._pack(np.arange(1, 2, dtype=np.uint64))) == 9
+
+
 def test_mixture_weights_sum_to_one():
     w = lm.fitted([(1 * 64 * 64 + 5, 100.0, 50.0, 1.0), (3 * 64 * 64, 10.0, 0.0, 0.1)], 1e-4)
     assert np.allclose(w.sum(axis=1), 1) and w[1, 0] > 0.9 and w[3, 0] < 0.1 and w[0, 0] == 0
