@@ -4,22 +4,23 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it keeps is
 next one's docs. All but the last return the columns of documents; the last adds size, source_size, target, copies and
 taken to the documents that the mix takes.
 
-1. language: documents whose language can't be told (no text, or no letter in it) go.
+1. language: documents whose language can't be told (no text, no letter in it, or a best score under langid.LEAST) go.
 2. near_duplicates: of documents that shingles of five words of similarity 0.8 or more link, the one with the least doc_id
-   stays.
+   stays. SimHash balls propose pairs, and bands those that balls can't reach.
 3. repeated_passages: every byte of a 200-byte string that also starts elsewhere is cut out; documents of which no word
    is left go.
 4. benchmark: documents that leak a benchmark item go.
 5. mixture: sources are mixed to their target weights; documents without a copy go.
 
-All stages take null ids, texts, languages and sources, repeated rows and empty tables; see the operators.
+All stages take null ids, texts, languages and sources, long texts, repeated rows, empty tables and columns with clashing
+names; see the operators.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import decontaminate, langid, mixing, shingles, substrings
+from logloom.llm import decontaminate, langid, mixing, simhash, substrings
 from logloom.llm.common import stored, table
 
 
@@ -28,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.one_of_each(docs)
+    return simhash.near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
