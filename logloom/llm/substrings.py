@@ -53,6 +53,8 @@ LEAST, GRAM, MOST = 200, 24, 64
 BLOCKS = (88, 16, 1)
 #: Bytes of a document that are looked at at once, and symbols that go through one call of suffix_arrays.
 _PART, _CALL = 1 << 19, 1 << 19
+#: Bytes of a symbol where texts that begin alike are compared as a whole.
+_WORD = 8
 _TABLE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -266,14 +268,14 @@ def _cut_again(least: int, block: int):
     return run
 
 
-def _batches_of(groups: list[list], text=lambda x: x[-1]) -> Iterator[list[list]]:
-    """Groups of byte strings in lists of about _CALL symbols, those of like length together."""
-    groups.sort(key=lambda g: sum(len(text(x)) for x in g))
+def _batches_of(groups: list[list], limit: int = _CALL) -> Iterator[list[list]]:
+    """Groups of byte strings (the last value of each member) in lists of about limit bytes, those of like length together."""
+    groups.sort(key=lambda g: sum(len(x[-1]) for x in g))
     call, total = [], 0
     for g in groups:
         call.append(g)
-        total += sum(len(text(x)) + 1 for x in g)
-        if total >= _CALL:
+        total += sum(len(x[-1]) + 1 for x in g)
+        if total >= limit:
             yield call
             call, total = [], 0
     if call:
@@ -291,17 +293,45 @@ def _flags(call: list[list], starts: np.ndarray, least: int) -> np.ndarray:
     return _marked(raw, order, length, starts, np.repeat(np.arange(len(call)), [len(g) for g in call]), least)
 
 
+def _equal(call: list[list]) -> bool:
+    """Whether the members of each group (byte strings, the last value of each) are all equal.
+
+    Twins begin at the same distance from their gram, so their texts are read as words of _WORD bytes, whose suffix array is
+    that much shorter; a whole text equals another exactly if the two are neighbours in suffix order and agree.
+    """
+    texts = [x[-1] for g in call for x in g]
+    size = np.array([-(-len(t) // _WORD) for t in texts])
+    words = np.frombuffer(b"".join(t.ljust(n * _WORD, b"\0") for t, n in zip(texts, size.tolist())), np.uint64)
+    many = np.array([len(g) for g in call])
+    group = np.repeat(np.repeat(np.arange(len(call)), many), size)
+    by = np.lexsort((words, group))
+    new = np.diff(group[by], prepend=-1) != 0
+    step = np.cumsum(new | np.concatenate(([True], words[by][1:] != words[by][:-1])))
+    symbols = np.ones(len(words) + len(texts), np.int64)  # 1 ends a text
+    begin = np.cumsum(size + 1) - (size + 1)
+    at = _ranges(begin, size)
+    symbols[at[by]] = step - np.repeat(step[new], np.diff(np.append(np.flatnonzero(new), len(by)))) + 2
+    first = np.cumsum(many) - many
+    cuts = np.append(begin, len(symbols))[np.cumsum(many)]
+    order, _ = suffix_arrays(np.split(symbols, cuts[:-1]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    place = place[begin]
+    for a, n in zip(first.tolist(), many.tolist()):
+        row = sorted(range(a, a + n), key=place.__getitem__)
+        if any(place[y] - place[x] != 1 or texts[x] != texts[y] for x, y in zip(row, row[1:])):
+            return False
+    return True
+
+
 def _twins(least: int):
-    """Takes (k, c, p, s) sorted by k and c; gives k and c of the contents whose strings all recur in their twin."""
+    """Takes (k, c, p, s) sorted by k and c; gives k and c of the contents whose twins are equal."""
 
     def judged(held: list[list]) -> pa.RecordBatch:
-        rows = []
-        for call in _batches_of(held):
-            starts = np.array([_unpack(x[2])[2] for g in call for x in g])
-            if not _flags(call, starts, least).all():
+        for call in _batches_of(held, _CALL * _WORD):
+            if not _equal(call):
                 raise ValueError("two contents have equal hashes")
-            rows += [(g[0][0], g[0][1]) for g in call]
-        return _batch(rows, ["k", "c"])
+        return _batch([(g[0][0], g[0][1]) for g in held], ["k", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, size = [], [], 0

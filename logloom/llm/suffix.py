@@ -32,7 +32,7 @@ def _grouped(symbols: np.ndarray, offset: np.ndarray, length: np.ndarray):
     """First phase: order (members by group), group (its first slot) and pointer of every position."""
     size = len(symbols)
     own = _ranges(offset + 1, length)
-    key = np.repeat(np.arange(len(length), dtype=np.int64), length) * 512 + symbols[own]
+    key = np.repeat(np.arange(len(length), dtype=np.int64), length) * (int(symbols.max(initial=0)) + 1) + symbols[own]
     by = np.argsort(key, kind="stable")
     order, place = np.full(size, -1, _INT), np.full(size, -1, _INT)
     order[own] = own[by]
@@ -92,7 +92,7 @@ def _grouped(symbols: np.ndarray, offset: np.ndarray, length: np.ndarray):
 
 
 def suffix_arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """texts: symbols 1..511, none empty. Gives all positions in suffix order, text by text, as indices into the
+    """texts: symbols of 1 and up, none empty. Gives all positions in suffix order, text by text, as indices into the
     concatenated texts, and where each text begins there. The end of a text is below every symbol."""
     length = np.array([len(t) + 1 for t in texts], np.int64)
     offset = np.concatenate(([0], np.cumsum(length + 1)[:-1])).astype(np.int64)
