@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .family_rules import FAMILIES, Family, Signal
@@ -95,10 +95,23 @@ def signals(lines: DataFrame, families: tuple[Family, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
+def _p95(got: DataFrame, spec: DataFrame, key: list[str]) -> DataFrame:
+    """key, entity and p95_value of the findings whose signals carry numbers: equal numbers are counted first, so what is put
+    in order is distinct numbers and no file's lines come together."""
+    values = got.where("value is not null").groupBy("file_id", "family", "signal", "entity", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = values.join(F.broadcast(spec), ["family", "signal"]).groupBy(*key, F.when(F.col("per"), F.col("entity")).alias("entity"), "value").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*key, "entity")
+    upto = F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = values.withColumn("upto", upto).withColumn("all", F.sum("n").over(w))
+    return placed.where(F.col("upto") > F.floor(F.col("all") * 0.95)).groupBy(*key, "entity").agg(F.min("value").alias("p95_value"))
+
+
 def findings(lines: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
-    """file_id, family, kind, level, category, count, first_line, entity, entities, avg_value, max_value, p95_value, signature.
+    """file_id, family, kind, level, category, count, first_line, entity, entities, top_entities, classes, avg_value, max_value,
+    p95_value, signature.
 
-    entities are what the finding affects, sorted; entity is set where a finding stands for one of them alone.
+    entities are what the finding affects, sorted; top_entities those with most rows, where the rule asks for them; classes
+    the signals that were met; entity is set where a finding stands for one of them alone.
     """
     families = chosen(names)
     got = signals(lines, families)
@@ -108,10 +121,9 @@ def findings(lines: DataFrame, names: tuple[str, ...] | None = None) -> DataFram
         F.sum("value").alias("total"),
         F.max("value").alias("most"),
         F.count("value").alias("values"),
-        F.sort_array(F.collect_list("value")).alias("each"),
     )
-    specs = [(f.name, x.kind, x.level, x.category, s, i, x.least, x.per, s in x.distinct, x.unless or None, x.suspects, x.title, x.over[0] if x.over else None, x.over[1] if x.over else None) for f in families for i, x in enumerate(f.findings) for s in x.signals]
-    schema = "family string, kind string, level string, category string, signal string, position int, least int, per boolean, distinct boolean, unless string, suspects int, title string, over double, over_signal string"
+    specs = [(f.name, x.kind, x.level, x.category, s, i, x.least, x.per, s in x.distinct, x.unless or None, x.suspects, x.title, x.over[0] if x.over else None, x.over[1] if x.over else None, x.top) for f in families for i, x in enumerate(f.findings) for s in x.signals]
+    schema = "family string, kind string, level string, category string, signal string, position int, least int, per boolean, distinct boolean, unless string, suspects int, title string, over double, over_signal string, top int"
     spec = lines.sparkSession.createDataFrame(specs, schema)  # one row per finding and signal of the rule table
     part = per.join(F.broadcast(spec), ["family", "signal"])
     part = part.withColumn("n", F.when(F.col("distinct") & F.col("entity").isNotNull(), F.lit(1)).otherwise(F.col("n")))
@@ -122,17 +134,29 @@ def findings(lines: DataFrame, names: tuple[str, ...] | None = None) -> DataFram
         F.sum("total").alias("total"),
         F.max("most").alias("max_value"),
         F.sum("values").alias("values"),
-        F.sort_array(F.flatten(F.collect_list("each"))).alias("each"),
+        F.sort_array(F.collect_set("signal")).alias("classes"),
         F.sort_array(F.collect_set(F.when((F.col("suspects") == 0) | (F.col("n") >= F.col("suspects")), F.col("entity")))).alias("entities"),
     )
     out = out.where((F.col("count") >= F.col("least")) & (~F.col("per") | F.col("entity").isNotNull()))
+    if any(s.value for f in families for s in f.signals):
+        p95 = _p95(got, spec, key)
+        p95 = p95.select(*[F.col(c).alias(f"_{c}") for c in ("file_id", "family", "kind", "position", "entity")], "p95_value")
+        out = out.join(p95, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("file_id", "family", "kind", "position", "entity")]), "left")
+    else:
+        out = out.withColumn("p95_value", F.lit(None).cast("double"))
+    if any(x.top for f in families for x in f.findings):
+        counted = part.where("top > 0 and entity is not null").groupBy("file_id", "family", "position", "top", "entity").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        place = F.row_number().over(Window.partitionBy("file_id", "family", "position").orderBy(F.desc("n"), "first", "entity"))
+        best = counted.withColumn("place", place).where(F.col("place") <= F.col("top")).groupBy("file_id", "family", "position")
+        out = out.join(best.agg(F.array_sort(F.collect_list(F.struct("place", "entity"))).alias("best")), ["file_id", "family", "position"], "left")
+    else:
+        out = out.withColumn("best", F.lit(None).cast("array<struct<place:int,entity:string>>"))
     seen = per.groupBy("file_id", "family", "signal").agg(F.max("most").alias("seen_most"))
     for column in ("unless", "over_signal"):
         s = seen.select("file_id", "family", F.col("signal").alias(column), F.lit(True).alias(f"has_{column}"), F.col("seen_most").alias(f"most_{column}"))
         out = out.join(s, ["file_id", "family", column], "left")
     out = out.where("has_unless is null")
     level = F.when(F.col("most_over_signal") > F.col("over"), "CRITICAL").otherwise(F.col("level"))
-    p95 = F.get("each", F.floor(F.size("each") * 0.95).cast("int"))
     named = F.replace(F.col("title"), F.lit("{entity}"), F.coalesce("entity", F.lit("")))
     return out.select(
         "file_id",
@@ -144,13 +168,33 @@ def findings(lines: DataFrame, names: tuple[str, ...] | None = None) -> DataFram
         "first_line",
         "entity",
         "entities",
+        F.transform("best", lambda x: x["entity"]).alias("top_entities"),
+        "classes",
         F.when(F.col("values") > 0, F.col("total") / F.col("values")).alias("avg_value"),
         "max_value",
-        F.when(F.col("values") > 0, p95).alias("p95_value"),
+        "p95_value",
         F.concat(named, F.lit(" ("), F.col("count").cast("string"), F.lit(")")).alias("signature"),
     )
 
 
+# What tells that a test begins or ends, its name and how long it took.
+TEST_STARTS = r"(?i)(?:test|fixture|setup).*?(?:created|started|initialized)"
+TEST_ENDS = r"(?i)(?:test|fixture|teardown|cleanup).*?(?:completed|finished|destroyed)"
+TEST_NAME = r"""(?i)(?:test|scenario)[:\s=]*["']?([^"'\s,;]+)"""
+TEST_TIME = r"(?i)(?:duration|took|elapsed)[:\s=]*(\d+)\s*(?:ms|s)"
+
+
+def test_runs(lines: DataFrame) -> DataFrame:
+    """file_id, test, line_no, start_line and duration of each test that ends: paired with the latest line, this one included,
+    on which a test of that name starts in the file; start_line is null without one. A test without a name is called by its line."""
+    line = F.col("line")
+    told = lines.where(F.lower("line").rlike("test|fixture|setup|teardown|cleanup")).select("file_id", "line_no", line.rlike(TEST_STARTS).alias("starts"), line.rlike(TEST_ENDS).alias("ends"), F.regexp_extract("line", TEST_NAME, 1).alias("name"), F.regexp_extract("line", TEST_TIME, 1).try_cast("long").alias("duration"))
+    told = told.where("starts or ends").withColumn("test", F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("test_"), F.col("line_no").cast("string"))))
+    w = Window.partitionBy("file_id", "test").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    started = F.last(F.when(F.col("starts"), F.col("line_no")), ignorenulls=True).over(w)
+    return told.withColumn("start_line", started).where("ends").select("file_id", "test", "line_no", "start_line", F.coalesce("duration", F.lit(0)).alias("duration"))
+
+
 def line_rule(line: Column, names: tuple[str, ...] | None = None) -> Column:
     """struct(level, category, kind) of the first family, in order, whose hint and rule fit the line; else null."""
     tries = []
@@ -160,11 +204,22 @@ def line_rule(line: Column, names: tuple[str, ...] | None = None) -> Column:
     return F.coalesce(*tries)
 
 
-def custom(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+def custom(lines: DataFrame, patterns: DataFrame, at_once: int = 50) -> DataFrame:
     """Rules of a user: patterns has name, pattern, level, category, kind, action. A finding per file and rule that hits,
-    but for rules whose action is `ignore`. The rule table is small by nature and checked before it is broadcast."""
-    rules = patterns.where("coalesce(action, 'match') <> 'ignore'")
-    if rules.count() > 10_000:
-        raise ValueError("over 10,000 custom patterns")
-    hit = lines.join(F.broadcast(rules), F.regexp_like("line", "pattern"))
-    return hit.groupBy("file_id", "name", "level", "category", "kind").agg(F.count(F.lit(1)).alias("count"), F.min("line_no").alias("first_line"), F.min_by(F.substring("line", 1, 240), "line_no").alias("sample"))
+    but for rules whose action is `ignore`.
+
+    Rules are a table that somebody wrote; they become columns, so each line is matched with all rules of a pass and with
+    no join. at_once bounds the rules of a pass, as one expression, not their number.
+    """
+    rules = patterns.where("coalesce(action, 'match') <> 'ignore'").select("name", "pattern", "level", "category", "kind").collect()
+    if not rules:
+        rules_schema = "name string, level string, category string, kind string"
+        hit = lines.select("file_id", "line_no", "line", F.explode(F.array().cast(f"array<struct<{rules_schema.replace(' ', ':').replace(',:', ',')}>>")).alias("r"))
+    else:
+        text = lambda v: F.lit(v).cast("string")
+        passes = []
+        for at in range(0, len(rules), at_once):
+            tests = [F.when(F.col("line").rlike(r.pattern), F.struct(text(r.name).alias("name"), text(r.level).alias("level"), text(r.category).alias("category"), text(r.kind).alias("kind"))) for r in rules[at : at + at_once]]
+            passes.append(lines.select("file_id", "line_no", "line", F.explode(F.array_compact(F.array(*tests))).alias("r")))
+        hit = reduce(DataFrame.unionByName, passes)
+    return hit.groupBy("file_id", "r.name", "r.level", "r.category", "r.kind").agg(F.count(F.lit(1)).alias("count"), F.min("line_no").alias("first_line"), F.min_by(F.substring("line", 1, 240), "line_no").alias("sample"))

@@ -4,7 +4,8 @@ Words and patterns are fixed values of the log formats that the families read. h
 these occurs in it (lower case), or, as a pattern, matches. A signal matches if any of its words occurs (in lower case, or
 as written with exact), or its pattern matches, and all of its `also` words and none of its `never` words occur. value is
 a pattern with a number, entity one with a name; the first pattern that finds one counts. A finding needs `least` rows of
-its signals, with per over each entity alone; unless names a signal whose presence in the file forbids it.
+its signals, with per over each entity alone; unless names a signal whose presence in the file forbids it; top asks for the
+entities with most rows. A signal with `after` counts only where none of those named there does.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ class Finding:
     suspects: int = 0
     title: str = ""
     over: tuple[float, str] | None = None
+    top: int = 0
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,21 @@ def _status(code: int) -> Signal:
     return Signal(f"status_{code}", pattern=rf"{_ACCESS}{code}{_TAIL}", entity=(_ACCESS,))
 
 
+#: Classes of attacks by what a path holds; the first that fits counts.
+ATTACKS = (
+    ("admin_probe", r"/admin|/wp-admin|/panel|/phpmyadmin"),
+    ("webshell_probe", r"\.php\?|\.asp\?|shell\.php"),
+    ("dotfile_probe", r"\.env|\.git|\.aws"),
+    ("sql_injection", r"sql|union|select|drop|insert"),
+    ("path_traversal", r"\.\./|\.\.\\"),
+)
+
+
+def _probes() -> tuple[Signal, ...]:
+    pattern = lambda held: rf"""(?i){_PATH}(?:{held})\S*\s+HTTP/[\d.]+"\s+\d{{3}}{_TAIL}"""
+    return tuple(Signal(name, pattern=pattern(held), entity=(_ACCESS,), after=tuple(n for n, _ in ATTACKS[:k])) for k, (name, held) in enumerate(ATTACKS))
+
+
 FAMILIES: tuple[Family, ...] = (
     Family(
         "nginx",
@@ -84,7 +101,7 @@ FAMILIES: tuple[Family, ...] = (
             _status(503),
             _status(504),
             Signal("denied", pattern=rf"{_ACCESS}(?:401|403){_TAIL}", entity=(_ACCESS,)),
-            Signal("probe", pattern=rf"""(?i){_PATH}(?:/admin|/wp-admin|/panel|/phpmyadmin|\.php\?|\.asp\?|shell\.php|\.env|\.git|\.aws|sql|union|select|drop|insert|\.\./|\.\.\\)\S*\s+HTTP/[\d.]+"\s+\d{{3}}{_TAIL}""", entity=(_ACCESS,)),
+            *_probes(),
             Signal("slow", pattern=rf"{_ACCESS}\d{{3}}{_TAIL}\s+[\d.]+", value=rf"{_ACCESS}\d{{3}}{_TAIL}\s+(\d+(?:\.\d+)?)", least_value=1.0000001, entity=(_ACCESS,)),
         ),
         (
@@ -93,7 +110,7 @@ FAMILIES: tuple[Family, ...] = (
             Finding("service_unavailable", "ERROR", "http", ("status_503",), title="HTTP 503 errors"),
             Finding("gateway_timeout", "ERROR", "http", ("status_504",), title="HTTP 504 errors"),
             Finding("auth_cascade", "WARN", "security-auth", ("denied",), least=3, per=True, title="Auth cascade from {entity}"),
-            Finding("attack_probe", "ERROR", "security", ("probe",), least=2, per=True, title="Attack probe from {entity}"),
+            Finding("attack_probe", "ERROR", "security", tuple(name for name, _ in ATTACKS), least=2, per=True, title="Attack probe from {entity}"),
             Finding("slow_requests", "WARN", "performance", ("slow",), least=3, title="Slow requests detected"),
         ),
         hint_pattern=r"\d{3}\s+\d+",
@@ -182,7 +199,7 @@ FAMILIES: tuple[Family, ...] = (
             Finding("deadlock", "CRITICAL", "concurrency", ("deadlock",), title="Deadlocks"),
             Finding("query_timeout", "ERROR", "performance", ("timeout",), title="Query timeouts"),
             Finding("connection_exhausted", "ERROR", "connection", ("connections",), title="Connections exhausted"),
-            Finding("auth_failure", "WARN", "security", ("auth",), title="Authentication failures"),
+            Finding("auth_failure", "WARN", "security", ("auth",), title="Authentication failures", top=5),
             Finding("disk_issue", "CRITICAL", "storage", ("disk",), title="Disk issues"),
             Finding("slow_queries", "WARN", "performance", ("timeout_took", "took"), least=3, title="Slow queries"),
         ),

@@ -15,6 +15,7 @@ from ..operators.family_rules import FAMILIES
 from ..sources.artifacts import lines_of
 from ..sources.render import log, log_sql
 from . import log_sql as L
+from .log_sql import q
 
 Q: dict[str, tuple] = {}
 
@@ -50,9 +51,9 @@ def record_prefix_styles(spark, d):
 
 @query("vendor_code_topk", f"""with {L.rec_sql('app')}, v as (select file_id, line_no, s, {L.CODE} as code from rec),
 g as (select file_id, code, count(*) as n, min(line_no) as first_line, max(line_no) as last_line, substr(arg_min(s, line_no), 1, 240) as example from v where code is not null group by all)
-select file_id, code, split_part(code, '-', 1) as family, n, first_line, last_line, example, cast(row_number() over (partition by file_id order by n desc, first_line) as int) as position from g qualify position <= 10""")
+select file_id, code, split_part(code, '-', 1) as family, n, first_line, last_line, example, cast(row_number() over (partition by file_id order by n desc, first_line) as int) as position from g qualify position <= 500""")
 def vendor_code_topk(spark, d):
-    return S.vendor_codes(log(spark, d, "app"), limit=10)
+    return S.vendor_codes(log(spark, d, "app"), limit=500)
 
 
 @query("vendor_family_counts", f"with {L.rec_sql('app')}, v as (select file_id, {L.CODE} as code from rec) select file_id, split_part(code, '-', 1) as family, count(distinct code) as codes, count(*) as occurrences from v where code is not null group by 1, 2")
@@ -155,9 +156,9 @@ def longest_sample(spark, d):
 
 @query("incidents_order_cap", f"""with {_GROUPS}, i as (select file_id, key, count(*) as n, min(start_line) as first_line, arg_min(level, start_line) as level, arg_min(signature, start_line) as signature from gk group by file_id, key_kind, key),
 r as (select *, count(*) over (partition by file_id) as total, cast(row_number() over (partition by file_id order by case level when 'CRITICAL' then 0 when 'FATAL' then 1 when 'SEVERE' then 2 when 'ERROR' then 3 when 'WARN' then 4 else 50 end, first_line, signature) as int) as position from i)
-select file_id, position, level, signature, n, first_line, total from r where position <= 25""")
+select file_id, position, level, signature, n, first_line, total from r where position <= 100""")
 def incidents_order_cap(spark, d):
-    out = E.incidents(E.grouped(E.events(log(spark, d, "app"))), limit=25)
+    out = E.incidents(E.grouped(E.events(log(spark, d, "app"))), limit=100)
     return out.select("file_id", "position", "level", "signature", F.col("count").alias("n"), "first_line", "total")
 
 
@@ -214,10 +215,17 @@ def _family(name: str, source: str):
     def run(spark, d) -> DataFrame:
         three = lambda c: F.format_string("%.3f", c)
         x = FA.findings(log(spark, d, source), (name,))
-        return x.select("file_id", "kind", "level", "category", F.col("count").alias("n"), "first_line", "entity", _joined("entities").alias("entities"), *[F.when(F.col(c).isNotNull(), three(c)).alias(c) for c in ("avg_value", "max_value", "p95_value")])
+        return x.select("file_id", "kind", "level", "category", F.col("count").alias("n"), "first_line", "entity", _joined("entities").alias("entities"), _joined("top_entities").alias("top_entities"), _joined("classes").alias("classes"), *[F.when(F.col(c).isNotNull(), three(c)).alias(c) for c in ("avg_value", "max_value", "p95_value")])
 
     return run
 
 
 for _f in FAMILIES:
     _family(_f.name, "access" if _f.name == "nginx" else "ops")
+
+
+@query("test_runs", f"""with {log_sql('app')}, t as (select file_id, line_no, regexp_matches(line, {q(FA.TEST_STARTS)}) as s, regexp_matches(line, {q(FA.TEST_ENDS)}) as e, coalesce(nullif(regexp_extract(line, {q(FA.TEST_NAME)}, 1), ''), 'test_' || line_no) as test, coalesce(try_cast(regexp_extract(line, {q(FA.TEST_TIME)}, 1) as bigint), 0) as duration from lines),
+p as (select *, last_value(case when s then line_no end ignore nulls) over (partition by file_id, test order by line_no) as start_line from t where s or e)
+select file_id, test, line_no, start_line, duration from p where e""")
+def test_runs(spark, d):
+    return FA.test_runs(log(spark, d, "app"))

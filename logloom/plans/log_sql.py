@@ -92,9 +92,10 @@ def family_sql(f: Family, log: str) -> str:
         group = ", entity" if x.per else ""
         listed = "string_agg(distinct entity, ',' order by entity)" if not x.suspects else f"(select string_agg(entity, ',' order by entity) from (select entity from sig z where z.file_id = sig.file_id and z.signal in ({names}) group by entity having count(*) >= {x.suspects}))"
         level = q(x.level) if not x.over else f"case when (select max(value) from sig z where z.file_id = sig.file_id and z.signal = {q(x.over[1])}) > {x.over[0]} then 'CRITICAL' else {q(x.level)} end"
+        top = f"(select array_to_string(list_slice(list(entity order by n desc, f, entity), 1, {x.top}), ',') from (select entity, count(*) as n, min(line_no) as f from sig z where z.file_id = sig.file_id and z.signal in ({names}) and entity is not null group by entity))" if x.top else "null::varchar"
         unless = f"and file_id not in (select file_id from sig where signal = {q(x.unless)})" if x.unless else ""
         found.append(
-            f"select file_id, {q(x.kind)} as kind, {level} as level, {q(x.category)} as category, ({count})::bigint as n, min(line_no) as first_line, {'entity' if x.per else 'null::varchar'} as entity, coalesce({listed}, '') as entities, "
+            f"select file_id, {q(x.kind)} as kind, {level} as level, {q(x.category)} as category, ({count})::bigint as n, min(line_no) as first_line, {'entity' if x.per else 'null::varchar'} as entity, coalesce({listed}, '') as entities, {top} as top_entities, string_agg(distinct signal, ',' order by signal) as classes, "
             f"printf('%.3f', avg(value)) as avg_value, printf('%.3f', max(value)) as max_value, printf('%.3f', list_sort(list(value) filter (value is not null))[floor(0.95 * count(value))::int + 1]) as p95_value from sig where signal in ({names}) {'and entity is not null' if x.per else ''} {unless} group by file_id{group} having ({count}) >= {x.least}"
         )
     return f"with {log_sql(log)}, hinted as (select * from lines where {hint}), sig as ({' union all '.join(rows)}) " + " union all ".join(found)

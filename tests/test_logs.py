@@ -172,6 +172,36 @@ def test_family_thresholds(spark):
     assert (r["count"], r.avg_value) == (4, 2000.0)  # such a line counts as a timeout and as slow
 
 
+def test_classes_top_users_and_percentiles(spark):
+    access = '1.1.1.1 - - [01/Jan/2024:00:00:00 +0000] "GET {path} HTTP/1.1" 404 10 "-" "x" {time}'
+    paths = ["/admin/x.php?id=1", "/x.php?id=1", "/.env", "/q?select=1", "/..\\x", "/plain"]
+    rows = [access.format(path=p, time=0.1) for p in paths] + [access.format(path="/plain", time=t) for t in (1.5, 2.5, 2.5, 9)]
+    got = {r.kind: r for r in FA.findings(lines(spark, "\n".join(rows)), ("nginx",)).collect()}
+    probe = got["attack_probe"]
+    assert (probe.entity, probe["count"], probe.first_line) == ("1.1.1.1", 5, 1)
+    assert probe.classes == ["admin_probe", "dotfile_probe", "path_traversal", "sql_injection", "webshell_probe"]
+    slow = got["slow_requests"]
+    assert (slow["count"], slow.avg_value, slow.max_value, slow.p95_value) == (4, 3.875, 9.0, 9.0)
+    users = "eve eve bob ann ann ann zoe kim lea max max".split()
+    text = "\n".join(f"postgres FATAL: password authentication failed for user={u}" for u in users)
+    r = FA.findings(lines(spark, text), ("postgresql",)).where("kind = 'auth_failure'").first()
+    assert r["count"] == 11 and r.top_entities == ["ann", "eve", "max", "bob", "zoe"]
+
+
+def test_tests_are_paired_with_their_latest_start(spark):
+    text = "test: alpha started\ntest: alpha started again\ntest: alpha completed took 15 ms\ntest: beta finished\nfixture destroyed\nnothing"
+    got = [(r.test, r.line_no, r.start_line, r.duration) for r in FA.test_runs(lines(spark, text)).orderBy("line_no").collect()]
+    assert got == [("alpha", 3, 2, 15), ("beta", 4, None, 0), ("test_5", 5, None, 0)]
+
+
+def test_custom_patterns_in_several_passes(spark):
+    rules = [(f"r{i}", f"word{i}\\b", "WARN", "c", "k", "match" if i else "ignore") for i in range(7)]
+    patterns = spark.createDataFrame(rules, "name string, pattern string, level string, category string, kind string, action string")
+    got = {r.name: (r["count"], r.first_line, r["sample"]) for r in FA.custom(lines(spark, "a word1 word6\nword0\nword6"), patterns, at_once=3).collect()}
+    assert got == {"r1": (1, 1, "a word1 word6"), "r6": (2, 1, "a word1 word6")}
+    assert FA.custom(lines(spark, "x"), patterns.limit(0)).count() == 0
+
+
 def test_incident_total_is_exact_beyond_the_limit(spark):
     text = "\n".join(f"ERROR: failure {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150))
     rows = E.incidents(E.grouped(E.events(lines(spark, text))), limit=100).collect()
