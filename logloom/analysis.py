@@ -15,6 +15,7 @@ from .functions import timestamps
 from .operators import events, families, mask, rca, saml, scan, ssh
 from .operators import findings as cross
 from .sources import saml as saml_source
+from .sources import traces
 from .sources.config import Config
 
 
@@ -93,11 +94,17 @@ class SamlAnalysis:
     summary: DataFrame
 
 
-def analyze_saml(inputs: DataFrame, at: float | None = None) -> SamlAnalysis:
-    """inputs: bundle_id, content. at: seconds since 1970 of the incident, if known; times are not judged without it."""
+def analyze_saml(inputs: DataFrame, at: float | None = None, replayed: float | None = None, supplied: DataFrame | None = None) -> SamlAnalysis:
+    """inputs: bundle_id, content. at: seconds since 1970 of the incident, if known; bundles with a trace are judged by what it
+    tells, and others at `replayed`, the time of the analysis, if given; without a time none is judged. supplied: bundle_id
+    and certificate (Base64) of keys that somebody vouches for."""
     docs = saml_source.documents(inputs).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = traces.exchanges(inputs)
     checks = saml.checks(docs)
-    found = saml.findings(docs, F.lit(float(at)) if at is not None else None)
+    found = saml.findings(docs, F.lit(float(at)) if at is not None else None, replayed, traces.timing(rows))
+    found = saml.verified_findings(found, saml.signatures(docs, supplied))
+    way = saml.transport_findings(traces.transport(rows))
+    found = found.unionByName(way.withColumn("rank", F.when(F.col("severity") == "ERROR", 0).otherwise(1)))
     return SamlAnalysis(documents=docs, checks=checks, findings=found, summary=saml.summary(checks, found))
 
 
