@@ -48,7 +48,8 @@ def _number(line: Column, pattern: str) -> Column:
 
 def matches(signal: Signal, line: Column, low: Column | None = None) -> Column:
     low = F.lower(line) if low is None else low
-    tests = []
+    # What is cheap to look for comes first: the pattern of a whole line is tried only where it can match.
+    tests = [F.contains(low, F.lit(w)) for w in signal.also] + [line.rlike(p) for p in signal.also_any]
     if signal.words:
         tests.append((line if signal.exact else low).rlike(_words(signal.words, signal.exact)))
     if signal.pattern:
@@ -56,8 +57,6 @@ def matches(signal: Signal, line: Column, low: Column | None = None) -> Column:
     if signal.ratio:
         part = lambda g: F.regexp_extract(line, signal.ratio, g).try_cast("long")
         tests += [line.rlike(signal.ratio), part(1) >= part(2)]
-    tests += [F.contains(low, F.lit(w)) for w in signal.also]
-    tests += [line.rlike(p) for p in signal.also_any]
     tests += [~line.rlike(p) for p in signal.never]
     if signal.least_value is not None:
         tests.append(_number(line, signal.value) >= signal.least_value)

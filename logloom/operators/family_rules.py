@@ -88,7 +88,7 @@ ATTACKS = (
 
 def _probes() -> tuple[Signal, ...]:
     pattern = lambda held: rf"""(?i){_PATH}(?:{held})\S*\s+HTTP/[\d.]+"\s+\d{{3}}{_TAIL}"""
-    return tuple(Signal(name, pattern=pattern(held), entity=(_ACCESS,), after=tuple(n for n, _ in ATTACKS[:k])) for k, (name, held) in enumerate(ATTACKS))
+    return tuple(Signal(name, pattern=pattern(held), also_any=(f"(?i){held}",), entity=(_ACCESS,), after=tuple(n for n, _ in ATTACKS[:k])) for k, (name, held) in enumerate(ATTACKS))
 
 
 FAMILIES: tuple[Family, ...] = (

@@ -102,13 +102,22 @@ def by_tag(kb: KnowledgeBase, name: str) -> tuple[DataFrame, DataFrame]:
     return kb.articles.join(a, "id", "left_semi"), kb.cases.join(c, "id", "left_semi")
 
 
+#: Letters of a kind that are joined on.
+_GRAM = 3
+
+
+def _grams(text: str, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+
 def for_findings(kb: KnowledgeBase, findings: DataFrame, limit: int = 5, per_kind: int = 3) -> DataFrame:
     """Per finding (finding_id, finding_code, kind) the first articles by id that are linked to its code or whose text
     has its kind: of the latter the latest per_kind."""
     linked = findings.join(kb.finding_links, "finding_code").select("finding_id", "article_id")
-    kinds = findings.where("coalesce(kind, '') <> ''").select("kind").distinct()
+    kinds = findings.where("coalesce(kind, '') <> ''").select("kind").distinct().withColumn("gram", F.substring(F.lower("kind"), 1, _GRAM))
     texts = kb.articles.where("status = 'active'").select(F.col("id").alias("article_id"), "updated_at", F.lower(F.concat_ws(" ", "title", "summary", "content")).alias("t"))
-    said = texts.join(kinds, F.contains("t", F.lower("kind")))
+    # A text that has a kind has its first letters: those are joined on, and what they meet is looked at.
+    said = texts.withColumn("gram", F.explode(F.array_distinct(F.concat(*[_grams("t", n) for n in range(1, _GRAM + 1)])))).join(kinds, "gram").where(F.contains("t", F.lower("kind")))
     w = Window.partitionBy("kind").orderBy(F.desc("updated_at"), "article_id")
     said = said.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_kind).select("kind", "article_id")
     both = linked.union(findings.join(said, "kind").select("finding_id", "article_id")).distinct()
@@ -177,3 +186,69 @@ def imported(kb: KnowledgeBase, incoming: DataFrame, mode: str = "new") -> tuple
     conflicts = rows.where("conflict").select(F.lit("article").alias("type"), "id", "title")
     add = rows.where("not conflict") if mode == "skip" else rows.withColumn("id", F.when(F.col("conflict"), F.concat(F.lit("import-"), F.sha2("id", 256))).otherwise(F.col("id")))
     return add.drop("conflict"), conflicts
+
+
+def created(kb: KnowledgeBase, rows: DataFrame) -> KnowledgeBase:
+    """The base with new active articles: rows has id, title, summary, content, created_at. They get the display numbers after
+    the highest there is, in order of creation; an id that exists is left out."""
+    new = rows.join(kb.articles.select("id"), "id", "left_anti")
+    return replace(kb, articles=kb.articles.unionByName(_continued(kb.articles, new.withColumn("status", F.lit("active")))))
+
+
+def cases_created(kb: KnowledgeBase, rows: DataFrame) -> KnowledgeBase:
+    """The base with new cases: rows has id, title, summary, content, analyze_snapshot, created_at; numbered as articles are."""
+    new = rows.join(kb.cases.select("id"), "id", "left_anti")
+    return replace(kb, cases=kb.cases.unionByName(_continued(kb.cases, new)))
+
+
+def _continued(table: DataFrame, new: DataFrame) -> DataFrame:
+    top = table.agg(F.coalesce(F.max("display_id_seq"), F.lit(0)).alias("top"))  # one row
+    number = F.row_number().over(Window.orderBy("created_at", "id"))  # over what one call adds
+    rows = new.withColumn("n", number).crossJoin(F.broadcast(top)).withColumn("display_id_seq", (F.col("n") + F.col("top")).cast("int")).withColumn("updated_at", F.col("created_at"))
+    return rows.select(*[F.col(c).cast(t).alias(c) for c, t in table.dtypes])
+
+
+def cases_updated(kb: KnowledgeBase, changes: DataFrame) -> KnowledgeBase:
+    """changes: id, title, summary, content, updated_at, change_note; what is null stays. The old content of a case that
+    changes becomes its next revision."""
+    top = kb.revisions.where("case_id is not null").groupBy(F.col("case_id").alias("_c")).agg(F.max("version").alias("top"))
+    old = kb.cases.join(changes.select("id", "change_note", F.col("updated_at").alias("at")), "id").join(top, F.col("id") == F.col("_c"), "left")
+    version = (F.coalesce("top", F.lit(0)) + 1).cast("int")
+    rev = old.select(F.concat("id", F.lit("#"), version.cast("string")).alias("id"), F.lit(None).cast("string").alias("article_id"), F.col("id").alias("case_id"), "content", version.alias("version"), F.col("at").alias("created_at"), F.lit(None).cast("string").alias("created_by"), "change_note")
+    c = changes.select("id", *[F.col(x).alias(f"n_{x}") for x in ("title", "summary", "content", "updated_at")])
+    rows = kb.cases.join(c, "id", "left").select(*[F.coalesce(f"n_{x}", x).alias(x) if x in ("title", "summary", "content", "updated_at") else F.col(x) for x in kb.cases.columns])
+    return replace(kb, cases=rows, revisions=kb.revisions.unionByName(rev))
+
+
+def without_cases(kb: KnowledgeBase, ids: DataFrame) -> KnowledgeBase:
+    """The base without the cases of ids (id) and without their tags, articles' links and revisions."""
+    gone = ids.select(F.col("id").alias("gone"))
+    cut = lambda t, c: t.join(gone, t[c] == gone["gone"], "left_anti")
+    return replace(kb, cases=cut(kb.cases, "id"), case_tags=cut(kb.case_tags, "case_id"), case_articles=cut(kb.case_articles, "case_id"), revisions=cut(kb.revisions, "case_id"))
+
+
+def tagged(kb: KnowledgeBase, wanted: DataFrame, of: str = "article") -> KnowledgeBase:
+    """The base in which the articles (or cases) of wanted (id, names: array) have exactly those tags; tags that don't exist
+    yet are made, once per name, and a tag keeps its id whoever has it."""
+    links, column = (kb.article_tags, "article_id") if of == "article" else (kb.case_tags, "case_id")
+    names = wanted.select("id", F.explode(F.array_distinct(F.filter("names", lambda n: F.trim(n) != ""))).alias("name"))
+    made = names.select("name").distinct().join(kb.tags, "name", "left_anti").select(F.concat(F.lit("tag-"), F.sha2("name", 256)).alias("id"), "name")
+    tags = kb.tags.unionByName(made)
+    new = names.join(tags.withColumnRenamed("id", "tag_id"), "name").select(F.col("id").alias(column), "tag_id")
+    kept = links.join(wanted.select(F.col("id").alias(column)), column, "left_anti").unionByName(new)
+    return replace(kb, tags=tags, **{f"{of}_tags": kept})
+
+
+def revisions_of(kb: KnowledgeBase, id_: str, of: str = "article") -> DataFrame:
+    """The revisions of an article or case, latest first."""
+    return kb.revisions.where(F.col(f"{of}_id") == id_).orderBy(F.desc("version"))
+
+
+def case_of_findings(findings: DataFrame, key: str = "case_id", order: str = "ord") -> DataFrame:
+    """id, content and analyze_snapshot of a case per key, from its findings (category, kind, level, signature) in order."""
+    said = lambda c, default: F.coalesce(c, F.lit(default))
+    line = F.concat(F.lit("- **"), said("category", "unknown"), F.lit("**: "), said("kind", "Unknown"), F.lit(" ("), said("level", "INFO"), F.lit(")\n  "), said("signature", "No description"), F.lit("\n"))
+    rows = findings.select(F.col(key).alias("id"), F.struct(F.col(order).alias("o"), line.alias("line"), F.to_json(F.struct("category", "kind", "level", "signature")).alias("json")).alias("x"))
+    per = rows.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a case is a document; its findings are its text
+    text = F.concat(F.lit("# Investigation\n## Findings\n"), F.array_join(F.transform("x", lambda x: x["line"]), ""))
+    return per.select("id", text.alias("content"), F.concat(F.lit('{"findings":['), F.array_join(F.transform("x", lambda x: x["json"]), ","), F.lit("]}")).alias("analyze_snapshot"))

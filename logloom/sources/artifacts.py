@@ -38,6 +38,30 @@ def with_pasted(artifacts: DataFrame, pasted: str | None) -> DataFrame:
     return artifacts.unionByName(row, allowMissingColumns=True)
 
 
+def one_source(artifacts: DataFrame | None, pasted: str | None) -> DataFrame | None:
+    """Either files or a pasted text, never both: the artifacts, or the text as one; null without any."""
+    has_text = bool((pasted or "").strip())
+    if artifacts is not None and has_text:
+        raise ValueError("give files or a pasted text, not both")
+    if has_text:
+        return SparkSession.active().createDataFrame([("pasted", "pasted", pasted)], "file_id string, name string, content string")
+    return artifacts
+
+
+def read_certificates(spark: SparkSession, path: str, limit: int = CERTIFICATE_LIMIT) -> DataFrame:
+    """file_id, certificate (Base64 of its DER, null if there is none) and error for each certificate in the files under path,
+    in PEM, Base64 or DER."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.expr("make_valid_utf8(cast(content as string))")
+    pem = F.regexp_extract_all(text, F.lit(r"-----BEGIN CERTIFICATE-----([A-Za-z0-9+/=\s]+)-----END CERTIFICATE-----"), 1)
+    bare = F.regexp_replace(text, r"\s", "")
+    plain = F.when(F.hex(F.substring("content", 1, 1)) == "30", F.regexp_replace(F.base64("content"), r"\s", "")).when(bare.rlike("^[A-Za-z0-9+/]{40,}=*$"), bare)
+    found = F.when(F.size(pem) > 0, F.transform(pem, lambda x: F.regexp_replace(x, r"\s", ""))).otherwise(F.array(plain))
+    rows = files.select(F.col("path").alias("file_id"), "length", F.explode(F.when(F.col("length") <= limit, found).otherwise(F.array(F.lit(None).cast("string")))).alias("certificate"))
+    error = F.when(F.col("length") > limit, F.lit(f"larger than {limit} bytes")).when(F.col("certificate").isNull(), "no certificate")
+    return rows.select("file_id", "certificate", error.alias("error"))
+
+
 def lines_of(artifacts: DataFrame, content: str = "content", order: Column | None = None) -> DataFrame:
     """file_id, file_ord, line_no, line of each artifact; a last line end opens no further line."""
     text = F.regexp_replace(F.col(content), f"({LINE_END})$", "")

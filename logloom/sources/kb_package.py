@@ -6,29 +6,46 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.kb import KnowledgeBase, with_details
 
 VERSION = "1.0"
-#: Most articles of one package: a package is a file that people exchange.
+#: Articles of one package of several: a package is a file that people exchange.
 MOST = 10_000
 _ARTICLE = "id string, title string, summary string, content string, status string, tags array<string>, finding_codes array<string>"
 
 
-def package(kb: KnowledgeBase) -> bytes:
-    """The active articles as a package."""
-    rows = with_details(kb).where("status = 'active'").select("id", "title", "summary", "content", "status", "tags", "finding_codes").orderBy("id").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"over {MOST} articles")
+def _zipped(articles: list[dict]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("manifest.json", json.dumps({"schema_version": VERSION, "articles": len(rows)}))
-        for r in rows:
-            z.writestr(f"articles/{r.id}.json", json.dumps(r.asDict(), ensure_ascii=False))
+        z.writestr("manifest.json", json.dumps({"schema_version": VERSION, "articles": len(articles)}))
+        for a in articles:
+            z.writestr(f"articles/{a['id']}.json", json.dumps(a, ensure_ascii=False))
     return out.getvalue()
 
 
+def packages(kb: KnowledgeBase, most: int = MOST) -> DataFrame:
+    """part and data: the active articles in as many packages as it takes for none to hold many more than `most`; each is
+    zipped by a task, and none of them passes through the driver."""
+    rows = with_details(kb).where("status = 'active'").select("id", "title", "summary", "content", "status", "tags", "finding_codes")
+    parts = max(1, -(-rows.count() // most))
+
+    def run(t: pa.Table) -> pa.Table:
+        found = sorted(t.drop_columns(["part"]).to_pylist(), key=lambda r: r["id"])
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "data": pa.array([_zipped(found)], pa.binary())})
+
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(run, "part int, data binary")
+
+
+def package(kb: KnowledgeBase) -> bytes:
+    """The active articles as one package, which somebody downloads; packages() writes a base of any size."""
+    rows = with_details(kb).where("status = 'active'").select("id", "title", "summary", "content", "status", "tags", "finding_codes").orderBy("id")
+    return _zipped([r.asDict() for r in rows.toLocalIterator()])
+
+
 def articles_in(spark: SparkSession, data: bytes) -> tuple[DataFrame, list[str]]:
     """The articles of a package, and what is wrong with it: its version, or files that can't be read."""
     errors, rows = [], []
