@@ -130,3 +130,11 @@ def test_replay_and_trace_times(spark):
     timing = spark.createDataFrame([("good", 1704067260.0), ("late", 1704068000.0), ("unknown", None)], "bundle_id string, at double")
     got = {(r.bundle_id, r.code) for r in S.findings(docs, None, 1800000000.0, timing).collect() if "EXPIRED" in r.code or "UNKNOWN" in r.code}
     assert got == {("raw", "ASSERTION_EXPIRED"), ("good", "ASSERTION_EXPIRED_IF_REPLAYED_NOW"), ("late", "ASSERTION_EXPIRED"), ("unknown", "ASSERTION_VALIDITY_TIME_UNKNOWN")}
+
+
+def test_every_confirmation_and_statement_is_judged(spark):
+    data = '<a:SubjectConfirmation Method="urn:oasis:names:tc:SAML:2.0:cm:bearer"><a:SubjectConfirmationData Recipient="https://sp/acs" NotOnOrAfter="{}"/></a:SubjectConfirmation>'
+    xml = '<p:Response xmlns:p="urn:oasis:names:tc:SAML:2.0:protocol" xmlns:a="urn:oasis:names:tc:SAML:2.0:assertion" ID="r" Version="2.0" IssueInstant="2024-01-01T00:00:00Z"><a:Assertion ID="s"><a:Subject>' + data.format("2024-01-01T00:05:00Z") + data.format("2023-01-01T00:05:00Z") + '</a:Subject><a:AuthnStatement AuthnInstant="2024-01-01T00:00:00Z" SessionIndex="1"/><a:AuthnStatement AuthnInstant="no"/></a:Assertion></p:Response>'
+    docs = X.documents(spark.createDataFrame([("b", xml)], "bundle_id string, content string"))
+    codes = {r.code for r in S.findings(docs, F.lit(1704067260.0)).collect()}
+    assert {"BEARER_CONFIRMATION_EXPIRED", "AUTHNINSTANT_INVALID"} <= codes and "AUTHNINSTANT_MISSING" not in codes
