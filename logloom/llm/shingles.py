@@ -150,7 +150,8 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, similarity: floa
     members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
     crowded = members.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     shared = stored(keyed.join(crowded.select("key", "n"), "key"), "shingles-shared")
-    wanted = rows.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")).select("h")
+    # One text of each set, before anything is joined: copies are combined where they are read.
+    wanted = rows.groupBy("node").agg(F.min("h").alias("h")).join(shared.select("node").distinct(), "node", "left_semi").select("h")
     texts = docs.select(F.col("text").cast("string").alias("text"), text_hash().alias("h")).join(wanted, "h", "left_semi")
     sets = stored(_sets(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles-sets")
     # Parts of half a block, each of which meets every other.
