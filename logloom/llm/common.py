@@ -184,6 +184,8 @@ def word_hashes(text: bytes) -> np.ndarray:
     power, inverse = _powers()
     at, n = 0, len(text)
     while at < n:
+        while at < n and _SPACES[text[at]]:
+            at += 1
         to = min(n, at + _CHUNK)
         if to < n:  # ends before a space, so that no word is cut
             cut = to

@@ -17,7 +17,9 @@ saves work, whatever the number of items, and the join decides. The join with th
 (broadcast only if the planner finds that side small, else shuffled, with skew split).
 
 Nulls: a null text has no words and neither leaks nor is leaked; null ids are kept as they are. Repeated rows of
-documents give their result once, repeated items one row per item id. Empty tables give an empty result.
+documents give their result once, repeated items one row per item id. Ties don't arise: every alignment is judged by itself.
+Long texts are windowed whole, a slice of texts at a time. Only ids and texts are read, so other columns do no harm, and
+clean() gives the columns that it got. Empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ Scoring gathers matrix rows for the n-grams of a batch of texts and reduces them
 
 lang_pred is `und` for a null text, a text without a letter, and if nothing could be learned; score is the posterior of
 the prediction (0 for `und`). Ties go to the first language in code-point order. Rows with a null lang are not learned
-from; a null doc_id counts as a training id; repeated rows count as often as they occur. An empty table gives an empty
-result.
+from; a null doc_id counts as a training id; repeated rows count as often as they occur. Long texts are cut into grams part
+by part and score as a whole. Columns of the table that are named like the result's do no harm: only those that are kept are
+carried, and accepted() gives the columns that it got. An empty table gives an empty result.
 """
 
 from __future__ import annotations

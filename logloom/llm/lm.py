@@ -20,7 +20,8 @@ parts have distinct tokens and pairs together, which is linear in the input: wit
 or one, and is then stored without compression, at some 50 bytes beside the key.
 
 Nulls: a null text is an empty one (its only token is the end); a null doc_id is a training row. Repeated rows count as
-often as they occur. Without training rows, known tokens are none, V and N are 0 and both scores use those. An empty
+often as they occur. A long text is hashed part by part and scored as a whole; ties have no bearing, since all is sums. Only
+doc_id and text are read, so other columns do no harm. Without training rows, known tokens are none, V and N are 0 and both scores use those. An empty
 table gives an empty result.
 """
 

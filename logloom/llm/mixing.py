@@ -11,7 +11,8 @@ largest document. All random draws are hashes of ids and levels, so reruns agree
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is an id like any
 other. Repeated rows are rows of their own, with draws and copies of their own: they are counted first and dealt out again
 with a number each, so a group of them of any size is spread over blocks as other rows are. Ties of draws are broken by
-that number. Long texts count as a whole. An empty table gives an empty result.
+that number. Long texts count as a whole. Columns that are named like added ones are kept, see mixture(). An empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ an equi-join on (host, path) with one row per site.
 
 A null text is an empty one, with no evidence of its own; null hosts or paths are sites of their own; labels that are
 null are not learned from; a null doc_id cannot be labelled. Without labelled rows of both classes nothing is learned and
-every score is the prior 0.5. Repeated rows count as often as they occur. An empty table gives an empty result.
+every score is the prior 0.5. Repeated rows count as often as they occur; of labels of one doc_id the worst counts. Ties of the
+sample are broken by doc_id. A long text counts as a whole. Only doc_id, text and the columns that name host and path are
+read, so other columns do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations

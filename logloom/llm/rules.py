@@ -4,12 +4,13 @@ Words are runs of characters other than space and U+0009 to U+000D. The measures
 
 n_words, word_chars (code points in words), n_symbols (characters of `#*$%&|<>`), n_dup_lines (lines between newlines,
 with a word, that equal an earlier line), n_repeat_words (words in windows of WINDOW words that the text has twice or
-more, first included), n_lines (lines with a word), n_stop (words, in lower case and without punctuation at their
-ends, of STOP_WORDS).
+more, first included), n_lines (lines with a word), n_stop (words of STOP_WORDS, in lower case and without the punctuation
+in them).
 
 A null text has no words. The base rules fail texts of fewer than 20 words or with over 30 % repeated words; the verdict
-also asks that every ratio of RULES lies within its bounds. Repeated rows get the same row twice; an empty table gives an
-empty result. Windows are compared by 64-bit hashes; only texts in which a hash recurs sort their windows.
+also asks that every ratio of RULES lies within its bounds; a ratio on its bound passes. Repeated rows get the same row twice;
+an empty table gives an empty result. Long texts are measured whole. Only doc_id and text are read, so other columns do no
+harm. Windows are compared by 64-bit hashes; only texts in which a hash recurs sort their windows.
 """
 
 from __future__ import annotations

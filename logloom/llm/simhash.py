@@ -13,7 +13,9 @@ by xor and deduplicated, and connected components follow. Copies of a fingerprin
 shuffled, so a group of copies of any size costs one row.
 
 Nulls: a null text is an empty one; a null doc_id is kept as a row, but never names a component unless the whole
-component has none. Repeated rows get the same row twice. An empty table gives an empty result.
+component has none. Repeated rows get the same row twice. A bit that exactly half of the shingles have is 0; of rows that tie for
+a component's least doc_id the one with the least text hash stays, and of repeated rows one. Long texts are hashed part by
+part and count whole. Columns of any name come along unread. An empty table gives an empty result.
 """
 
 from __future__ import annotations

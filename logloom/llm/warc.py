@@ -15,7 +15,9 @@ with a combine before the shuffle, and only those that occur twice are joined ba
 
 Nulls: a null payload is an empty one; a null url is left out of the record; rows with a null id are responses that
 nothing refers to. Rows that repeat an id and a payload are written once each: the first is as
-above, the repetitions are revisits to the same id. An empty table gives an empty result.
+above, the repetitions are revisits to the same id. Ties, equal payloads of one id, are told apart by their urls, which
+changes no result. A long payload is one record and is held by one task at a time. Only page_id, url and html are read, so
+other columns do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
