@@ -151,7 +151,11 @@ def rca_verdict(spark, d):
     return v.select("scope", "sources", "incidents", F.round("strength", 6).alias("strength"), "cascades", "pattern_match_strength")
 
 
-@query("rca_explanations", None)
+@query("rca_explanations", f"""with recursive {_CHAIN}, l as (select c.scope, c.root_ord, p.last_ord as a_ord, c.last_ord as b_ord from ch c join ch p on p.scope = c.scope and p.root_ord = c.root_ord and p.n = c.n - 1 where c.n > 0)
+select l.scope, 'incident_' || r.analyzer || '_' || r.tm as incident_id, a.kind as cause, b.kind as effect, round(least(1.0, p.raw)::double, 4) as strength, (b.tm - a.tm)::double as delta_s,
+  case when exists (select 1 from pat where cause = a.kind and effect = b.kind) then a.kind || ' → ' || b.kind || ' (known pattern)' when a.analyzer = b.analyzer then a.analyzer || ': ' || a.kind || ' cascades to ' || b.kind
+    when b.tm - a.tm <= 5 then a.kind || ' (rapid cascade) → ' || b.kind || ' (' || printf('%.1fs', (b.tm - a.tm)::double) || ')' else a.kind || ' → ' || b.kind || ' (' || printf('%.1fs later', (b.tm - a.tm)::double) || ')' end as reason
+from l join ev r on r.scope = l.scope and r.ord = l.root_ord join ev a on a.scope = l.scope and a.ord = l.a_ord join ev b on b.scope = l.scope and b.ord = l.b_ord join pairs p on p.scope = l.scope and p.a_ord = l.a_ord and p.b_ord = l.b_ord""")
 def rca_explanations(spark, d):
     c = rca.chains(_events(spark, d)).select("scope", "incident_id", F.explode("links").alias("l"))
     return c.select("scope", "incident_id", "l.cause", "l.effect", F.round("l.strength", 4).alias("strength"), "l.delta_s", "l.reason")
