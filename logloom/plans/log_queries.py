@@ -224,8 +224,14 @@ for _f in FAMILIES:
     _family(_f.name, "access" if _f.name == "nginx" else "ops")
 
 
-@query("test_runs", f"""with {log_sql('app')}, t as (select file_id, line_no, regexp_matches(line, {q(FA.TEST_STARTS)}) as s, regexp_matches(line, {q(FA.TEST_ENDS)}) as e, coalesce(nullif(regexp_extract(line, {q(FA.TEST_NAME)}, 1), ''), 'test_' || line_no) as test, coalesce(try_cast(regexp_extract(line, {q(FA.TEST_TIME)}, 1) as bigint), 0) as duration from lines),
+_TEST_LINE = "case o_orderkey % 5 when 0 then 'INFO test: t' || (o_custkey % 40) || ' started' when 1 then 'INFO test: t' || (o_custkey % 40) || ' completed, took ' || (o_orderkey % 900) || ' ms' when 2 then 'fixture destroyed' when 3 then 'scenario=t' || (o_custkey % 40) || ' setup created' else 'nothing of the kind' end"
+
+
+@query("test_runs", f"""with lines as (select 'f' || (o_orderkey % 7) as file_id, o_orderkey as line_no, {_TEST_LINE} as line from orders),
+t as (select file_id, line_no, regexp_matches(line, {q(FA.TEST_STARTS)}) as s, regexp_matches(line, {q(FA.TEST_ENDS)}) as e, coalesce(nullif(regexp_extract(line, {q(FA.TEST_NAME)}, 1), ''), 'test_' || line_no) as test, coalesce(try_cast(nullif(regexp_extract(line, {q(FA.TEST_TIME)}, 1), '') as bigint), 0) as duration from lines),
 p as (select *, last_value(case when s then line_no end ignore nulls) over (partition by file_id, test order by line_no) as start_line from t where s or e)
 select file_id, test, line_no, start_line, duration from p where e""")
 def test_runs(spark, d):
-    return FA.test_runs(log(spark, d, "app"))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    lines = o.select(F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")).alias("file_id"), F.col("o_orderkey").alias("line_no"), F.expr(_TEST_LINE).alias("line"))
+    return FA.test_runs(lines)
