@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, quality, rules, simhash, substrings, warc
+from . import decontaminate, langid, licenses, lm, mixing, quality, rules, simhash, substrings, topk, warc
 from .common import held_out_col, table
 
 
@@ -51,6 +51,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def queries() -> dict:
     return {
         "op1_substrings": op1_substrings,
@@ -63,6 +68,7 @@ def queries() -> dict:
         "op8_licenses": op8_licenses,
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
+        "op11_topk": op11_topk,
     }
 
 
@@ -100,5 +106,15 @@ from f
 """
 
 
+OP11_SQL = """
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.r <> c.r where q.vec_id % 50 = 0)
+select query_id, row_number() over (partition by r order by score desc, vec_id)::integer as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_rules": OP6_SQL}
+    return {"op3_warc": OP3_SQL, "op6_rules": OP6_SQL, "op11_topk": OP11_SQL}
