@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, quality, rules, simhash, substrings, topk, warc
+from . import decontaminate, langid, licenses, lm, manifest, mixing, quality, rules, simhash, substrings, topk, warc
 from .common import held_out_col, table
 
 
@@ -56,6 +56,13 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's crc32 is even are checked against a text without its line ends."""
+    text = F.col("text")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    return manifest.audited(table(spark, sf_dir, "documents"), {"text": changed})
+
+
 def queries() -> dict:
     return {
         "op1_substrings": op1_substrings,
@@ -69,6 +76,7 @@ def queries() -> dict:
         "op9_decontaminate": op9_decontaminate,
         "op10_simhash": op10_simhash,
         "op11_topk": op11_topk,
+        "op12_manifest": op12_manifest,
     }
 
 
@@ -116,5 +124,54 @@ from s qualify rank <= 5
 """
 
 
+def _crc32(text: str, codes: str = "ascii(ch)") -> str:
+    """SQL for the crc32 of a text of bytes."""
+    bits = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    each = f"list_transform(string_split({text}, ''), lambda ch: {codes}::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {each}), lambda c, x: {bits}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = (f"coalesce(octet_length(encode({f}::varchar)) || ':' || {f}::varchar, '-')" for f in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(fields)})"
+
+
+OP12_SQL = f"""
+with recursive
+c as (select *, case when {_crc32("doc_id::varchar")} % 2 = 0 then replace(text, chr(10), '') else text end as other from documents),
+l as (select row_number() over () as r, doc_id, source, {_leaf("text")} as leaf, {_leaf("other")} as changed from c),
+n as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by source) as size from l),
+t as (
+  select source, 0 as level, idx, leaf as h, size from n
+  union all
+  select source, level + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (size + 2) // 3 from t where size > 1
+  group by source, level, idx // 3, size),
+s as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as size from t where size = 1),
+u as (
+  select 0 as level, idx, subroot as h, size from s
+  union all
+  select level + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (size + 2) // 3 from u where size > 1 group by level, idx // 3, size),
+p as (
+  select r, source, 0 as level, idx, size, '' as proof, changed as now from n
+  union all
+  select p.r, any_value(p.source), p.level + 1, p.idx // 3, (p.size + 2) // 3,
+    any_value(p.proof) || coalesce(string_agg(t.h, '' order by t.idx) filter (t.idx <> p.idx), ''),
+    sha256(string_agg(case when t.idx = p.idx then p.now else t.h end, '' order by t.idx))
+  from p join t on t.source is not distinct from p.source and t.level = p.level and t.idx // 3 = p.idx // 3
+  where p.size > 1 group by p.r, p.level, p.idx, p.size),
+q as (
+  select p.r, 0 as level, s.idx, s.size, p.proof, p.now from p join s on s.source is not distinct from p.source where p.size = 1
+  union all
+  select q.r, q.level + 1, q.idx // 3, (q.size + 2) // 3,
+    any_value(q.proof) || coalesce(string_agg(u.h, '' order by u.idx) filter (u.idx <> q.idx), ''),
+    sha256(string_agg(case when u.idx = q.idx then q.now else u.h end, '' order by u.idx))
+  from q join u on u.level = q.level and u.idx // 3 = q.idx // 3
+  where q.size > 1 group by q.r, q.level, q.idx, q.size)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, now as folded_root, now = root as verified
+from n join q on q.r = n.r and q.size = 1 join s on s.source is not distinct from n.source
+  cross join (select h as root from u where size = 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_rules": OP6_SQL, "op11_topk": OP11_SQL}
+    return {"op3_warc": OP3_SQL, "op6_rules": OP6_SQL, "op11_topk": OP11_SQL, "op12_manifest": OP12_SQL}

@@ -2,7 +2,9 @@
 
 A component x counts as floor(256 * x), so scores are integers. The vectors lie in blocks of some 2**20 components. In a
 block each dimension's postings are sorted by value and cut into SEGMENTS runs of equal length; a run has its quantised
-impact: the greatest and the least value in it. For a query of weights w, a run's impact is the greatest w * v it can hold.
+impact: the greatest and the least value in it. For a query of weights w, a run's impact is the greatest w * v it can hold,
+measured from one deviation below the mean of its dimension's runs, so that a dimension of a large weight is not read to its
+end while others have not begun; bounds put that constant back.
 
 Segments are read by descending impact, a band of them at a time. After a band, what a vector has in dimensions not yet
 read is at most the impact of the next segment (or that of the dimension's first, if none of it is read), so each vector has
