@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, manifest, mixing, quality, rules, simhash, substrings, topk, warc
+from . import decontaminate, langid, licenses, lm, manifest, mixing, quality, rules, simhash, spelling, substrings, topk, warc
 from .common import held_out_col, table
 
 
@@ -63,6 +63,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audited(table(spark, sf_dir, "documents"), {"text": changed})
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), spelling.slipped))
+
+
 def queries() -> dict:
     return {
         "op1_substrings": op1_substrings,
@@ -77,6 +81,7 @@ def queries() -> dict:
         "op10_simhash": op10_simhash,
         "op11_topk": op11_topk,
         "op12_manifest": op12_manifest,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -124,10 +129,11 @@ from s qualify rank <= 5
 """
 
 
-def _crc32(text: str, codes: str = "ascii(ch)") -> str:
-    """SQL for the crc32 of a text of bytes."""
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of the UTF-8 bytes of a text of characters under U+0100."""
     bits = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
-    each = f"list_transform(string_split({text}, ''), lambda ch: {codes}::bigint)"
+    octets = "case when unicode(ch) < 128 then [unicode(ch)] else [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] end"
+    each = f"flatten(list_transform(string_split({text}, ''), lambda ch: {octets}))::bigint[]"
     return f"xor(list_reduce(list_prepend(4294967295::bigint, {each}), lambda c, x: {bits}), 4294967295)"
 
 
@@ -173,5 +179,28 @@ from n join q on q.r = n.r and q.size = 1 join s on s.source is not distinct fro
 """
 
 
+_RUN = "[A-Za-zÀ-ÿ]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP13_SQL = f"""
+with recursive
+d as (select doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_RUN}')) as run from documents),
+e as (select doc_id, run, count(*) as c from d group by all),
+f as (select run, c, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from e where length(run) >= 6),
+g as (select case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, c from f),
+w as (select word, sum(c)::bigint as n from g where length(word) >= 6 group by word having sum(c) >= 5),
+i as (select word, n, unnest(range(length(word))) as p from w),
+hole as (select word, n, p, word[:p] || word[p + 2:] as rest from i),
+pair as (
+  select a.word as s, b.word as r from hole a join hole b on a.p = b.p and a.rest = b.rest and a.word <> b.word
+  union select hole.word, w.word from hole join w on hole.rest = w.word
+  union select w.word, hole.word from hole join w on hole.rest = w.word),
+near as (select s, r, w.n as r_n, count(*) over (partition by s) as n_near, row_number() over (partition by s order by w.n desc, r) as k from pair join w on w.word = r),
+best as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when r_n >= 5 * w.n then r end as form, case when r_n >= 5 * w.n then r_n end as form_n
+  from w left join near on s = w.word and k = 1),
+chain as (select word, word as root, form from best union all select chain.word, chain.form, best.form from chain join best on best.word = chain.form)
+select best.word, best.form, root, n, n_near, form_n from best join chain on chain.word = best.word and chain.form is null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_rules": OP6_SQL, "op11_topk": OP11_SQL, "op12_manifest": OP12_SQL}
+    return {"op3_warc": OP3_SQL, "op6_rules": OP6_SQL, "op11_topk": OP11_SQL, "op12_manifest": OP12_SQL, "op13_spelling": OP13_SQL}
