@@ -6,6 +6,7 @@ Nothing runs until a result is read; each field is a table of its own that can b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -54,14 +55,22 @@ def analyze_log(lines: DataFrame, config: Config | None = None, keep: bool = Tru
     )
 
 
-@dataclass(frozen=True)
+@dataclass
 class FilesAnalysis:
     files: DataFrame
     findings: DataFrame
     by_analyzer: DataFrame
     top_kinds: DataFrame
     timeline: DataFrame
-    chains: DataFrame
+    causal: DataFrame
+
+    @cached_property
+    def chains(self) -> DataFrame:
+        return rca.chains(self.causal)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return rca.links(self.causal)
 
 
 def analyze_files(lines: DataFrame, folder: str, config: Config | None = None) -> FilesAnalysis:
@@ -83,7 +92,7 @@ def analyze_files(lines: DataFrame, folder: str, config: Config | None = None) -
     f = f.select("ord", F.col("file_id").alias("source_file"), F.coalesce("category", F.lit("log")).alias("category"), F.coalesce("kind", F.lit("error")).alias("kind"), "level", "signature", "count", "first_line", F.date_format("seen", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "sample", "root_cause", F.coalesce("family", F.lit("log")).alias("analyzer"), "seen")
     found = cross.clustered(f, config.cluster_lines) if config.deduplicate else f
     e = f.where("seen is not null").select(F.lit("all").alias("scope"), F.xxhash64("source_file", "ord").alias("ord"), F.col("seen").alias("ts"), "analyzer", "level", "kind")
-    return FilesAnalysis(files=cross.per_file(f, lines), findings=found, by_analyzer=cross.severities(f), top_kinds=cross.top_kinds(f), timeline=cross.timeline(found), chains=rca.chains(e))
+    return FilesAnalysis(files=cross.per_file(f, lines), findings=found, by_analyzer=cross.severities(f), top_kinds=cross.top_kinds(f), timeline=cross.timeline(found), causal=e)
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,9 @@
 """Runs log families over lines: signals per line, one grouped aggregate, findings from thresholds.
 
 A family is data (family_rules), so a new one adds rows and no code. Each line gives the signals it carries, and what
-follows works on counts per file, family, signal and entity only. A few families share a pass over the lines; a call with
-many makes several passes, for which the caller may keep the lines.
+follows works on counts per file, family, signal, entity and number only, which add up from any parts of a file. All
+families share one pass over the lines: their rules are applied inside a lambda, which Spark interprets. What they cost is
+their patterns; as generated code they are hundreds of branches, more than Java's 64 KB for a method.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .family_rules import FAMILIES, Family, Signal
 
-#: Families judged together in one pass over the lines.
-BRANCH = 3
 BUILTIN = tuple(f.name for f in FAMILIES if f.builtin)
 
 
@@ -70,34 +69,53 @@ def _entity(signal: Signal, line: Column) -> Column:
     return F.coalesce(*first, F.lit(signal.default_entity).cast("string"))
 
 
-def signals(lines: DataFrame, families: tuple[Family, ...]) -> DataFrame:
-    """file_id, line_no, family, signal, entity, value: one row per line and signal that it carries."""
-    line, low = F.col("line"), F.col("_low")
-    rows = lines.withColumn("_low", F.lower("line"))
-    rows = rows.where(_any([hint(f, line, low) for f in families])).select("file_id", "line_no", "line", "_low")
-    branches = []
-    # A branch for every few families keeps each one's generated code small enough to be compiled.
-    for at in range(0, len(families), BRANCH):
-        found = []
-        for f in families[at : at + BRANCH]:
-            here = []
-            by_name = {s.name: s for s in f.signals}
-            for s in f.signals:
-                ok = matches(s, line, low)
-                for other in s.after:
-                    ok = ok & ~matches(by_name[other], line, low)
-                value = _number(line, s.value) if s.value else F.lit(None).cast("double")
-                here.append(F.when(ok, F.struct(F.lit(f.name).alias("family"), F.lit(s.name).alias("signal"), _entity(s, line).alias("entity"), value.alias("value"))))
-            found.append(F.when(hint(f, line, low), F.array(*here)))
-        each = F.array_compact(F.flatten(F.array_compact(F.array(*found))))
-        branches.append(rows.select("file_id", "line_no", F.explode(each).alias("s")).select("file_id", "line_no", "s.*"))
-    return reduce(DataFrame.unionByName, branches)
-
-
-def _p95(got: DataFrame, spec: DataFrame, key: list[str]) -> DataFrame:
-    """key, entity and p95_value of the findings whose signals carry numbers: equal numbers are counted first, so what is put
-    in order is distinct numbers and no file's lines come together."""
-    values = got.where("value is not null").groupBy("file_id", "family", "signal", "entity", "value").agg(F.count(F.lit(1)).alias("n"))
+_SIGNAL = "array<struct<family:string,signal:string,entity:string,value:double>>"
+
+
+def _interpreted(value: Column, f) -> Column:
+    """f(value), where value is evaluated once and f not compiled."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _told(family: Family, line: Column, low: Column) -> Column:
+    """The signals of a family that a line carries; nulls among them."""
+    place = {s.name: i for i, s in enumerate(family.signals)}
+    fits = F.array(*[matches(s, line, low) for s in family.signals])
+
+    def each(fit: Column) -> Column:
+        out = []
+        for s in family.signals:
+            ok = fit[place[s.name]]
+            for other in s.after:
+                ok = ok & ~fit[place[other]]
+            value = _number(line, s.value) if s.value else F.lit(None).cast("double")
+            out.append(F.when(ok, F.struct(F.lit(family.name).alias("family"), F.lit(s.name).alias("signal"), _entity(s, line).alias("entity"), value.alias("value"))))
+        return F.array(*out)
+
+    return F.when(hint(family, line, low), _interpreted(fits, each)).otherwise(F.array().cast(_SIGNAL))
+
+
+def signals(lines: DataFrame, families: tuple[Family, ...], *keep: str) -> DataFrame:
+    """file_id, line_no, family, signal, entity, value and the columns to keep: one row per line and signal that it carries."""
+
+    def told(x: Column) -> Column:
+        return F.array_compact(F.flatten(F.array(*[_told(f, x["line"], x["low"]) for f in families])))
+
+    one = F.struct(F.col("line").alias("line"), F.lower("line").alias("low"))
+    own = ["file_id", "line_no", *keep]
+    rows = lines.where("line is not null").select(*own, F.explode(_interpreted(one, told)).alias("s"))
+    return rows.select("file_id", "line_no", "s.*", *keep)
+
+
+def tallied(got: DataFrame) -> DataFrame:
+    """file_id, family, signal, entity, value, n, first (line): signals counted. Tallies of parts of a file add up."""
+    return got.groupBy("file_id", "family", "signal", "entity", "value").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
+
+
+def _p95(tallies: DataFrame, spec: DataFrame, key: list[str]) -> DataFrame:
+    """key, entity and p95_value of the findings whose signals carry numbers: what is put in order is distinct numbers, and no
+    file's lines come together."""
+    values = tallies.where("value is not null")
     values = values.join(F.broadcast(spec), ["family", "signal"]).groupBy(*key, F.when(F.col("per"), F.col("entity")).alias("entity"), "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*key, "entity")
     upto = F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
@@ -112,18 +130,22 @@ def findings(lines: DataFrame, names: tuple[str, ...] | None = None) -> DataFram
     entities are what the finding affects, sorted; top_entities those with most rows, where the rule asks for them; classes
     the signals that were met; entity is set where a finding stands for one of them alone.
     """
+    return judged(tallied(signals(lines, chosen(names))), names)
+
+
+def judged(tallies: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The findings of tallies, which may come in parts: see findings."""
     families = chosen(names)
-    got = signals(lines, families)
-    per = got.groupBy("file_id", "family", "signal", "entity").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("line_no").alias("first"),
-        F.sum("value").alias("total"),
+    per = tallies.groupBy("file_id", "family", "signal", "entity").agg(
+        F.sum("n").alias("n"),
+        F.min("first").alias("first"),
+        F.sum(F.col("value") * F.col("n")).alias("total"),
         F.max("value").alias("most"),
-        F.count("value").alias("values"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("values"),
     )
     specs = [(f.name, x.kind, x.level, x.category, s, i, x.least, x.per, s in x.distinct, x.unless or None, x.suspects, x.title, x.over[0] if x.over else None, x.over[1] if x.over else None, x.top) for f in families for i, x in enumerate(f.findings) for s in x.signals]
     schema = "family string, kind string, level string, category string, signal string, position int, least int, per boolean, distinct boolean, unless string, suspects int, title string, over double, over_signal string, top int"
-    spec = lines.sparkSession.createDataFrame(specs, schema)  # one row per finding and signal of the rule table
+    spec = tallies.sparkSession.createDataFrame(specs, schema)  # one row per finding and signal of the rule table
     part = per.join(F.broadcast(spec), ["family", "signal"])
     part = part.withColumn("n", F.when(F.col("distinct") & F.col("entity").isNotNull(), F.lit(1)).otherwise(F.col("n")))
     key = ["file_id", "family", "kind", "level", "category", "position", "least", "per", "unless", "suspects", "title", "over", "over_signal"]
@@ -138,7 +160,7 @@ def findings(lines: DataFrame, names: tuple[str, ...] | None = None) -> DataFram
     )
     out = out.where((F.col("count") >= F.col("least")) & (~F.col("per") | F.col("entity").isNotNull()))
     if any(s.value for f in families for s in f.signals):
-        p95 = _p95(got, spec, key)
+        p95 = _p95(tallies, spec, key)
         p95 = p95.select(*[F.col(c).alias(f"_{c}") for c in ("file_id", "family", "kind", "position", "entity")], "p95_value")
         out = out.join(p95, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("file_id", "family", "kind", "position", "entity")]), "left")
     else:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import positioned
+
 #: The weight of levels, the levels that a distribution always shows, kinds that are named first.
 WEIGHT = {"CRITICAL": 4, "ERROR": 3, "WARN": 2, "INFO": 1}
 TOP_KINDS = 5
@@ -82,11 +84,17 @@ def per_file(findings: DataFrame, lines: DataFrame) -> DataFrame:
 
 def timeline(findings: DataFrame) -> DataFrame:
     """Findings in time: by timestamp, those without one after; if none has one, by file and line, and the order across
-    files is unknown. position numbers them."""
+    files is unknown."""
     facts = findings.agg(F.count("timestamp").alias("stamped"), F.count_distinct("source_file").alias("files"))  # one row
     f = findings.crossJoin(F.broadcast(facts))
     order = F.when(F.col("stamped") > 0, F.struct(F.col("timestamp").isNull().alias("a"), F.coalesce("timestamp", F.lit("")).alias("b"), F.lit(0).alias("c"), F.col("ord").alias("d"))).otherwise(
         F.struct(F.lit(False).alias("a"), F.coalesce("source_file", F.lit("")).alias("b"), F.coalesce("first_line", F.lit(0)).alias("c"), F.col("ord").alias("d"))
     )
     known = F.when((F.col("stamped") == 0) & (F.col("files") > 1), "UNKNOWN").otherwise("WITHIN_FILE")
-    return f.select("source_file", F.col("first_line").alias("sequence"), "category", "kind", "level", "signature", "count", F.coalesce("timestamp", F.lit("UNKNOWN")).alias("timestamp"), known.alias("cross_file_order"), order.alias("order")).orderBy("order")
+    rows = f.select("source_file", F.col("first_line").alias("sequence"), "category", "kind", "level", "signature", "count", F.coalesce("timestamp", F.lit("UNKNOWN")).alias("timestamp"), known.alias("cross_file_order"), order.alias("order"))
+    return rows.orderBy("order")
+
+
+def numbered_timeline(findings: DataFrame) -> DataFrame:
+    """The timeline with position, each row's place from 1, counted by ranges."""
+    return positioned(timeline(findings), ["order"], "position")

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import positioned
+
 SCHEMAS = {
     "articles": "id string, display_id_seq int, title string, summary string, content string, status string, created_at timestamp_ntz, updated_at timestamp_ntz",
     "cases": "id string, display_id_seq int, title string, summary string, content string, analyze_snapshot string, created_at timestamp_ntz, updated_at timestamp_ntz",
@@ -106,20 +108,39 @@ def by_tag(kb: KnowledgeBase, name: str) -> tuple[DataFrame, DataFrame]:
 _GRAM = 3
 
 
-def _grams(text: str, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+def _grams(text: Column, *sizes: int) -> Column:
+    """The distinct runs of so many letters of a text."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes]
+    return F.array_distinct(F.concat(*runs))
+
+
+def containing(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """kind, article_id, updated_at: the texts (article_id, updated_at, t) that have a kind (kind, not empty), whatever its case.
+
+    A text that has a kind has the kind's rarest run of letters (a kind of fewer letters is its own), so only those are joined
+    on, and texts are counted for the runs of kinds first. What is joined and shuffled is runs and ids; each text meets
+    the few kinds that it may have by its id, once.
+    """
+    low = kinds.select("kind", F.lower("kind").alias("low")).distinct()
+    own = F.when(F.length("low") < _GRAM, F.array("low")).otherwise(_grams(F.col("low"), _GRAM))
+    of_kinds = low.select("kind", F.explode(own).alias("gram"))
+    runs = texts.select("article_id", F.explode(_grams(F.col("t"), *range(1, _GRAM + 1))).alias("gram"))
+    runs = runs.join(of_kinds.select("gram").distinct(), "gram", "left_semi")
+    often = runs.groupBy("gram").agg(F.count("article_id").alias("n"))
+    # A kind with a run that no text has is in no text.
+    rarest = of_kinds.join(often, "gram", "left").groupBy("kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    may = runs.join(rarest.where("m.n > 0").select("kind", F.col("m.gram").alias("gram")), "gram").select("article_id", "kind")
+    return texts.join(may, "article_id").where(F.contains("t", F.lower("kind"))).select("kind", "article_id", "updated_at")
 
 
 def for_findings(kb: KnowledgeBase, findings: DataFrame, limit: int = 5, per_kind: int = 3) -> DataFrame:
     """Per finding (finding_id, finding_code, kind) the first articles by id that are linked to its code or whose text
     has its kind: of the latter the latest per_kind."""
     linked = findings.join(kb.finding_links, "finding_code").select("finding_id", "article_id")
-    kinds = findings.where("coalesce(kind, '') <> ''").select("kind").distinct().withColumn("gram", F.substring(F.lower("kind"), 1, _GRAM))
+    kinds = findings.where("coalesce(kind, '') <> ''").select("kind").distinct()
     texts = kb.articles.where("status = 'active'").select(F.col("id").alias("article_id"), "updated_at", F.lower(F.concat_ws(" ", "title", "summary", "content")).alias("t"))
-    # A text that has a kind has its first letters: those are joined on, and what they meet is looked at.
-    said = texts.withColumn("gram", F.explode(F.array_distinct(F.concat(*[_grams("t", n) for n in range(1, _GRAM + 1)])))).join(kinds, "gram").where(F.contains("t", F.lower("kind")))
     w = Window.partitionBy("kind").orderBy(F.desc("updated_at"), "article_id")
-    said = said.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_kind).select("kind", "article_id")
+    said = containing(texts, kinds).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_kind).select("kind", "article_id")
     both = linked.union(findings.join(said, "kind").select("finding_id", "article_id")).distinct()
     first = Window.partitionBy("finding_id").orderBy("article_id")
     return both.withColumn("position", F.row_number().over(first)).where(F.col("position") <= limit)
@@ -132,7 +153,7 @@ def next_sequence(table: DataFrame, column: str = "display_id_seq") -> int:
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows without a display number get stable ones by creation, after the highest there is."""
     top = rows.agg(F.coalesce(F.max("display_id_seq"), F.lit(0)).alias("top"))
-    new = rows.where("display_id_seq is null").withColumn("n", F.row_number().over(Window.orderBy("created_at", "id")))
+    new = positioned(rows.where("display_id_seq is null"), ["created_at", "id"], "n")
     new = new.crossJoin(F.broadcast(top)).withColumn("display_id_seq", (F.col("n") + F.col("top")).cast("int")).drop("n", "top")
     return rows.where("display_id_seq is not null").unionByName(new)
 
@@ -203,8 +224,7 @@ def cases_created(kb: KnowledgeBase, rows: DataFrame) -> KnowledgeBase:
 
 def _continued(table: DataFrame, new: DataFrame) -> DataFrame:
     top = table.agg(F.coalesce(F.max("display_id_seq"), F.lit(0)).alias("top"))  # one row
-    number = F.row_number().over(Window.orderBy("created_at", "id"))  # over what one call adds
-    rows = new.withColumn("n", number).crossJoin(F.broadcast(top)).withColumn("display_id_seq", (F.col("n") + F.col("top")).cast("int")).withColumn("updated_at", F.col("created_at"))
+    rows = positioned(new, ["created_at", "id"], "n").crossJoin(F.broadcast(top)).withColumn("display_id_seq", (F.col("n") + F.col("top")).cast("int")).withColumn("updated_at", F.col("created_at"))
     return rows.select(*[F.col(c).cast(t).alias(c) for c, t in table.dtypes])
 
 

@@ -1,15 +1,21 @@
 """Possible root causes: events that no known earlier event explains, and the chains that follow them.
 
 Pattern strengths say how familiar a pair of kinds is; nothing here proves causation. Events carry scope (what is judged
-together), ord, ts (timestamp_ntz), analyzer, level, kind. Pairs of events are found by equi-joins on kinds and on time
-slots as wide as the window, so no event meets events outside it.
+together), ord, ts (timestamp_ntz), analyzer, level, kind.
+
+No event meets all others of its window. What may have caused an event, or what it may cause, is an as-of lookup: per scope,
+kind (or analyzer) and time slot as wide as the window, one pass in order of time finds the nearest event of the other side;
+the edge of the neighbouring slot stands in for what lies beyond. Chains are paths along those successors, and pointers that
+double their reach give each root the end and the sums of its path in a logarithmic number of joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 #: Strengths of pairs of kinds, pairs of analyzers in sequence, and the three windows in seconds.
 PATTERNS = {
     ("deadlock", "connection_exhausted"): 0.95,
@@ -41,24 +47,58 @@ def _slotted(events: DataFrame) -> DataFrame:
     return events.withColumn("at", _seconds(F.col("ts"))).withColumn("slot", F.floor(F.col("at") / MEDIUM))
 
 
-def _keys(e: DataFrame, side: str) -> DataFrame:
-    """e once per dictionary row whose cause or effect it can be."""
-    both = e.select("*", F.explode(F.array(F.struct(F.lit("kind").alias("by"), F.col("kind").alias(side)), F.struct(F.lit("analyzer").alias("by"), F.col("analyzer").alias(side)))).alias("k"))
-    d = F.broadcast(_dictionary(e.sparkSession))
-    return both.select("*", "k.by", f"k.{side}").drop("k").join(d, ["by", side])
+#: What a lookup brings of the event that it finds.
+_EVENT = ("at", "ord", "analyzer", "kind")
+
+
+def _sided(e: DataFrame, side: str, *cols: str) -> DataFrame:
+    """The columns of e once per dictionary row on whose side it stands, with by, cause, effect and most."""
+    each = F.explode(F.array(*[F.struct(F.lit(by).alias("by"), F.col(by).alias(side)) for by in ("kind", "analyzer")]))
+    both = e.select(*cols, each.alias("k")).select(*cols, "k.by", f"k.{side}")
+    return both.join(F.broadcast(_dictionary(e.sparkSession)), ["by", side])
+
+
+def _nearest(asks: DataFrame, events: DataFrame, forward: bool) -> DataFrame:
+    """asks (scope, slot, by, value, at, tie, most, ...) with `found`, the nearest of events (scope, slot, by, value, at, tie, event)
+    that comes before it by (at, tie), or after it if forward, and lies within `most` seconds; asks without one go."""
+    key, step = ["scope", "slot", "by", "value"], -1 if forward else 1
+    edge = (F.min_by if forward else F.max_by)("event", F.struct("at", "tie")).alias("event")
+    order = F.struct("at", "tie")
+    edges = events.groupBy(*key).agg(edge, (F.min if forward else F.max)(order).alias("o"))
+    edges = edges.select("scope", (F.col("slot") + step).alias("slot"), "by", "value", "o.at", "o.tie", "event")
+    rows = asks.withColumn("asks", F.lit(True)).unionByName(events.unionByName(edges).withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    sort = [F.desc("at"), F.desc("tie")] if forward else [F.asc("at"), F.asc("tie")]
+    # Of equal places the one that asks comes first, so it doesn't find itself.
+    passed = Window.partitionBy(*key).orderBy(*sort, F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("found", F.last("event", ignorenulls=True).over(passed)).where("asks").drop("asks", "event")
+    return found.where(F.abs(F.col("found.at") - F.col("at")) <= F.col("most"))
 
 
 def roots(events: DataFrame) -> DataFrame:
     """The grave events that no earlier event explains; if a scope has none, its first event."""
     e = _slotted(events)
-    effect = _keys(e, "effect").select("scope", "ord", "at", "by", "cause", "most", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"))
-    causes = e.select("scope", F.col("at").alias("c_at"), "slot", F.explode(F.array(F.struct(F.lit("kind").alias("by"), F.col("kind").alias("cause")), F.struct(F.lit("analyzer").alias("by"), F.col("analyzer").alias("cause")))).alias("k")).select("scope", "slot", "k.by", "k.cause", "c_at").distinct()
-    caused = effect.join(causes, ["scope", "slot", "by", "cause"]).where((F.col("c_at") < F.col("at")) & (F.col("at") - F.col("c_at") <= F.col("most"))).select("scope", "ord").distinct()
+    grave = e.where(F.col("level").isin("CRITICAL", "ERROR"))
+    causes = _sided(e, "cause", "scope", "slot", "at").groupBy("scope", "slot", "by", F.col("cause").alias("value"), "at").agg(F.lit(1).alias("tie"))
+    causes = causes.withColumn("event", F.struct("at"))
+    asks = _sided(grave, "effect", "scope", "slot", "at", "ord").withColumnRenamed("cause", "value").withColumn("tie", F.lit(0))  # strictly earlier
+    caused = _nearest(asks, causes, False).select("scope", "ord").distinct()
     free = events.where(F.col("level").isin("CRITICAL", "ERROR")).join(caused, ["scope", "ord"], "left_anti")
     first = events.groupBy("scope").agg(F.min_by("ord", F.struct("ts", "ord")).alias("ord")).join(free.select("scope").distinct(), "scope", "left_anti")
     return free.unionByName(events.join(first, ["scope", "ord"], "left_semi"))
 
 
+def successors(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """scope, ord, start, x and y (structs of at, ord, analyzer, kind): for each event x the first one after it that it may have
+    caused, if any. starts (scope, ord): events that ask once more, with start true, for one of a later time."""
+    e = _slotted(events).withColumn("x", F.struct(*_EVENT))
+    asks = _sided(e, "cause", "scope", "slot", "at", "ord", "x").withColumnRenamed("effect", "value")
+    again = asks.join(starts.select("scope", "ord"), ["scope", "ord"], "left_semi").select("*", F.lit(2**63 - 1).alias("tie"), F.lit(True).alias("start"))
+    asks = asks.select("*", F.col("ord").cast("long").alias("tie"), F.lit(False).alias("start")).unionByName(again)
+    effects = _sided(e, "effect", "scope", "slot", "at", "ord", "x").select("scope", "slot", "by", F.col("effect").alias("value"), "at", F.col("ord").cast("long").alias("tie"), F.col("x").alias("event")).distinct()
+    found = _nearest(asks, effects, True)
+    return found.groupBy("scope", "ord", "start").agg(F.first("x").alias("x"), F.min("found").alias("y"))
+
+
 def _pair_strength(a: Column, b: Column) -> Column:
     out = F.lit(None).cast("double")
     for (cause, effect), s in PATTERNS.items():
@@ -94,49 +134,84 @@ def explanation(cause: Column, effect: Column) -> Column:
     )
 
 
+def _ordered(a: Column, b: Column) -> Column:
+    return F.sort_array(F.array_union(a, b))
+
+
+def _jumps(steps: DataFrame) -> list[DataFrame]:
+    """Level k: where 2**k successors from an event lead, and the sum of their strengths and the analyzers on the way; no
+    further than a window, as no chain is longer."""
+    level = stored(steps, "rca-jumps")
+    out = [level]
+    while True:
+        far = level.select("scope", F.col("ord").alias("to_ord"), F.col("to_ord").alias("far_ord"), F.col("to_at").alias("far_at"), F.col("total").alias("more"), F.col("analyzers").alias("others"))
+        both = level.join(far, ["scope", "to_ord"]).where(F.col("far_at") - F.col("at") <= MEDIUM)
+        level = stored(both.select("scope", "ord", "at", F.col("far_ord").alias("to_ord"), F.col("far_at").alias("to_at"), (F.col("total") + F.col("more")).alias("total"), _ordered(F.col("analyzers"), F.col("others")).alias("analyzers")), "rca-jumps")
+        if level.isEmpty():
+            return out
+        out.append(level)
+
+
+def _paths(events: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The roots with the first link of their chains, all links, and the jumps along them."""
+    start = roots(events)
+    links = stored(successors(events, start), "rca-links")
+    step = links.where("not start").select("scope", "ord", F.col("x.at").alias("at"), F.col("y.ord").alias("to_ord"), F.col("y.at").alias("to_at"), strength(F.col("x"), F.col("y")).alias("total"), F.array("y.analyzer").alias("analyzers"))
+    first = links.where("start").select("scope", F.col("ord").alias("root_ord"), "x", "y")
+    head = _slotted(start).select("scope", F.col("ord").alias("root_ord"), "at", "analyzer", "level", "kind")
+    return head.join(first, ["scope", "root_ord"], "left"), links, _jumps(step)
+
+
 def chains(events: DataFrame) -> DataFrame:
-    """One row per root: incident_id, root's columns, links (cause, effect, strength, delta_s, reason), events, duration_s,
-    analyzers, impact, chain_strength. Events after the root within the window join if the last that joined may cause them."""
-    e = _slotted(events)
-    r = roots(events).select("scope", F.col("ord").alias("root_ord"))
-    root = e.join(r, (e["scope"] == r["scope"]) & (e["ord"] == r["root_ord"])).select(e["scope"], "root_ord", "ts", "at", "analyzer", "level", "kind", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    # Only events that can be an effect at all can join.
-    later = _keys(e, "effect").select("scope", "ord", F.col("ts").alias("e_ts"), F.col("at").alias("e_at"), F.col("analyzer").alias("e_analyzer"), F.col("kind").alias("e_kind"), "slot").distinct()
-    met = root.join(later, ["scope", "slot"], "left")
-    near = (F.col("e_at") > F.col("at")) & (F.col("e_at") - F.col("at") <= MEDIUM)
-    item = F.when(near, F.struct(F.col("e_ts").alias("ts"), F.col("ord"), F.col("e_at").alias("at"), F.col("e_analyzer").alias("analyzer"), F.col("e_kind").alias("kind")))
-    g = met.groupBy("scope", "root_ord").agg(*[F.first(c).alias(c) for c in ("ts", "at", "analyzer", "level", "kind")], F.array_sort(F.collect_set(item)).alias("after"))
-    start = F.struct(F.col("ts"), F.col("root_ord").alias("ord"), F.col("at"), F.col("analyzer"), F.col("kind"))
-    link = lambda a, b: F.struct(a["kind"].alias("cause"), b["kind"].alias("effect"), strength(a, b).alias("strength"), (b["at"] - a["at"]).alias("delta_s"), explanation(a, b).alias("reason"))
-    none = F.filter(F.array(link(start, start)), lambda x: F.lit(False))
-    fold = F.aggregate(
-        "after",
-        F.struct(start.alias("last"), F.array(start).alias("events"), none.alias("links")),
-        lambda s, x: F.when(is_causal(s["last"], x), F.struct(x.alias("last"), F.concat(s["events"], F.array(x)).alias("events"), F.concat(s["links"], F.array(link(s["last"], x))).alias("links"))).otherwise(s),
-    )
-    g = g.withColumn("f", fold)
-    n = F.size("f.links")
-    mean = F.aggregate("f.links", F.lit(0.0), lambda s, x: s + x["strength"]) / n
-    return g.select(
-        "scope",
-        F.concat(F.lit("incident_"), "analyzer", F.lit("_"), F.floor("at").cast("string")).alias("incident_id"),
-        "root_ord",
-        F.col("kind").alias("root_kind"),
-        F.col("analyzer").alias("root_analyzer"),
-        F.col("level").alias("root_level"),
-        F.col("f.links").alias("links"),
-        F.transform("f.events", lambda x: x["ord"]).alias("events"),
-        (F.element_at("f.events", -1)["at"] - F.col("at")).alias("duration_s"),
-        F.sort_array(F.array_distinct(F.transform("f.events", lambda x: x["analyzer"]))).alias("analyzers"),
-        F.size("f.events").cast("long").alias("impact"),
-        F.when(n > 0, mean).otherwise(F.lit(0.0)).alias("chain_strength"),
-    )
+    """One row per root: incident_id, root's columns, n_links, last_ord, duration_s, analyzers, impact (events), chain_strength.
+    Events after the root within the window join if the last that joined may cause them; links() has them one by one."""
+    head, _, jumps = _paths(events)
+    c = F.col
+    some = c("y").isNotNull()
+    now = head.select(
+        "scope", "root_ord", "at", "analyzer", "level", "kind", F.when(some, 1).otherwise(0).cast("long").alias("n"), F.coalesce("y.ord", "root_ord").alias("last_ord"), F.coalesce("y.at", "at").alias("last_at"),
+        F.when(some, strength(c("x"), c("y"))).otherwise(F.lit(0.0)).alias("total"), F.sort_array(F.array_distinct(F.array_compact(F.array("analyzer", "y.analyzer")))).alias("analyzers"))
+    going, still = now.where("n > 0"), now.where("n = 0")
+    for k in reversed(range(len(jumps))):
+        far = jumps[k].select("scope", c("ord").alias("last_ord"), "to_ord", "to_at", c("total").alias("more"), c("analyzers").alias("others"))
+        met = going.join(far, ["scope", "last_ord"], "left")
+        take = c("to_at").isNotNull() & (c("to_at") - c("at") <= MEDIUM)
+        pick = lambda new, old: F.when(take, new).otherwise(c(old)).alias(old)
+        going = met.select("scope", "root_ord", "at", "analyzer", "level", "kind", pick(c("n") + 2**k, "n"), pick(c("to_ord"), "last_ord"), pick(c("to_at"), "last_at"), pick(c("total") + c("more"), "total"), pick(_ordered(c("analyzers"), c("others")), "analyzers"))
+    return going.unionByName(still).select(
+        "scope", _incident(c("analyzer"), c("at")).alias("incident_id"), "root_ord", c("kind").alias("root_kind"), c("analyzer").alias("root_analyzer"), c("level").alias("root_level"),
+        c("n").cast("int").alias("n_links"), "last_ord", (c("last_at") - c("at")).alias("duration_s"), "analyzers", (c("n") + 1).alias("impact"), F.when(c("n") > 0, c("total") / c("n")).otherwise(F.lit(0.0)).alias("chain_strength"))
+
+
+def _incident(analyzer: Column, at: Column) -> Column:
+    return F.concat(F.lit("incident_"), analyzer, F.lit("_"), F.floor(at).cast("string"))
+
+
+def links(events: DataFrame) -> DataFrame:
+    """scope, incident_id, root_ord, step (from 1), cause_ord, effect_ord, cause, effect, strength, delta_s, reason: the links of
+    each chain. A chain is halved again and again, each half found by its jump, until each row is one link."""
+    head, each, jumps = _paths(events)
+    c = F.col
+    told = lambda a, b: (a["ord"].alias("cause_ord"), b["ord"].alias("effect_ord"), a["kind"].alias("cause"), b["kind"].alias("effect"), strength(a, b).alias("strength"), (b["at"] - a["at"]).alias("delta_s"), explanation(a, b).alias("reason"))
+    own = ["scope", "incident_id", "root_ord", "root_at"]
+    begin = head.where("y is not null").select("scope", _incident(c("analyzer"), c("at")).alias("incident_id"), "root_ord", c("at").alias("root_at"), "x", "y")
+    # Rows of a stretch: from which event, after how many links, and over how many (at most 2**k, cut where the window ends).
+    stretch = begin.select(*own, c("y.ord").alias("ord"), F.lit(1).alias("step"))
+    for k in reversed(range(len(jumps))):
+        far = jumps[k].select("scope", "ord", c("to_ord").alias("next"), "to_at")
+        met = stretch.join(far, ["scope", "ord"], "left")
+        goes = c("to_at").isNotNull() & (c("to_at") - c("root_at") <= MEDIUM)
+        both = F.when(goes, F.array(F.struct("ord", "step"), F.struct(c("next").alias("ord"), (c("step") + 2**k).alias("step")))).otherwise(F.array(F.struct("ord", "step")))
+        stretch = met.select(*own, F.explode(both).alias("s")).select(*own, "s.ord", "s.step")
+    later = stretch.join(each.where("not start").select("scope", "ord", "x", "y"), ["scope", "ord"]).where(c("y.at") - c("root_at") <= MEDIUM)
+    rows = begin.select(*own[:3], F.lit(1).alias("step"), "x", "y").unionByName(later.select(*own[:3], (c("step") + 1).alias("step"), "x", "y"))
+    return rows.select(*own[:3], "step", *told(c("x"), c("y")))
 
 
 def verdict(chains_: DataFrame, sources: DataFrame) -> DataFrame:
     """Per scope: incidents, mean strength, pattern_match_strength and the strongest incident. sources has scope, source."""
     n = sources.groupBy("scope").agg(F.count_distinct("source").alias("sources"))
-    agg = chains_.groupBy("scope").agg(F.count(F.lit(1)).alias("incidents"), F.avg("chain_strength").alias("strength"), F.count_if(F.size("links") > 1).alias("cascades"), F.count_if(F.size("analyzers") > 1).alias("cross_analyzer"), F.max_by("root_kind", F.struct("chain_strength", -F.col("root_ord"))).alias("strongest"))
+    agg = chains_.groupBy("scope").agg(F.count(F.lit(1)).alias("incidents"), F.avg("chain_strength").alias("strength"), F.count_if(F.col("n_links") > 1).alias("cascades"), F.count_if(F.size("analyzers") > 1).alias("cross_analyzer"), F.max_by("root_kind", F.struct(F.round("chain_strength", 9), -F.col("root_ord"))).alias("strongest"))
     s = F.col("strength")
     match = F.when((F.col("sources") > 1) & (s > 0.85), "STRONG_PATTERN_MATCH").when((F.col("sources") > 1) & (s > 0.70), "MODERATE_PATTERN_MATCH").otherwise("WEAK")
     return n.join(agg, "scope").select("scope", "sources", "incidents", "strength", "cascades", "cross_analyzer", "strongest", match.alias("pattern_match_strength"))

@@ -98,11 +98,8 @@ def multi_file_totals(spark, d):
 
 @query("timeline_sorted", f"with {FINDINGS_SQL} select source_file, first_line as sequence, signature, coalesce(timestamp, 'UNKNOWN') as timestamp, 'WITHIN_FILE' as cross_file_order, ord, cast(row_number() over (order by timestamp is null, timestamp, ord) as int) as position from fw")
 def timeline_sorted(spark, d):
-    from pyspark.sql import Window
-
-    f = _findings(spark, d)
-    t = FI.timeline(f).select("source_file", "sequence", "signature", "timestamp", "cross_file_order", F.col("order.d").alias("ord"), "order")
-    return t.withColumn("position", F.row_number().over(Window.orderBy("order"))).drop("order")
+    t = FI.numbered_timeline(_findings(spark, d))
+    return t.select("source_file", "sequence", "signature", "timestamp", "cross_file_order", F.col("order.d").alias("ord"), F.col("position").cast("int").alias("position"))
 
 
 @query("timeline_without_stamps", f"with {FINDINGS_SQL} select source_file, first_line as sequence, signature, 'UNKNOWN' as cross_file_order, ord from fw")
@@ -112,13 +109,12 @@ def timeline_without_stamps(spark, d):
 
 
 def _events(spark, d):
-    f = _findings(spark, d).where("kind <> 'other'")
-    return f.select(F.col("source_file").alias("scope"), "ord", F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts"), F.col("category").alias("analyzer"), "level", "kind")
+    return _findings(spark, d).select(F.col("source_file").alias("scope"), "ord", F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts"), F.col("category").alias("analyzer"), "level", "kind")
 
 
 _PAT = "(values " + ", ".join(f"({q(a)}, {q(b)}, {s})" for (a, b), s in rca.PATTERNS.items()) + ") p(cause, effect, s)"
 _SEQ = "(values " + ", ".join(f"({q(a)}, {q(b)})" for a, b in rca.SEQUENCES) + ") s(cause, effect)"
-_RCA = f"""{FINDINGS_SQL}, ev as (select source_file as scope, ord, epoch(date_trunc('second', ts))::bigint as tm, category as analyzer, level, kind from fw where kind <> 'other'),
+_RCA = f"""{FINDINGS_SQL}, ev as (select source_file as scope, ord, epoch(date_trunc('second', ts))::bigint as tm, category as analyzer, level, kind from fw),
 pat as (select * from {_PAT}), seq as (select * from {_SEQ}),
 caused as (select distinct e.scope, e.ord from ev e join ev o on o.scope = e.scope and o.tm < e.tm and e.tm - o.tm <= 300 where exists (select 1 from pat where cause = o.kind and effect = e.kind) or (e.tm - o.tm <= 30 and exists (select 1 from seq where cause = o.analyzer and effect = e.analyzer))),
 roots as (select * from ev where level in ('CRITICAL', 'ERROR') and (scope, ord) not in (select (scope, ord) from caused))"""
@@ -139,16 +135,16 @@ fin as (select scope, root_ord, max(n)::int as n_links, arg_max(last_ord, n) as
 @query("rca_chain", f"with recursive {_CHAIN} select scope, root_ord, n_links, last_ord, duration_s, round(case when n_links > 0 then total / n_links else 0 end, 6) as chain_strength from fin")
 def rca_chain(spark, d):
     c = rca.chains(_events(spark, d))
-    return c.select("scope", "root_ord", F.size("links").alias("n_links"), F.element_at("events", -1).alias("last_ord"), "duration_s", F.round("chain_strength", 6).alias("chain_strength"))
+    return c.select("scope", "root_ord", "n_links", "last_ord", "duration_s", F.round("chain_strength", 6).alias("chain_strength"))
 
 
-@query("rca_verdict", f"""with recursive {_CHAIN}, s as (select count(*) as incidents, avg(case when n_links > 0 then total / n_links else 0 end) as strength, count(*) filter (n_links > 1) as cascades from fin)
-select 'all' as scope, 5::bigint as sources, incidents, round(strength, 6) as strength, cascades, case when strength > 0.85 then 'STRONG_PATTERN_MATCH' when strength > 0.7 then 'MODERATE_PATTERN_MATCH' else 'WEAK' end as pattern_match_strength from s""")
+@query("rca_verdict", f"""with recursive {_CHAIN}, s as (select count(*) as incidents, avg(case when n_links > 0 then total / n_links else 0 end) as strength, count(*) filter (n_links > 1) as cascades, arg_max(ev.kind, (round(case when n_links > 0 then total / n_links else 0 end, 9), -root_ord)) as strongest from fin join ev on ev.scope = fin.scope and ev.ord = root_ord)
+select 'all' as scope, 5::bigint as sources, incidents, round(strength, 6) as strength, cascades, strongest, case when strength > 0.85 then 'STRONG_PATTERN_MATCH' when strength > 0.7 then 'MODERATE_PATTERN_MATCH' else 'WEAK' end as pattern_match_strength from s""")
 def rca_verdict(spark, d):
     e = _events(spark, d)
     c = rca.chains(e).withColumn("scope", F.lit("all"))
     v = rca.verdict(c, e.select(F.lit("all").alias("scope"), F.col("scope").alias("source")))
-    return v.select("scope", "sources", "incidents", F.round("strength", 6).alias("strength"), "cascades", "pattern_match_strength")
+    return v.select("scope", "sources", "incidents", F.round("strength", 6).alias("strength"), "cascades", "strongest", "pattern_match_strength")
 
 
 @query("rca_explanations", f"""with recursive {_CHAIN}, l as (select c.scope, c.root_ord, p.last_ord as a_ord, c.last_ord as b_ord from ch c join ch p on p.scope = c.scope and p.root_ord = c.root_ord and p.n = c.n - 1 where c.n > 0)
@@ -157,8 +153,8 @@ select l.scope, 'incident_' || r.analyzer || '_' || r.tm as incident_id, a.kind
     when b.tm - a.tm <= 5 then a.kind || ' (rapid cascade) → ' || b.kind || ' (' || printf('%.1fs', (b.tm - a.tm)::double) || ')' else a.kind || ' → ' || b.kind || ' (' || printf('%.1fs later', (b.tm - a.tm)::double) || ')' end as reason
 from l join ev r on r.scope = l.scope and r.ord = l.root_ord join ev a on a.scope = l.scope and a.ord = l.a_ord join ev b on b.scope = l.scope and b.ord = l.b_ord join pairs p on p.scope = l.scope and p.a_ord = l.a_ord and p.b_ord = l.b_ord""")
 def rca_explanations(spark, d):
-    c = rca.chains(_events(spark, d)).select("scope", "incident_id", F.explode("links").alias("l"))
-    return c.select("scope", "incident_id", "l.cause", "l.effect", F.round("l.strength", 4).alias("strength"), "l.delta_s", "l.reason")
+    c = rca.links(_events(spark, d))
+    return c.select("scope", "incident_id", "cause", "effect", F.round("strength", 4).alias("strength"), "delta_s", "reason")
 
 
 @query("log_incidents", None)

@@ -44,7 +44,11 @@ def files_report(a: FilesAnalysis) -> str:
     out = ["# Files together", "", "## Files", ""]
     out += _table(["file", "lines", "incidents", "analyzers"], [[r.file_id, r.line_count, r.incident_count, ", ".join(x or "" for x in r.analyzers_active)] for r in a.files.orderBy("file_id").limit(DETAILS).collect()])
     out += ["## Possible chains (a pattern is no proof of a cause)", ""]
-    out += _table(["incident", "root", "links", "seconds", "strength"], [[r.incident_id, r.root_kind, " / ".join(x.reason for x in r.links), r.duration_s, round(r.chain_strength, 3)] for r in a.chains.orderBy("incident_id", "root_ord").limit(DETAILS).collect()])
+    shown = a.chains.orderBy("incident_id", "root_ord").limit(DETAILS).collect()
+    linked: dict[tuple, list[str]] = {}
+    for r in a.links.where(F.col("root_ord").isin([x.root_ord for x in shown])).orderBy("step").collect():
+        linked.setdefault((r.scope, r.root_ord), []).append(r.reason)
+    out += _table(["incident", "root", "links", "seconds", "strength"], [[r.incident_id, r.root_kind, " / ".join(linked.get((r.scope, r.root_ord), [])), r.duration_s, round(r.chain_strength, 3)] for r in shown])
     return "\n".join(out)
 
 

@@ -3,12 +3,15 @@
 import base64
 import html
 import json
+import random
 import urllib.parse
 import zlib
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from logloom import tables
 from logloom.operators import findings as FI
 from logloom.operators import kb as K
 from logloom.operators import mask, rca
@@ -38,11 +41,64 @@ def test_chain_is_greedy(spark):
     # The restart comes 350 s after the timeout, so nothing explains it; scope q has no grave event and keeps its first.
     assert sorted(r.ord for r in rca.roots(df).collect()) == [1, 4, 5]
     c = {r.root_ord: r for r in rca.chains(df).collect()}[1]
-    assert [(x.cause, x.effect) for x in c.links] == [("deadlock", "connection_exhausted"), ("connection_exhausted", "timeout")]
-    assert abs(c.links[0].strength - 1.0) < 1e-9 and abs(c.links[1].strength - 0.72) < 1e-9
+    links = rca.links(df).where("root_ord = 1").orderBy("step").collect()
+    assert [(x.step, x.cause, x.effect) for x in links] == [(1, "deadlock", "connection_exhausted"), (2, "connection_exhausted", "timeout")]
+    assert abs(links[0].strength - 1.0) < 1e-9 and abs(links[1].strength - 0.72) < 1e-9
     assert (c.duration_s, c.impact, c.analyzers) == (50.0, 3, ["nginx", "postgresql"])
 
 
+def _causal(a, b):
+    delta = b[2] - a[2]
+    return 0 <= delta <= 300 and ((a[4], b[4]) in rca.PATTERNS or ((a[3], b[3]) in rca.SEQUENCES and delta <= 30))
+
+
+def _brute_chains(events):
+    """Per root, what a scan over all events after it gives. events: scope, ord, seconds, analyzer, kind, grave."""
+    out = {}
+    for scope in {e[0] for e in events}:
+        own = sorted((e for e in events if e[0] == scope), key=lambda e: (e[2], e[1]))
+        free = [e for e in own if e[5] and not any(o[2] < e[2] and _causal(o, e) for o in own)] or own[:1]
+        for root in free:
+            path = [root]
+            for e in own:
+                if root[2] < e[2] <= root[2] + 300 and _causal(path[-1], e):
+                    path.append(e)
+            out[scope, root[1]] = [e[1] for e in path]
+    return out
+
+
+@pytest.mark.parametrize("span", [3000, 300])
+def test_chains_against_a_scan(spark, span):
+    """Few and ten times as many events in a window, with ties in time; successors stay linear in the events."""
+    r = random.Random(span)
+    kinds = sorted({k for pair in rca.PATTERNS for k in pair}) + ["other", None]
+    names = sorted({a for pair in rca.SEQUENCES for a in pair})
+    rows = [(r.choice("ab"), i, r.randrange(span), r.choice(names), r.choice(kinds), r.random() < 0.3) for i in range(400)]
+    t = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(s, i, t + timedelta(seconds=x), a, "ERROR" if g else "INFO", k) for s, i, x, a, k, g in rows], "scope string, ord long, ts timestamp_ntz, analyzer string, level string, kind string")
+    want = _brute_chains(rows)
+    got = {(c.scope, c.root_ord): c for c in rca.chains(df).collect()}
+    assert {k: (c.n_links, c.last_ord, c.impact) for k, c in got.items()} == {k: (len(p) - 1, p[-1], len(p)) for k, p in want.items()}
+    of = {i: a for _, i, _, a, _, _ in rows}
+    assert {k: c.analyzers for k, c in got.items()} == {k: sorted({of[i] for i in p}) for k, p in want.items()}
+    paths = {}
+    for x in sorted(rca.links(df).collect(), key=lambda x: x.step):
+        paths.setdefault((x.scope, x.root_ord), [x.root_ord]).append(x.effect_ord)
+        assert len(paths[x.scope, x.root_ord]) == x.step + 1
+    assert paths == {k: p for k, p in want.items() if len(p) > 1}
+    assert max(map(len, want.values())) > 4
+    assert rca.successors(df, rca.roots(df)).count() <= 2 * len(rows)
+
+
+def test_positions(spark):
+    r = random.Random(1)
+    rows = [(r.randrange(50), str(i), "own") for i in range(700)] + [(7, "same", "own")] * 300
+    df = spark.createDataFrame(rows, "k int, v string, _part string").repartition(6)
+    got = sorted(tables.positioned(df.drop("_part"), ["k", "v"], "n").collect(), key=lambda x: x.n)
+    assert [x.n for x in got] == list(range(1, 1001)) and [(x.k, x.v) for x in got] == sorted((k, v) for k, v, _ in rows)
+    assert tables.positioned(df.limit(0), ["k"], "n").count() == 0
+
+
 def test_masking_is_consistent_and_leaves_nothing(spark):
     text = "mail a.b@corp.example.com from 10.1.2.3, password=hunter2 and again a.b@corp.example.com; Authorization: Bearer abc.def https://u:p@host.corp.com/x?y=1 /home/bob/x 00:11:22:33:44:55"
     out, names = mask.pattern_sequence(text)
@@ -57,6 +113,16 @@ def test_masking_is_consistent_and_leaves_nothing(spark):
     assert [(r.kind, r.value) for r in mask.residual(lines).where("line_no = 2 and kind <> 'DOMAIN'").collect()] == [("EMAIL", "c@d.org"), ("IP", "8.8.8.8")]
 
 
+def test_texts_that_contain_kinds(spark):
+    r = random.Random(3)
+    texts = [(f"a{i}", i, "".join(r.choice("abcé \n") for _ in range(r.randrange(40)))) for i in range(120)] + [("none", 0, ""), ("null", 0, None)]
+    kinds = ["ab", "A", "abc", "Cab\n", "é", "abcabc", "zzz", "abz", "bca a", "aaa"]
+    df = spark.createDataFrame(texts, "article_id string, updated_at int, t string")
+    found = K.containing(df, spark.createDataFrame([(k,) for k in kinds * 2], "kind string"))
+    want = sorted((k, i) for k in kinds for i, _, t in texts if t and k.lower() in t)
+    assert sorted((x.kind, x.article_id) for x in found.collect()) == want
+
+
 def test_kb_round_trip(spark, tmp_path):
     t = datetime(2024, 1, 1)
     b = K.KnowledgeBase.empty(spark)
