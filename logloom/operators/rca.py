@@ -4,8 +4,8 @@ Pattern strengths say how familiar a pair of kinds is; nothing here proves causa
 together), ord, ts (timestamp_ntz), analyzer, level, kind.
 
 No event meets all others of its window. What may have caused an event, or what it may cause, is an as-of lookup: per scope,
-kind (or analyzer) and time slot as wide as the window, one pass in order of time finds the nearest event of the other side;
-the edge of the neighbouring slot stands in for what lies beyond. Chains are paths along those successors, and pointers that
+kind (or analyzer) and time slot as wide as the window, one pass in order of time finds the nearest event of the other side,
+those of the neighbouring slot included. Chains are paths along those successors, and pointers that
 double their reach give each root the end and the sums of its path in a logarithmic number of joins.
 """
 
@@ -58,18 +58,24 @@ def _sided(e: DataFrame, side: str, *cols: str) -> DataFrame:
     return both.join(F.broadcast(_dictionary(e.sparkSession)), ["by", side])
 
 
+def _marked(e: DataFrame, side: str, *cols: str) -> DataFrame:
+    """The columns of e with by and value, once for each way in which an event can stand on a side of the dictionary."""
+    at = 0 if side == "cause" else 1
+    values = {"kind": sorted({p[at] for p in PATTERNS}), "analyzer": sorted({p[at] for p in SEQUENCES})}
+    ways = [F.when(F.col(by).isin(*known), F.struct(F.lit(by).alias("by"), F.col(by).alias("value"))) for by, known in values.items()]
+    return e.select(*cols, F.explode(F.array_compact(F.array(*ways))).alias("w")).select(*cols, "w.by", "w.value")
+
+
 def _nearest(asks: DataFrame, events: DataFrame, forward: bool) -> DataFrame:
     """asks (scope, slot, by, value, at, tie, most, ...) with `found`, the nearest of events (scope, slot, by, value, at, tie, event)
-    that comes before it by (at, tie), or after it if forward, and lies within `most` seconds; asks without one go."""
-    key, step = ["scope", "slot", "by", "value"], -1 if forward else 1
-    edge = (F.min_by if forward else F.max_by)("event", F.struct("at", "tie")).alias("event")
-    order = F.struct("at", "tie")
-    edges = events.groupBy(*key).agg(edge, (F.min if forward else F.max)(order).alias("o"))
-    edges = edges.select("scope", (F.col("slot") + step).alias("slot"), "by", "value", "o.at", "o.tie", "event")
-    rows = asks.withColumn("asks", F.lit(True)).unionByName(events.unionByName(edges).withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    that comes before it by (at, tie), or after it if forward, and lies within `most` seconds; asks without one go. An event
+    stands in its own slot and in the neighbouring one that may ask for it."""
+    slots = F.explode(F.array(F.col("slot"), F.col("slot") + (-1 if forward else 1)))
+    both = events.withColumn("slot", slots).withColumn("asks", F.lit(False))
+    rows = asks.withColumn("asks", F.lit(True)).unionByName(both, allowMissingColumns=True)
     sort = [F.desc("at"), F.desc("tie")] if forward else [F.asc("at"), F.asc("tie")]
     # Of equal places the one that asks comes first, so it doesn't find itself.
-    passed = Window.partitionBy(*key).orderBy(*sort, F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    passed = Window.partitionBy("scope", "slot", "by", "value").orderBy(*sort, F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("found", F.last("event", ignorenulls=True).over(passed)).where("asks").drop("asks", "event")
     return found.where(F.abs(F.col("found.at") - F.col("at")) <= F.col("most"))
 
@@ -78,8 +84,7 @@ def roots(events: DataFrame) -> DataFrame:
     """The grave events that no earlier event explains; if a scope has none, its first event."""
     e = _slotted(events)
     grave = e.where(F.col("level").isin("CRITICAL", "ERROR"))
-    causes = _sided(e, "cause", "scope", "slot", "at").groupBy("scope", "slot", "by", F.col("cause").alias("value"), "at").agg(F.lit(1).alias("tie"))
-    causes = causes.withColumn("event", F.struct("at"))
+    causes = _marked(e, "cause", "scope", "slot", "at").select("*", F.lit(1).alias("tie"), F.struct("at").alias("event"))
     asks = _sided(grave, "effect", "scope", "slot", "at", "ord").withColumnRenamed("cause", "value").withColumn("tie", F.lit(0))  # strictly earlier
     caused = _nearest(asks, causes, False).select("scope", "ord").distinct()
     free = events.where(F.col("level").isin("CRITICAL", "ERROR")).join(caused, ["scope", "ord"], "left_anti")
@@ -94,7 +99,8 @@ def successors(events: DataFrame, starts: DataFrame) -> DataFrame:
     asks = _sided(e, "cause", "scope", "slot", "at", "ord", "x").withColumnRenamed("effect", "value")
     again = asks.join(starts.select("scope", "ord"), ["scope", "ord"], "left_semi").select("*", F.lit(2**63 - 1).alias("tie"), F.lit(True).alias("start"))
     asks = asks.select("*", F.col("ord").cast("long").alias("tie"), F.lit(False).alias("start")).unionByName(again)
-    effects = _sided(e, "effect", "scope", "slot", "at", "ord", "x").select("scope", "slot", "by", F.col("effect").alias("value"), "at", F.col("ord").cast("long").alias("tie"), F.col("x").alias("event")).distinct()
+    effects = _marked(e, "effect", "scope", "slot", "at", "ord", "x")
+    effects = effects.select("scope", "slot", "by", "value", "at", F.col("ord").cast("long").alias("tie"), F.col("x").alias("event"))
     found = _nearest(asks, effects, True)
     return found.groupBy("scope", "ord", "start").agg(F.first("x").alias("x"), F.min("found").alias("y"))
 
@@ -154,7 +160,8 @@ def _jumps(steps: DataFrame) -> list[DataFrame]:
 
 def _paths(events: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The roots with the first link of their chains, all links, and the jumps along them."""
-    start = roots(events)
+    events = stored(events.select("scope", "ord", "ts", "analyzer", "level", "kind"), "rca-events")  # read by every step
+    start = stored(roots(events), "rca-roots")
     links = stored(successors(events, start), "rca-links")
     step = links.where("not start").select("scope", "ord", F.col("x.at").alias("at"), F.col("y.ord").alias("to_ord"), F.col("y.at").alias("to_at"), strength(F.col("x"), F.col("y")).alias("total"), F.array("y.analyzer").alias("analyzers"))
     first = links.where("start").select("scope", F.col("ord").alias("root_ord"), "x", "y")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..operators import ssh
 from ..operators.family_rules import FAMILIES
 from ..sources.artifacts import lines_of
 from ..sources.render import log, log_sql
+from ..streaming.families import tallies
+from ..tables import dropped, shared_dir, stored
 from . import log_sql as L
 from .log_sql import q
 
@@ -213,17 +217,39 @@ def _family(name: str, source: str):
 
     @query(f"family_{name}", L.family_sql(f, source))
     def run(spark, d) -> DataFrame:
-        three = lambda c: F.format_string("%.3f", c)
-        x = FA.findings(log(spark, d, source), (name,))
-        return x.select("file_id", "kind", "level", "category", F.col("count").alias("n"), "first_line", "entity", _joined("entities").alias("entities"), _joined("top_entities").alias("top_entities"), _joined("classes").alias("classes"), *[F.when(F.col(c).isNotNull(), three(c)).alias(c) for c in ("avg_value", "max_value", "p95_value")])
+        return _shown(FA.findings(log(spark, d, source), (name,)))
 
     return run
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    three = lambda c: F.format_string("%.3f", c)
+    return found.select("file_id", "kind", "level", "category", F.col("count").alias("n"), "first_line", "entity", _joined("entities").alias("entities"), _joined("top_entities").alias("top_entities"), _joined("classes").alias("classes"), *[F.when(F.col(c).isNotNull(), three(c)).alias(c) for c in ("avg_value", "max_value", "p95_value")])
+
+
 for _f in FAMILIES:
     _family(_f.name, "access" if _f.name == "nginx" else "ops")
 
 
+_STREAMED = "api_performance"
+
+
+@query("family_stream", L.family_sql(next(f for f in FAMILIES if f.name == _STREAMED), "ops"))
+def family_stream(spark, d):
+    """The operations log replayed as a stream of files, each with a row that says where it ends: a family's tallies are kept in
+    the state store over several micro-batches, written as they are flushed, and judged; the result is the batch query's."""
+    lines = log(spark, d, "ops").select("file_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    ends = lines.groupBy("file_id").agg((F.max("line_no") + 1).alias("line_no"), F.lit(None).cast("string").alias("line"))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("line_no"))
+    fed = stored(lines.unionByName(ends).withColumn("at", at).repartition(8), "stream-lines")
+    home = f"{shared_dir(spark)}/logloom/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(fed.schema).option("maxFilesPerTrigger", 3).parquet(fed._logloom_at)
+    flushed = tallies(source, (_STREAMED,), late="3650 days")
+    flushed.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    dropped(fed)
+    return _shown(FA.judged(spark.read.schema(flushed.schema).parquet(f"{home}/out"), (_STREAMED,)))
+
+
 _TEST_LINE = "case o_orderkey % 5 when 0 then 'INFO test: t' || (o_custkey % 40) || ' started' when 1 then 'INFO test: t' || (o_custkey % 40) || ' completed, took ' || (o_orderkey % 900) || ' ms' when 2 then 'fixture destroyed' when 3 then 'scenario=t' || (o_custkey % 40) || ' setup created' else 'nothing of the kind' end"
 
 

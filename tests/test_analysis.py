@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom import analysis
+from logloom.operators import families
 from logloom.operators import kb as K
 from logloom.plans import reports
 from logloom.sources import kb_package
 from logloom.sources.artifacts import lines_of
 from logloom.sources.config import Config
 from logloom.streaming.attempts import bursts
+from logloom.streaming.families import tallies
 
 LOG = "\n".join(
     [f"Jan 01 00:00:{i:02d} h sshd[{i}]: Failed password for root from 1.2.3.4 port 1 ssh2" for i in range(6)]
@@ -99,3 +101,29 @@ def test_stream_of_attempts(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("select ip, attempts, level from bursts").collect()
     assert [tuple(r) for r in got] == [("1.1.1.1", 5, "WARN")]
+
+
+def test_families_on_a_stream(spark, tmp_path):
+    """A file that ends, one that only falls silent, and lines that come after their file's end: tallies flushed by mark and by
+    timer add up to what the batch operator finds."""
+    said = ["GET endpoint=/a took=1500 ms", "GET endpoint=/b took=6000 ms", "nothing", "endpoint=/a took=2500 ms", "rate limit exceeded", "request timeout"]
+    t = datetime(2024, 1, 1)
+    row = lambda f, n, minute: (f, n, said[n % len(said)], t + timedelta(minutes=minute))
+    parts = [
+        [row("a", n, n) for n in range(8)] + [row("b", n, n) for n in range(7)],
+        [row("a", n, n) for n in range(8, 15)] + [("a", 99, None, t + timedelta(minutes=20))],
+        [row("a", n, 21) for n in range(20, 26)],
+        [row("c", n, 300) for n in range(6)],  # time passes: what is silent is flushed
+        [row("c", 6, 600)],
+    ]
+    schema = "file_id string, line_no long, line string, at timestamp"
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = tallies(source, ("api_performance",), idle="15 minutes", late="5 minutes", lanes=2)
+        out.writeStream.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    lines = spark.createDataFrame([r[:3] for rows in parts for r in rows], "file_id string, line_no long, line string")
+    names = ("api_performance",)
+    key = lambda df: sorted((str(r) for r in df.where("file_id <> 'c'").collect()))
+    assert key(families.judged(got, names)) == key(families.findings(lines, names)) != []
