@@ -1,12 +1,18 @@
 """Mixing sources to target weights by pivotal dependent rounding, with DataFrame operations only.
 
 A source that should take r times its words gives each of its documents floor(r) copies and a fractional copy
-probability r - floor(r). Fractions are paired: mass moves from one document to the other, in a random direction that
-keeps both expectations and the sum of words, until one of the two is integral. Documents are dealt by hash into blocks
-of about BLOCK rows of one source; each block is folded pair by pair and leaves at most one fractional document. Those
-residuals meet in blocks of the next level, so a reduction tree of depth log_BLOCK(rows) ends with one fractional
-document per source, which is rounded at random. A source's taken words so differ from its target by less than its
-largest document. All random draws are hashes of ids and levels, so reruns agree.
+probability r - floor(r). Fractions are paired: mass moves from one side to the other, in a random direction that
+keeps both expectations and the sum of words, until one of the two is integral.
+
+Large documents come first, those of over a LARGE-th of their source's words (so at most LARGE of a source): from the largest
+down, each is paired with all that are smaller, which have one probability and move together. So a large document is settled
+and the smaller ones make up for it. If they have words for one direction only, that one is taken and not drawn, so that the
+sum stays near; if for none, they are settled and it stays open. The rest are
+dealt by hash into blocks of about BLOCK rows of one source; each block is folded pair by pair and leaves at most one
+fractional document. Those residuals meet in blocks of the next level, so a reduction tree of depth log_BLOCK(rows) ends with
+one fractional document per source, which is rounded at random. A source's taken words so differ from its target by less than
+a LARGE-th of its words, or than a document that the smaller ones can't make up for. All random draws are hashes of ids and
+levels, so reruns agree.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is an id like any
 other. Repeated rows are rows of their own, with draws and copies of their own: they are counted first and dealt out again
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import fresh, n_words_col, stored, text_hash
 
 BLOCK = 64
+#: Documents of a source that are large, at most.
+LARGE = 1000
 _TINY = 1e-9
 
 
@@ -104,8 +112,39 @@ def _folded(items: Column, level: int) -> Column:
         )
         return F.when(a.isNull(), F.struct(x.alias("carry"), state["done"].alias("done"))).otherwise(_let(room, moved))
 
-    item = f"struct<draw:bigint,row:{_ROW},size:double,p:double>"
-    zero = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast(f"array<struct<row:{_ROW},up:int>>").alias("done"))
+    zero = F.struct(F.lit(None).cast(_ITEM).alias("carry"), F.array().cast(f"array<struct<row:{_ROW},up:int>>").alias("done"))
+    return F.aggregate(items, zero, step)
+
+
+_ITEM = f"struct<draw:bigint,row:{_ROW},size:double,p:double>"
+
+
+def _settled(items: Column, total: Column, p: Column) -> Column:
+    """items: array of struct(order, x: struct(draw, row, size, p)), largest first; total: the words of their source; p: the
+    probability of all its documents. Gives struct(p, rest, done, left): done has the rows that became integral with up
+    0 or 1, left the one that stays open, if any, and p is now that of the documents that are not among items."""
+
+    def step(state: Column, item: Column) -> Column:
+        x = item["x"]
+
+        def moved(room: Column) -> Column:
+            drawn = _chance(x["draw"], F.lit("large")) * (room["up"] + room["down"]) < room["down"]  # x up by room.up with odds down
+            full, none = room["up"] >= (1 - state["p"]) * x["size"] - _TINY, room["down"] >= state["p"] * x["size"] - _TINY
+            up = F.when(full == none, drawn).otherwise(full)
+            shift = F.when(room["up"] + room["down"] <= _TINY, F.lit(0.0)).when(up, room["up"]).otherwise(-room["down"])
+            return _let(F.struct((state["p"] + shift / x["size"]).alias("own"), F.when(room["rest"] > 0, state["p"] - shift / room["rest"]).otherwise(state["p"]).alias("p"), room["rest"].alias("rest")), settled)
+
+        def settled(m: Column) -> Column:
+            done = (m["own"] <= _TINY) | (m["own"] >= 1 - _TINY)
+            row = F.struct(x["row"].alias("row"), F.round(m["own"]).cast("int").alias("up"))
+            open_ = F.struct(x["draw"].alias("draw"), x["row"].alias("row"), x["size"].alias("size"), m["own"].alias("p"))
+            return F.struct(m["p"].alias("p"), m["rest"].alias("rest"), F.concat(state["done"], F.array_compact(F.array(F.when(done, row)))).alias("done"), F.concat(state["left"], F.array_compact(F.array(F.when(~done, open_)))).alias("left"))
+
+        rest = F.greatest(state["rest"] - x["size"], F.lit(0.0))
+        up, down = F.least((1 - state["p"]) * x["size"], state["p"] * rest), F.least(state["p"] * x["size"], (1 - state["p"]) * rest)
+        return _let(F.struct(F.greatest(up, F.lit(0.0)).alias("up"), F.greatest(down, F.lit(0.0)).alias("down"), rest.alias("rest")), moved)
+
+    zero = F.struct(p.alias("p"), total.alias("rest"), F.array().cast(f"array<struct<row:{_ROW},up:int>>").alias("done"), F.array().cast(f"array<{_ITEM}>").alias("left"))
     return F.aggregate(items, zero, step)
 
 
@@ -133,7 +172,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     own = ["doc_id", "h", "more", "size"]
     out = [rows.where(~open_).select(*own, *kept, F.col("base").alias("copies"))]
     draw = F.xxhash64("doc_id", "h", "more", "no", F.lit("mix"))
-    state = rows.where(open_).select(*kept, "n_rows", F.struct(draw.alias("draw"), F.struct(*own, "base").alias("row"), F.col("size").cast("double").alias("size"), "p").alias("x"))
+    item = F.struct(draw.alias("draw"), F.struct(*own, "base").alias("row"), F.col("size").cast("double").alias("size"), "p")
+    items = rows.where(open_).select(*kept, "n_rows", item.alias("x"))
+    big = F.col("x.size") * LARGE > F.col("source_size")
+    first = F.array_sort(F.collect_list(F.when(big, F.struct(F.struct(-F.col("x.size"), F.col("x.draw")).alias("order"), "x"))))
+    large = items.where(big).groupBy(*kept, "n_rows").agg(first.alias("xs"), F.first("x.p").alias("p"))
+    large = stored(large.withColumn("f", _settled(F.col("xs"), F.col("source_size").cast("double"), F.col("p"))).drop("xs"), "mix-large")
+    out.append(large.select(*kept, F.explode("f.done").alias("d")).select(*[f"d.row.{c}" for c in own], *kept, (F.col("d.row.base") + F.col("d.up")).alias("copies")))
+    now = large.select(F.col("source").alias("s"), F.col("f.p").alias("now"))
+    small = items.where(~big).join(now, items["source"].eqNullSafe(now["s"]), "left").drop("s")
+    small = small.withColumn("now", F.coalesce("now", "x.p"))
+    still = (F.col("now") > _TINY) & (F.col("now") < 1 - _TINY)
+    out.append(small.where(~still).select(*[f"x.row.{c}" for c in own], *kept, (F.col("x.row.base") + F.round("now").cast("int")).alias("copies")))
+    state = small.where(still).select(*kept, "n_rows", F.struct("x.draw", "x.row", "x.size", F.col("now").alias("p")).alias("x"))
+    state = state.unionByName(large.select(*kept, "n_rows", F.explode("f.left").alias("x")))
     level, spread = 0, block
     while largest:
         blocks = F.ceil(F.col("n_rows") / spread)

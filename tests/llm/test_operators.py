@@ -438,3 +438,16 @@ def test_many_repeated_rows_are_spread_over_blocks(spark, monkeypatch):
     docs = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 4000, "s").alias("source"), F.lit("en").alias("lang"))
     rows = check_mix(docs)
     assert len(rows) == 5000 and len({r.copies for r in rows if r.source == "s"}) == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_sources_come_near_their_targets(spark, sf):
+    """Large documents are settled first and the smaller ones make up for them; what is left over is a small one."""
+    mixed = mixing.mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    per = mixed.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.03 for r in per)
+    one = [(i, "w " * n, "s") for i, n in enumerate((9000, 500, 400, 300))] + [(10 + i, "w " * 20, "t") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(one, "doc_id long, text string, source string")).collect()
+    for s in "st":  # the largest outweighs the rest of s: they are settled, and it is rounded
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= (9000 if s == "s" else 20)
