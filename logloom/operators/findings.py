@@ -23,10 +23,15 @@ def weight(level: Column) -> Column:
     return out
 
 
+def _bucketed(findings: DataFrame, distance: int) -> DataFrame:
+    return findings.withColumns({"file_": F.coalesce("source_file", F.lit("unknown")), "category_": F.coalesce("category", F.lit("unknown")), "bucket": F.floor(F.coalesce("first_line", F.lit(0)) / max(1, distance))})
+
+
 def clustered(findings: DataFrame, distance: int = 300) -> DataFrame:
     """One row per file, category and stretch of `distance` lines: counts add up, the gravest level and the earliest line
-    and timestamp stand for all, variations has each member. A finding alone keeps its own words."""
-    f = findings.withColumns({"file_": F.coalesce("source_file", F.lit("unknown")), "category_": F.coalesce("category", F.lit("unknown")), "bucket": F.floor(F.coalesce("first_line", F.lit(0)) / max(1, distance))})
+    and timestamp stand for all. A finding alone keeps its own words. ord is that of the first member, by which
+    cluster_members names the cluster; a row holds no list, so a cluster may be of any size."""
+    f = _bucketed(findings, distance)
     first = lambda c: F.min_by(c, "ord").alias(c)
     grave = F.struct(weight(F.col("level")).alias("w"), -F.col("ord"))
     sampled = F.when(F.coalesce("sample", F.lit("")) != "", F.struct(weight(F.col("level")).alias("w"), -F.col("ord")))
@@ -41,15 +46,25 @@ def clustered(findings: DataFrame, distance: int = 300) -> DataFrame:
         first("signature"),
         first("root_cause"),
         first("ord"),
-        F.array_sort(F.collect_list(F.struct("ord", "kind", "count", "level", "sample"))).alias("variations"),
     )
     named = F.concat(F.initcap(F.translate("category_", "_", " ")), F.lit(" incident ("), F.col("n").cast("string"), F.lit(" variations, "), F.col("count").cast("string"), F.lit(" events)"))
     sample = F.when((F.col("s.k.w") == weight(F.col("level"))) | (F.col("n") == 1), F.col("s.v"))
     return agg.select(
-        "ord", F.col("file_").alias("source_file"), F.col("category_").alias("category"), "kind", "level", F.when(F.col("n") == 1, F.col("signature")).otherwise(named).alias("signature"), F.col("count").cast("long").alias("count"), "first_line", "timestamp", sample.alias("sample"), "root_cause", F.col("n").alias("members"), "variations"
+        "ord", F.col("file_").alias("source_file"), F.col("category_").alias("category"), "kind", "level", F.when(F.col("n") == 1, F.col("signature")).otherwise(named).alias("signature"), F.col("count").cast("long").alias("count"), "first_line", "timestamp", sample.alias("sample"), "root_cause", F.col("n").alias("members")
     )
 
 
+def cluster_members(findings: DataFrame, distance: int = 300) -> DataFrame:
+    """cluster (the ord of its first member) and the ord, kind, count, level and sample of each finding in it.
+
+    The stretches' first members are counted and joined back, so a large cluster's rows are never gathered.
+    """
+    f = _bucketed(findings, distance)
+    key = ["file_", "category_", "bucket"]
+    first = f.groupBy(*key).agg(F.min("ord").alias("cluster"))
+    return f.join(first, key).select("cluster", "ord", "kind", "count", "level", "sample")
+
+
 def by_signature(findings: DataFrame) -> DataFrame:
     """One row per signature: counts add up, the gravest level stays."""
     return findings.groupBy(F.coalesce("signature", F.lit("unknown")).alias("signature")).agg(F.sum("count").cast("long").alias("count"), F.max_by("level", F.struct(weight(F.col("level")), -F.col("ord"))).alias("level"), F.min("ord").alias("ord"))
@@ -62,6 +77,12 @@ def by_root_cause(findings: DataFrame) -> DataFrame:
     return agg.select("root_cause", "n", F.transform("f", lambda x: x["signature"]).alias("signatures"))
 
 
+def cause_members(findings: DataFrame) -> DataFrame:
+    """root_cause, ord, signature of each finding, for causes with more findings than a row should list; and n, their number."""
+    f = findings.select(F.coalesce("root_cause", F.lit("unknown")).alias("root_cause"), "ord", "signature")
+    return f.join(f.groupBy("root_cause").agg(F.count(F.lit(1)).alias("n")), "root_cause")
+
+
 def severities(findings: DataFrame, by: str = "category") -> DataFrame:
     """Per value of `by` the number of findings of each level, zeros included."""
     level = F.coalesce("level", F.lit("INFO"))

@@ -93,12 +93,20 @@ def sessions(lines: DataFrame, most: int = SESSIONS) -> DataFrame:
     return agg.where(F.size("kinds") > 0).select("file_id", "pid", "first_line", "ip", "user", "stamp", "kinds", "category", level_of(F.col("kinds")).alias("level"), title_of(F.col("kinds"), F.col("ip"), F.col("user")).alias("signature"), F.array_join(texts, "\n").alias("sample"), texts.alias("lines"), "kept")
 
 
-def clusters(found: DataFrame, least: int = LEAST, gap: int = GAP) -> DataFrame:
-    """Runs of a file's sessions from one address with no gap of over `gap` seconds, of `least` sessions or more.
+def overflow(found: DataFrame) -> DataFrame:
+    """file_id, sessions (judged ones among those that are kept), overflow (those beyond) and unique, all of them: exact
+    counts, however few sessions are kept."""
+    kept, past = F.count_if(F.col("kept")), F.count_if(~F.col("kept"))
+    return found.groupBy("file_id").agg(kept.alias("sessions"), past.alias("overflow"), F.count(F.lit(1)).alias("unique"))
+
+
+def clusters(found: DataFrame, least: int = LEAST, gap: int = GAP, every: bool = False) -> DataFrame:
+    """Runs of a file's sessions from one address with no gap of over `gap` seconds, of `least` sessions or more: of the
+    sessions that are kept, or of every one.
 
     Sessions without a clock come last and join the last run. ERROR from ten sessions on, or if the run is rapid.
     """
-    s = found.where("kept and ip is not null").withColumn("at", F.unix_micros(syslog_clock(F.col("stamp")).cast("timestamp")) / 1e6)
+    s = (found if every else found.where("kept")).where("ip is not null").withColumn("at", F.unix_micros(syslog_clock(F.col("stamp")).cast("timestamp")) / 1e6)
     w = Window.partitionBy("file_id", "ip").orderBy(F.col("at").isNull(), "at", "first_line")
     s = s.withColumn("opens", F.coalesce((F.col("at") - F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap).cast("int"), F.lit(0)))
     s = s.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(Window.partitionBy("file_id", "ip", "run").orderBy(F.col("at").isNull(), "at", "first_line")))

@@ -63,6 +63,16 @@ def cluster_by_proximity(spark, d):
     return c.select("ord", "source_file", "category", "kind", "level", "signature", F.col("count").alias("n"), "first_line", "timestamp", "sample", "members")
 
 
+@query("cluster_members", f"with {FINDINGS_SQL} select min(ord) over (partition by source_file, category, first_line // 300) as cluster, ord, kind, count as n, level, sample from fw")
+def cluster_members(spark, d):
+    return FI.cluster_members(_findings(spark, d)).withColumnRenamed("count", "n")
+
+
+@query("root_cause_members", f"with {FINDINGS_SQL} select coalesce(root_cause, 'unknown') as root_cause, ord, signature, count(*) over (partition by coalesce(root_cause, 'unknown')) as n from fw")
+def root_cause_members(spark, d):
+    return FI.cause_members(_findings(spark, d))
+
+
 @query("dedupe_by_signature", f"with {FINDINGS_SQL} select signature, sum(count)::bigint as n, arg_max(level, (w, -ord)) as level, min(ord) as ord from fw group by 1")
 def dedupe_by_signature(spark, d):
     return FI.by_signature(_findings(spark, d)).select("signature", F.col("count").alias("n"), "level", "ord")

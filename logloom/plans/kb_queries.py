@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import budget
 from ..operators import kb as K
 from ..operators import mask
+from ..sources import kb_package
 from .log_sql import q
 
 Q: dict[str, tuple] = {}
@@ -199,3 +201,27 @@ def import_conflicts(spark, d):
 def kb_stable_numbers(spark, d):
     a = _base(spark, d).articles
     return K.numbered(a.withColumn("display_id_seq", F.when(F.col("display_id_seq") % 2 == 0, F.col("display_id_seq")))).select("id", "display_id_seq")
+
+
+@query("kb_packages_read", f"""with {_KB} select 'whole' as kind, count(*) as articles, count(distinct id) as ids, sum(length(title))::bigint as chars, 0::bigint as errors from articles where status = 'active' and seq % 3 <> 0
+union all select 'damaged', 0, 0, 0, 1""")
+def kb_packages_read(spark, d):
+    """The active articles zipped into a package per third of them, one package cut short, and all read again by executors."""
+    base = _base(spark, d)
+    third = F.col("display_id_seq") % 3
+    zipped = [kb_package.packages(K.replace(base, articles=base.articles.where(third == k))).select(F.lit(k).alias("k"), "part", "data") for k in range(3)]
+    every = zipped[0].unionByName(zipped[1]).unionByName(zipped[2])
+    cut = F.when(F.col("k") == 0, F.expr("substring(data, 1, length(data) - 30)")).otherwise(F.col("data"))
+    path = F.concat(F.when(F.col("k") == 0, "damaged").otherwise("whole"), F.lit("/"), F.col("part").cast("string"))
+    got = kb_package.articles_of(every.select(path.alias("path"), cut.alias("content")))
+    return got.groupBy(F.substring_index("path", "/", 1).alias("kind")).agg(F.count("id").alias("articles"), F.count_distinct("id").alias("ids"), F.coalesce(F.sum(F.length("title")), F.lit(0)).alias("chars"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+@query("fair_shares", """with recursive c as (select conv_id, turn, length(text) as chars, row_number() over (partition by conv_id order by turn) as n, count(*) over (partition by conv_id) as m from conversations),
+f as (select conv_id, n, greatest(40, 300 // m)::bigint as share, least(chars, greatest(40, 300 // m))::bigint as used from c where n = 1
+  union all select c.conv_id, c.n, greatest(40, floor((300 - f.used) / (c.m - c.n + 1)))::bigint, (f.used + least(c.chars, greatest(40, floor((300 - f.used) / (c.m - c.n + 1)))))::bigint from f join c on c.conv_id = f.conv_id and c.n = f.n + 1)
+select c.conv_id, c.turn, c.chars, f.share, c.chars > f.share as truncated, least(c.chars, f.share)::bigint as kept from c join f using (conv_id, n)""")
+def fair_shares(spark, d):
+    """The turns of each conversation as sources of 300 characters together, 40 each at least."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
+    return budget.fair_shares(c, "conv_id", "turn", "text", 300, 40).select("conv_id", "turn", "chars", "share", "truncated", F.length("text").cast("long").alias("kept"))

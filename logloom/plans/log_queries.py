@@ -193,6 +193,21 @@ def ssh_bruteforce(spark, d):
     return c.select("file_id", "ip", F.col("count").alias("n"), "first_line", "duration_s", "level")
 
 
+@query("ssh_overflow", f"with {L.SSH}, p as (select file_id, pid, min(line_no) as f, count(kind) as c from z group by all), x as (select *, row_number() over (partition by file_id order by f) <= 20 as kept from p) select file_id, count(*) filter (kept) as sessions, count(*) filter (not kept) as overflow, count(*) as \"unique\" from x where c > 0 group by 1")
+def ssh_overflow(spark, d):
+    """Counts past a store of 20 sessions per file."""
+    return ssh.overflow(ssh.sessions(log(spark, d, "auth"), 20))
+
+
+@query("ssh_clusters_of_all", f"""with {L.SSH}, y as (select *, epoch(strptime('2000 ' || stamp, '%Y %b %d %H:%M:%S')) as tm from sess where ip is not null),
+g as (select *, case when tm - lag(tm) over (partition by file_id, ip order by tm, first_line) > 900 then 1 else 0 end as o from y), rr as (select *, sum(o) over (partition by file_id, ip order by tm, first_line) as run from g),
+c as (select file_id, ip, run, count(*) as n, arg_min(first_line, (tm, first_line)) as first_line from rr group by all having count(*) >= 5) select file_id, ip, n, first_line from c""")
+def ssh_clusters_of_all(spark, d):
+    """With a store of 20 sessions per file the clusters of all sessions are the same as ever."""
+    c = ssh.clusters(ssh.sessions(log(spark, d, "auth"), 20), every=True)
+    return c.select("file_id", "ip", F.col("count").alias("n"), "first_line")
+
+
 _RULES = [(f, r) for f in FAMILIES if f.builtin for r in f.rules]
 _RULE = "case " + " ".join(f"when ({' or '.join([f'contains(lower(line), {L.q(w)})' for w in f.hint] + ([f'regexp_matches(line, {L.q(f.hint_pattern)})'] if f.hint_pattern else []))}) and regexp_matches(line, {L.q(r[0])}) then {L.q(r[1] + '/' + r[2] + '/' + r[3])}" for f, r in _RULES) + " end"
 
