@@ -72,7 +72,8 @@ def title_of(kinds: Column, ip_: Column, user_: Column) -> Column:
 
 def sessions(lines: DataFrame, most: int = SESSIONS) -> DataFrame:
     """One row per file and process: file_id, pid, first_line, ip, user, stamp, kinds, category, level, signature, sample,
-    kept (whether it is among the first `most` of its file). Only the first SESSION_LINES lines of a session are gathered.
+    kept (whether it is among the first `most` of its file), judged (its place among those of its file that a rule fits: only
+    these are rows). Only the first SESSION_LINES lines of a session are gathered.
     """
     line = F.col("line")
     rows = lines.where(F.contains(line, F.lit("sshd["))).select("file_id", "line_no", "line", pid(line).alias("pid")).where("pid is not null")
@@ -90,7 +91,7 @@ def sessions(lines: DataFrame, most: int = SESSIONS) -> DataFrame:
     )
     agg = agg.withColumn("kept", F.row_number().over(Window.partitionBy("file_id").orderBy("first_line")) <= most)
     texts = F.transform("ls", lambda x: x["line"])
-    return agg.where(F.size("kinds") > 0).select("file_id", "pid", "first_line", "ip", "user", "stamp", "kinds", "category", level_of(F.col("kinds")).alias("level"), title_of(F.col("kinds"), F.col("ip"), F.col("user")).alias("signature"), F.array_join(texts, "\n").alias("sample"), texts.alias("lines"), "kept")
+    return agg.where(F.size("kinds") > 0).select("file_id", "pid", "first_line", "ip", "user", "stamp", "kinds", "category", level_of(F.col("kinds")).alias("level"), title_of(F.col("kinds"), F.col("ip"), F.col("user")).alias("signature"), F.array_join(texts, "\n").alias("sample"), texts.alias("lines"), "kept").withColumn("judged", F.row_number().over(Window.partitionBy("file_id").orderBy("first_line")))
 
 
 def overflow(found: DataFrame) -> DataFrame:

@@ -206,3 +206,12 @@ def test_incident_total_is_exact_beyond_the_limit(spark):
     text = "\n".join(f"ERROR: failure {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150))
     rows = E.incidents(E.grouped(E.events(lines(spark, text))), limit=100).collect()
     assert len(rows) == 100 and {r.total for r in rows} == {150}
+
+
+def test_judged_sessions_are_counted_apart(spark):
+    """Sessions that no rule fits take places of the store, but not among the judged ones."""
+    idle = [f"Jan 01 00:00:00 h sshd[{i}]: Connection from 1.2.3.4 port 1" for i in range(3)]
+    text = "\n".join(idle + [session(100 + i, i) for i in range(7)])
+    s = ssh.sessions(lines(spark, text), 6)
+    assert [(r.judged, r.kept) for r in s.orderBy("first_line").collect()] == [(i + 1, i < 3) for i in range(7)]
+    assert [r["count"] for r in ssh.clusters(s.where("judged <= 6"), every=True).collect()] == [6]
