@@ -215,3 +215,17 @@ def test_judged_sessions_are_counted_apart(spark):
     s = ssh.sessions(lines(spark, text), 6)
     assert [(r.judged, r.kept) for r in s.orderBy("first_line").collect()] == [(i + 1, i < 3) for i in range(7)]
     assert [r["count"] for r in ssh.clusters(s.where("judged <= 6"), every=True).collect()] == [6]
+
+
+def test_families_read_their_lines_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    text = "\n".join(f'10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] "GET /items HTTP/1.1" 500 10 "-" "x" {i}.00' for i in range(20))
+    source = lines(spark, text)
+    assert FA.findings(source.mapInArrow(seen, source.schema), ("nginx",)).count() > 0
+    assert reads.value == 20
