@@ -1,6 +1,7 @@
 """Whole analyses: what a log, a set of files, a SAML trace or a text to be anonymised gives, as DataFrames.
 
-Nothing runs until a result is read; each field is a table of its own that can be written or joined.
+Each field is a table of its own that can be written or joined, and runs when it is read; what several steps of incidents read
+(tallies, event lines, incidents) is stored when the analysis is built.
 """
 
 from __future__ import annotations

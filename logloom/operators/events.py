@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..tables import stored
 
 #: Lines of one chunk; most lines of an event, most characters of its sample.
 CHUNK, MOST_LINES, SAMPLE = 1 << 16, 500, 50_000
@@ -38,6 +39,9 @@ def member_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A line opens an event if its record has an error level, unless it is a build tool's advice (bracket style, nothing or
     a hint after the level) while an event opened in bracket style is still open. Continuations join the open event,
     anything else closes it. After MOST_LINES lines nothing more joins.
+
+    What each line is is worked out once and stored, as the lookups read it several times; of lines that only close events
+    no text is kept.
     """
     rows = lines if "rec" in lines.columns else R.with_record(lines)
     level, style = F.col("rec.level"), F.col("rec.style")
@@ -49,7 +53,10 @@ def member_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .when(is_continuation(F.col("line")), None)
         .otherwise("break")
     )
-    rows = last_known(rows.withColumn("_kind", kind), "_kind", "_last", False, chunk)
+    rows = rows.withColumn("_kind", kind)
+    kept = {c: F.when(~F.col("_kind").eqNullSafe("break"), F.col(c)).alias(c) for c in ("line", "rec")}
+    rows = stored(rows.select(*[kept.get(c, F.col(c)) for c in rows.columns]), "event-lines")
+    rows = last_known(rows, "_kind", "_last", False, chunk)
     joins = (F.col("_kind") == "advice") & F.coalesce(F.col("_last").isin("advice", "bracket"), F.lit(False))
     mark = F.when(F.col("_kind").isNotNull() & ~joins, F.struct("line_no", (F.col("_kind") != "break").alias("opens")))
     rows = last_known(rows.withColumn("_mark", mark), "_mark", "_event", True, chunk)
@@ -58,8 +65,9 @@ def member_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def chain(lines: Column) -> Column:
-    """struct(top_exception, causes, suppressed, root_cause, exception_chain) of an array of struct(line, s, rec)."""
-    plain = F.filter(lines, lambda x: ~x["rec"] & (x["s"] != ""))
+    """struct(top_exception, causes, suppressed, root_cause, exception_chain) of an array of struct(line, rec)."""
+    plain = F.transform(F.filter(lines, lambda x: ~x["rec"]), lambda x: F.struct(R.strip(x["line"]).alias("s")))
+    plain = F.filter(plain, lambda x: x["s"] != "")
     said = lambda word: F.transform(F.filter(plain, lambda x: x["s"].rlike(rf"(?i)^{word}:\s+.+$")), lambda x: R.strip(F.regexp_extract(x["s"], rf"(?i)^{word}:\s+(.+)$", 1)))
     causes, suppressed = said("Caused by"), said("Suppressed")
     named = lambda s, p: F.concat_ws(": ", F.regexp_extract(s, p, 1), F.nullif(R.strip(F.regexp_extract(s, p, 2)), F.lit("")))
@@ -77,18 +85,30 @@ def chain(lines: Column) -> Column:
 def events(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per event: file_id, start_line, level, style, n_lines, sample, signature, key_kind, key, codes, exit_code and
     the exception chain's columns."""
-    part = F.struct("line_no", "line", R.strip(F.col("line")).alias("s"), F.col("rec.level").isNotNull().alias("rec"), "rec.level", "rec.style", "rec.rest", "rec.head", "rec.after")
+    rec = F.col("rec")
+    header = F.when(F.col("line_no") == F.col("start_line"), R.header_message(F.col("line"), rec))
+    codes = F.filter(F.concat(F.array(R.vendor_code(rec)), R.aux_codes(F.col("line"))), lambda x: x.isNotNull())
+    # A line's parts are taken from it here, so that its text goes through the shuffle once.
+    part = F.struct("line_no", "line", rec["level"].isNotNull().alias("rec"), rec["level"].alias("level"), rec["style"].alias("style"), header.alias("header"), codes.alias("codes"))
     ev = member_lines(lines, chunk).groupBy("file_id", "start_line").agg(F.array_sort(F.collect_list(part)).alias("ls"))
     first = F.col("ls")[0]
     java = (F.size("ls") > 1) | first["line"].rlike(R.INLINE_EXCEPTION) | F.contains(first["line"], F.lit("Caused by:"))
     empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("top_exception", "string"), ("causes", "array<string>"), ("suppressed", "array<string>"), ("root_cause", "string"), ("exception_chain", "array<string>"))])
     ev = ev.withColumn("c", F.when(java, chain(F.col("ls"))).otherwise(empty))
-    ev = ev.withColumn("header", R.title(R.header_message(first["line"], first)))
+    ev = ev.withColumn("header", R.title(first["header"]))
     ev = ev.withColumn("sample", F.substring(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), 1, SAMPLE))
     classed = lambda c: F.concat(F.when(R.strip(c).rlike(R.EXCEPTION_HEAD), F.regexp_extract(R.strip(c), R.EXCEPTION_HEAD, 1)).otherwise(""), F.lit(": "), c)
+
+    def named(x: Column) -> Column:
+        said = R.grouping_text(x["header"])
+        sig = F.when(x["header"].isNotNull(), F.when(x["style"] == "timestamp_bracket", said).otherwise(x["header"]))
+        signature = F.coalesce(sig, R.title(x["root"]), R.title(x["top"]), F.lit("Unknown error"))
+        return F.struct(signature.alias("signature"), F.coalesce(R.grouping_text(classed(x["root"])), said, F.lit("Unknown error")).alias("key"))
+
+    # Names are worked out in a lambda, which is interpreted: compiled, they are a method too large for Java to optimise.
     root = F.col("c.root_cause")
-    sig = F.when(F.col("header").isNotNull(), F.when(first["style"] == "timestamp_bracket", R.grouping_text(F.col("header"))).otherwise(F.col("header")))
-    code = lambda x: F.concat(F.array(R.vendor_code(x)), R.aux_codes(x["line"]))
+    told = F.struct("header", first["style"].alias("style"), root.alias("root"), F.col("c.top_exception").alias("top"))
+    ev = ev.withColumn("named", F.element_at(F.transform(F.array(told), named), 1))
     return ev.select(
         "file_id",
         "start_line",
@@ -96,10 +116,10 @@ def events(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
         first["style"].alias("style"),
         F.size("ls").cast("long").alias("n_lines"),
         "sample",
-        F.coalesce(sig, R.title(root), R.title(F.col("c.top_exception")), F.lit("Unknown error")).alias("signature"),
+        "named.signature",
         F.when(root.isNotNull(), "root").when(F.col("header").isNotNull(), "msg").otherwise("unk").alias("key_kind"),
-        F.coalesce(R.grouping_text(classed(root)), R.grouping_text(F.col("header")), F.lit("Unknown error")).alias("key"),
-        F.array_distinct(F.filter(F.flatten(F.transform("ls", code)), lambda x: x.isNotNull())).alias("codes"),
+        "named.key",
+        F.array_distinct(F.flatten(F.transform("ls", lambda x: x["codes"]))).alias("codes"),
         F.expr(r"try_cast(nullif(regexp_extract(sample, '(?i)exit code:\\s*(\\d+)', 1), '') as int)").alias("exit_code"),
         "c.*",
     )
@@ -141,11 +161,13 @@ def rank(level: Column, ranks: dict[str, int]) -> Column:
 def incidents(groups: DataFrame, families: DataFrame | None = None, limit: int = INCIDENT_LIMIT) -> DataFrame:
     """Event groups and family incidents of each file in order of weight, with position and total (before the limit).
 
-    The total is counted before the limit is applied, and only `limit` rows of a file are ever numbered.
+    The total is counted before the limit is applied, and only `limit` rows of a file are ever numbered. Both read the same
+    rows, which are stored, so that no event is assembled twice.
     """
     every = groups if families is None else groups.unionByName(families, allowMissingColumns=True)
     if "kind" not in every.columns:
         every = every.withColumn("kind", F.lit(None).cast("string"))
+    every = stored(every, "incidents")
     order = [F.when(F.col("kind") == "brute_force", 0).otherwise(1), rank(F.col("level"), INCIDENT_RANK), F.coalesce("first_line", F.lit(0)), F.col("signature")]
     w = Window.partitionBy("file_id").orderBy(*order)
     total = every.groupBy("file_id").agg(F.count(F.lit(1)).alias("total"))

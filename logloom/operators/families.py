@@ -34,9 +34,15 @@ def _words(words: tuple[str, ...], exact: bool = False) -> str:
     return "|".join(re.escape(w if exact else w.lower()) for w in words)
 
 
+def _has(text: Column, words: tuple[str, ...], exact: bool = False) -> Column:
+    """Whether any of the words occurs: looked for one by one, which takes a fraction of the time of one pattern for all."""
+    return _any([F.contains(text, F.lit(w if exact else w.lower())) for w in words])
+
+
 def hint(family: Family, line: Column, low: Column | None = None) -> Column:
-    low = F.lower(line) if low is None else low
-    tests = [low.rlike(_words(family.hint))] if family.hint else []
+    """Whether a family looks at a line. low: the line in lower case, given where the test is interpreted; without it, words
+    are one pattern, which is little code to compile."""
+    tests = [] if not family.hint else [F.lower(line).rlike(_words(family.hint)) if low is None else _has(low, family.hint)]
     return _any(tests + ([line.rlike(family.hint_pattern)] if family.hint_pattern else []))
 
 
@@ -51,7 +57,7 @@ def matches(signal: Signal, line: Column, low: Column | None = None) -> Column:
     # What is cheap to look for comes first: the pattern of a whole line is tried only where it can match.
     tests = [F.contains(low, F.lit(w)) for w in signal.also] + [line.rlike(p) for p in signal.also_any]
     if signal.words:
-        tests.append((line if signal.exact else low).rlike(_words(signal.words, signal.exact)))
+        tests.append(_has(line if signal.exact else low, signal.words, signal.exact))
     if signal.pattern:
         tests.append(line.rlike(signal.pattern))
     if signal.ratio:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import findings as FI
 from ..operators import rca
 from ..sources.render import log
+from ..tables import stored
 from .log_sql import q
 
 Q: dict[str, tuple] = {}
@@ -173,6 +174,6 @@ def log_incidents(spark, d):
     from ..operators import events as E
     from ..operators import families as FA
 
-    lines = log(spark, d, "ops")
+    lines = stored(log(spark, d, "ops").select("file_id", "line_no", "line"), "log-lines")
     found = FA.findings(lines).select("file_id", "kind", "level", "category", "count", "first_line", "signature")
     return E.incidents(E.grouped(E.events(lines)).drop("codes", "causes", "exception_chain"), found)

@@ -100,10 +100,28 @@ OPS = f"t || ' ' || case event_id % {len(PHRASES)} " + " ".join(f"when {i} then
 LOGS = {"app": (APP, "true", 20), "auth": (AUTH, "event_type = 'error'", 3), "access": (ACCESS, "true", 10), "ops": (OPS, "true", 8)}
 
 
+#: Rows are numbered within an hour of their file, after those of earlier hours: an hour is a task's, a file is not.
+HOUR = "coalesce(timestampdiff(HOUR, timestamp_ntz '2024-01-01 00:00:00', ts), -9223372036854775808)"
+
+
+#: A line's expression in a lambda is interpreted, so that its dozens of cases are not compiled as one method.
+_INTERPRETED = "element_at(transform(array(0), _x -> {}), 1)"
+
+
+def numbered(e: DataFrame, files: int) -> DataFrame:
+    """Events with file_no and line_no, their place in the file by ts and event_id."""
+    e = e.withColumns({"file_no": (F.col("user_id") % files).cast("int"), "_hour": F.expr(HOUR)}).withColumn("_file", F.coalesce("file_no", F.lit(-files)))
+    counts = e.groupBy("_file", "_hour").agg(F.count(F.lit(1)).alias("_n"))  # a row per hour and file
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_file", "_hour", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = e.withColumn("_place", F.row_number().over(Window.partitionBy("_file", "_hour").orderBy("ts", "event_id")))
+    return rows.join(counts, ["_file", "_hour"]).withColumn("line_no", (F.col("_before") + F.col("_place")).cast("int")).drop("_file", "_hour", "_place", "_before")
+
+
 def log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """file_id, file_ord, line_no, line of the log of that name, rendered from events."""
     line, some, files = LOGS[name]
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(some)
+    e = numbered(spark.read.parquet(f"{sf_dir}/events.parquet").where(some), files)
     since = F.expr("cast(floor(timestampdiff(SECOND, timestamp_ntz '2024-01-01 00:00:00', ts) / 400) as int)")
     e = e.withColumns(
         {
@@ -116,9 +134,7 @@ def log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "v2": F.format_string("%.2f", "value"),
         }
     )
-    file_no = (F.col("user_id") % files).cast("int")
-    w = Window.partitionBy(file_no).orderBy("ts", "event_id")
-    return e.select(F.concat(F.lit(f"{name}-"), file_no.cast("string")).alias("file_id"), file_no.alias("file_ord"), F.row_number().over(w).alias("line_no"), F.expr(line).alias("line"))
+    return e.select(F.concat(F.lit(f"{name}-"), F.col("file_no").cast("string")).alias("file_id"), F.col("file_no").alias("file_ord"), "line_no", F.expr(_INTERPRETED.format(line)).alias("line"))
 
 
 def log_sql(name: str) -> str:

@@ -1,5 +1,7 @@
 """Log operators on lines written here, with results worked out by hand."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from logloom.functions import records as R
@@ -229,3 +231,37 @@ def test_families_read_their_lines_once(spark):
     source = lines(spark, text)
     assert FA.findings(source.mapInArrow(seen, source.schema), ("nginx",)).count() > 0
     assert reads.value == 20
+
+
+def counted(source, reads):
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    return source.mapInArrow(seen, source.schema)
+
+
+def test_events_and_incidents_read_their_lines_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    source = lines(spark, EVENT)
+    got = E.incidents(E.grouped(E.events(counted(source, reads)))).collect()
+    assert len(got) == 3 and {r.total for r in got} == {3}
+    assert reads.value == source.count()
+
+
+def test_a_file_of_a_log_is_numbered_by_hours(spark, tmp_path):
+    """Places run on from hour to hour, in any order of the input; stamps before the first hour, equal or missing ones too."""
+    from logloom.sources import render
+
+    stamps = [None, "2023-12-31 23:10:00", "2023-12-31 22:59:59", "2024-01-01 00:30:00", "2024-01-01 00:30:00", "2024-01-01 03:00:00", None]
+    rows = [(i, s, u, "view", 1.5, '{"k": 3}') for u in (0, 3, None) for i, s in enumerate(stamps, 10 * (u or 1))]
+    e = spark.createDataFrame(rows[::-1], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    e = e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(3)
+    got = render.numbered(e, 8).groupBy("file_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "event_id"))).alias("l")).collect()
+    order = [0, 6, 2, 1, 3, 4, 5]
+    assert {r.file_no: [(x.line_no, x.event_id) for x in r.l] for r in got} == {u: [(n, 10 * (u or 1) + i) for n, i in enumerate(order, 1)] for u in (0, 3, None)}
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    log = render.log(spark, str(tmp_path), "ops")
+    assert log.where("line is not null").count() == 10  # without a stamp, or without the user that a phrase names, there is none
+    assert re.search(r"row_number\(\) windowspecdefinition\(_file#\d+, _hour#", log._jdf.queryExecution().optimizedPlan().toString())
