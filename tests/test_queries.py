@@ -47,3 +47,14 @@ def test_runs(name, spark):
 
 def test_entry(spark):
     assert catalogue.entry(spark, SF).count() > 0
+
+
+def test_brute_force_reads_sessions_beyond_a_store(spark, tmp_path):
+    """2,010 sessions of one file, more than a store of 2,000: a run that begins past it is found, one that goes on is whole."""
+    duck, late = duckdb.connect(), "case when i between 2000 and 2005 then 3 else 0 end"
+    duck.sql(f"create view events as select i as event_id, timestamp '2024-01-01' + to_seconds(400 * i) as ts, {late} as user_id, 'error' as event_type, 1.0::double as value, '{{\"k\": 3}}' as props from range(2010) r(i)")
+    duck.sql(f"copy events to '{tmp_path}/events.parquet'")
+    name = "ssh_bruteforce_clusters"
+    got = catalogue.queries()[name](spark, str(tmp_path)).select("file_id", "ip", "n", "first_line", "duration_s", "level")
+    want = [("auth-0", "10.0.0.0", 2004, 1, 2009.0, "ERROR"), ("auth-0", "10.0.0.3", 6, 2001, 5.0, "ERROR")]
+    assert sorted(tuple(r) for r in got.collect()) == want == sorted(duck.sql(catalogue.oracle_sql()[name]).fetchall())
