@@ -105,26 +105,40 @@ def clusters(found: DataFrame, least: int = LEAST, gap: int = GAP, every: bool =
     """Runs of a file's sessions from one address with no gap of over `gap` seconds, of `least` sessions or more: of the
     sessions that are kept, or of every one.
 
-    Sessions without a clock come last and join the last run. ERROR from ten sessions on, or if the run is rapid.
+    Sessions without a clock come last and join the last run. ERROR from ten sessions on, or if the run is rapid. Sessions of
+    one slot as wide as a gap are of one run, so a slot is one row before runs are cut, and an address is no one task's.
     """
     s = (found if every else found.where("kept")).where("ip is not null").withColumn("at", F.unix_micros(syslog_clock(F.col("stamp")).cast("timestamp")) / 1e6)
-    w = Window.partitionBy("file_id", "ip").orderBy(F.col("at").isNull(), "at", "first_line")
-    s = s.withColumn("opens", F.coalesce((F.col("at") - F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap).cast("int"), F.lit(0)))
-    s = s.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(Window.partitionBy("file_id", "ip", "run").orderBy(F.col("at").isNull(), "at", "first_line")))
+    s = s.withColumn("slot", F.floor(F.col("at") / gap) if gap else F.col("at"))
+    s = s.withColumn("nth", F.row_number().over(Window.partitionBy("file_id", "ip", "slot").orderBy("at", "first_line")))
     head = F.when(F.col("nth") <= 8, F.struct("nth", F.array_join(F.slice("lines", 1, 3), "\n").alias("text")))
-    order = F.struct(F.col("nth"))
+    s = s.groupBy("file_id", "ip", "slot").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct("at", "first_line")).alias("first"),
+        F.max("at").alias("to_at"),
+        F.array_sort(F.collect_list(head)).alias("heads"),
+    )
+    s = s.select("*", "first.at", "first.first_line")
+    w = Window.partitionBy("file_id", "ip").orderBy(F.col("at").isNull(), "at")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("opens", F.coalesce((F.col("at") - F.last("to_at", ignorenulls=True).over(before) > gap).cast("int"), F.lit(0)))
+    s = s.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = F.struct(F.col("at").isNull().alias("late"), F.col("at"))
+    in_run = Window.partitionBy("file_id", "ip", "run").orderBy(F.col("at").isNull(), "at").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("past", F.coalesce(F.sum("n").over(in_run), F.lit(0)))
     agg = s.groupBy("file_id", "ip", "run").agg(
-        F.count(F.lit(1)).alias("count"),
+        F.sum("n").alias("count"),
         F.min_by("first_line", order).alias("first_line"),
         F.min_by("at", order).alias("from_at"),
-        F.max_by("at", order).alias("to_at"),
-        F.array_sort(F.collect_list(head)).alias("heads"),
+        F.max_by("to_at", order).alias("to_at"),
+        F.array_sort(F.collect_list(F.when(F.col("past") < 8, F.struct("past", "heads")))).alias("heads"),
     )
+    heads = F.slice(F.flatten(F.transform("heads", lambda x: x["heads"])), 1, 8)
     duration = F.col("to_at") - F.col("from_at")
     sure = (F.col("count") >= 10) | F.coalesce(duration <= RAPID, F.lit(False))
     text = F.concat(F.when(sure, "SSH brute-force from ").otherwise("Suspected SSH brute-force from "), F.col("ip"), F.lit(" ("), F.col("count").cast("string"), F.lit(" authentication attempts)"))
     return agg.where(F.col("count") >= least).select(
-        "file_id", "ip", "count", "first_line", duration.alias("duration_s"), F.when(sure, "ERROR").otherwise("WARN").alias("level"), F.lit("security-auth").alias("category"), F.lit("brute_force").alias("kind"), text.alias("signature"), F.array_join(F.transform("heads", lambda x: x["text"]), "\n").alias("sample")
+        "file_id", "ip", "count", "first_line", duration.alias("duration_s"), F.when(sure, "ERROR").otherwise("WARN").alias("level"), F.lit("security-auth").alias("category"), F.lit("brute_force").alias("kind"), text.alias("signature"), F.array_join(F.transform(heads, lambda x: x["text"]), "\n").alias("sample")
     )
 
 

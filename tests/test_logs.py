@@ -1,5 +1,6 @@
 """Log operators on lines written here, with results worked out by hand."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -219,6 +220,28 @@ def test_judged_sessions_are_counted_apart(spark):
     assert [r["count"] for r in ssh.clusters(s.where("judged <= 6"), every=True).collect()] == [6]
 
 
+def test_runs_cross_slots(spark):
+    """Runs by a plain loop over sessions in order, with and without clocks, where gaps are near the slots' width."""
+    r = random.Random(3)
+    for clockless in (0, 0.1):
+        rows = [(f"9.9.9.{r.randrange(4)}", None if r.random() < clockless else r.randrange(40) * 450 + r.randrange(3), i + 1) for i in range(90)]
+        text = "\n".join(session(i, at or 0, ip).removeprefix("Jan 01 00:00:00 " if at is None else "") for ip, at, i in rows)
+        want = []
+        for ip in {ip for ip, _, _ in rows}:
+            run, last = [], None
+            for _, at, i in sorted((r for r in rows if r[0] == ip), key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+                if at is not None and last is not None and at - last > ssh.GAP:
+                    want.append((ip, run))
+                    run = []
+                run.append((at, i))
+                last = last if at is None else at
+            want.append((ip, run))
+        all_lines = text.split("\n")
+        want = [(ip, len(run), run[0][1], None if None in (run[0][0], run[-1][0]) else float(run[-1][0] - run[0][0]), "\n".join(all_lines[i - 1] for _, i in run[:8])) for ip, run in want if len(run) >= 5]
+        got = ssh.clusters(ssh.sessions(lines(spark, text))).select("ip", "count", "first_line", "duration_s", "sample").collect()
+        assert len(want) > 4 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_families_read_their_lines_once(spark):
     reads = spark.sparkContext.accumulator(0)
 
